@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Mapping
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meterspark.functions.clock import to_utc
@@ -44,34 +46,55 @@ def is_finite(value: Column) -> Column:
     return F.coalesce(F.abs(value) < F.lit(float("inf")), F.lit(False))
 
 
-def parse_number(raw: Column, decimal: str = ".") -> tuple[Column, Column]:
-    """``(value, problem)``; problem is null, ``missing``, ``invalid`` or ``non_finite``.
+def with_numbers(
+    df: DataFrame, raws: Mapping[str, Column], decimal: str = "."
+) -> DataFrame:
+    """Add ``<name>_value`` and ``<name>_problem`` for each raw text.
 
-    A cell the JVM parses directly and that ends in a digit or a dot is a plain number; only the
-    others are matched against the number pattern.
+    The problem is null, ``missing``, ``invalid`` or ``non_finite``. A cell the JVM parses
+    directly to a finite value and that ends in a digit or a dot is a plain number; only the
+    others are looked at closely. Two projections, so that no trimmed text is carried along.
     """
-    text = F.btrim(F.coalesce(raw, F.lit("")), F.lit(WHITESPACE))
-    missing = text.isin(*MISSING_TOKENS)
-    normal = F.replace(text, F.lit(","), F.lit(".")) if decimal == "," else text
-    direct = normal.try_cast("double")
-    plain = (
-        direct.isNotNull()
-        & F.right(normal, F.lit(1)).isin(*"0123456789.")
-        & ~F.lower(normal).contains("x")
-    )
-    number = F.when(plain, direct).otherwise(
-        F.when(
-            normal.rlike(NUMBER_PATTERN), F.replace(normal, F.lit("_"), F.lit("")).try_cast("double")
+
+    def normal(name: str) -> Column:
+        raw = raws[name]
+        return F.replace(raw, F.lit(","), F.lit(".")) if decimal == "," else raw
+
+    def text(name: str) -> Column:
+        return F.btrim(F.coalesce(normal(name), F.lit("")), F.lit(WHITESPACE))
+
+    def plain(name: str) -> Column:
+        return (
+            is_finite(F.col(f"{name}_direct"))
+            & F.right(text(name), F.lit(1)).isin(*"0123456789.")
+            & ~F.lower(raws[name]).contains("x")
         )
+
+    def spelled(name: str) -> Column:
+        """Numbers with digit separators and the like."""
+        bare = F.replace(text(name), F.lit("_"), F.lit("")).try_cast("double")
+        return F.when(text(name).rlike(NUMBER_PATTERN), bare)
+
+    def value(name: str) -> Column:
+        return F.when(plain(name), F.col(f"{name}_direct")).when(
+            ~text(name).isin(*MISSING_TOKENS) & is_finite(spelled(name)), spelled(name)
+        )
+
+    def problem(name: str) -> Column:
+        return (
+            F.when(plain(name), F.lit(None).cast("string"))
+            .when(text(name).isin(*MISSING_TOKENS), "missing")
+            .when(is_finite(spelled(name)), F.lit(None).cast("string"))
+            .when(spelled(name).isNotNull() | text(name).rlike(NON_FINITE_PATTERN), "non_finite")
+            .otherwise("invalid")
+        )
+
+    direct = df.select("*", *(normal(n).try_cast("double").alias(f"{n}_direct") for n in raws))
+    return direct.select(
+        *df.columns,
+        *(value(n).alias(f"{n}_value") for n in raws),
+        *(problem(n).alias(f"{n}_problem") for n in raws),
     )
-    spelled = F.coalesce(normal.rlike(NON_FINITE_PATTERN), F.lit(False))
-    problem = (
-        F.when(missing, "missing")
-        .when(is_finite(number), F.lit(None).cast("string"))
-        .when(number.isNotNull() | spelled, "non_finite")
-        .otherwise("invalid")
-    )
-    return F.when(~missing & is_finite(number), number), problem
 
 
 def spark_pattern(pattern: str) -> str:

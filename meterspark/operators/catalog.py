@@ -26,16 +26,21 @@ def replace_version(df: DataFrame, path: str) -> None:
     )
 
 
-def clear_version(spark: SparkSession, path: str, version: str) -> None:
-    """Drop the rows of one version, for an import that stored none this time."""
-    from py4j.protocol import Py4JJavaError
+def clear_versions(spark: SparkSession, path: str, versions: DataFrame) -> None:
+    """Drop the stored rows of versions whose repeated import kept none.
 
+    Only versions that are in the table and came back empty are listed, one name at a time.
+    """
     jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(f"{path}/{VERSION}={version}")
-    try:
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-    except Py4JJavaError as error:
-        raise OSError(f"could not clear {target}") from error
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(root):
+        return
+    escape = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+    for row in versions.select(VERSION).toLocalIterator():
+        folder = jvm.org.apache.hadoop.fs.Path(root, f"{VERSION}={escape(row[VERSION])}")
+        if files.exists(folder):
+            files.delete(folder, True)
 
 
 def scan_version(

@@ -26,7 +26,11 @@ from meterspark.schemas import (
 
 SERIES = ("series_id",)
 ROWS_PER_CHUNK = 1_000_000
-VALUE_KINDS = ("missing", "non_finite", "physical_invalidity")
+_VALUE_GROUPS = tuple(
+    (kind, measure)
+    for measure in MEASURES
+    for kind in ("missing", "non_finite", "physical_invalidity")
+)
 GROUP_COLUMNS = ("issue_type", "column_name", "range_start", "range_end", "occurrence_count")
 
 
@@ -160,9 +164,18 @@ def value_issues(df: DataFrame, keys: Sequence[str] = SERIES) -> DataFrame:
 
     One wide aggregation over the rows; only its one row per series is unpivoted.
     """
+    return _counted(df, keys, _VALUE_GROUPS)
+
+
+def row_issues(df: DataFrame, keys: Sequence[str] = SERIES) -> DataFrame:
+    """Value issues and parse errors together, in one aggregation."""
+    return _counted(df, keys, (*_VALUE_GROUPS, ("parse_error", None)))
+
+
+def _counted(df: DataFrame, keys: Sequence[str], groups) -> DataFrame:
     aggregates, structs = [], []
-    for measure in MEASURES:
-        for kind, hit in _value_checks(measure):
+    for measure in dict.fromkeys(m for _, m in groups):
+        for kind, hit in _row_checks(measure):
             name = f"{measure}__{kind}"
             aggregates += [
                 F.count_if(hit).alias(f"{name}_n"),
@@ -172,7 +185,7 @@ def value_issues(df: DataFrame, keys: Sequence[str] = SERIES) -> DataFrame:
             structs.append(
                 F.struct(
                     F.lit(kind).alias("issue_type"),
-                    F.lit(measure).alias("column_name"),
+                    F.lit(measure).cast("string").alias("column_name"),
                     F.col(f"{name}_start").alias("range_start"),
                     F.col(f"{name}_end").alias("range_end"),
                     F.col(f"{name}_n").alias("occurrence_count"),
@@ -197,10 +210,14 @@ def unpivot_measures(df: DataFrame, keys: Sequence[str] = SERIES) -> DataFrame:
 
 
 def outliers(df: DataFrame, keys: Sequence[str] = SERIES) -> DataFrame:
-    """Values more than six robust deviations from the median of their measure."""
+    """Values more than six robust deviations from the median of their measure.
+
+    Medians and deviations are at most eight rows a series; they are kept once computed because
+    the passes over the values that follow each need them.
+    """
     cells = unpivot_measures(df, keys)
     group = [*keys, "column_name"]
-    centers = exact_medians(cells, group).where("n >= 3").drop("n")
+    centers = exact_medians(cells, group).where("n >= 3").drop("n").persist()
     deviations = cells.join(centers, group).select(
         *group, F.abs(F.col("value") - F.col("median")).alias("value")
     )
@@ -225,8 +242,7 @@ def quality_issues(df: DataFrame, keys: Sequence[str] = SERIES) -> DataFrame:
         order_issues(df, keys),
         duplicate_issues(duplicate_times(df, keys), keys),
         gap_issues(gaps(steps, cadence(steps, keys), keys), keys),
-        value_issues(df, keys),
-        parse_error_issues(df, keys),
+        row_issues(df, keys),
         outlier_issues(outliers(df, keys), keys),
     ]
     return with_severity(reduce(DataFrame.unionByName, parts)).select(
@@ -399,6 +415,12 @@ def first_examples(df: DataFrame, group: Sequence[str], order: str) -> DataFrame
     )
 
 
+def _row_checks(measure: str | None) -> list[tuple[str, Column]]:
+    if measure is None:
+        return [("parse_error", F.col("parse_status") == "invalid")]
+    return _value_checks(measure)
+
+
 def _value_checks(measure: str) -> list[tuple[str, Column]]:
     value = F.col(measure)
     return [

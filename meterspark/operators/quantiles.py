@@ -16,75 +16,44 @@ BRACKET = 2e-4
 def exact_medians(df: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
     """``keys, n, median`` over the non-null values, with no group held in memory.
 
-    The built-in exact percentile keeps every distinct value of a group in one task. Here a
-    sketch proposes a narrow bracket around the middle, one pass counts the values below, inside
-    and above it, and only the part that holds the middle ranks (about one value in 1,500) is
-    ranked. The part is chosen from exact counts, so the result is exact whatever the sketch says.
+    The built-in exact percentile keeps every distinct value of a group in one task. Here a first
+    pass proposes a narrow bracket around the middle and a second one counts the values below and
+    above it as two numbers and those inside (about one in 1,500) by value, so only these are
+    ranked. Ranks come from exact counts: if the middle were ever outside the bracket the query
+    fails rather than return a wrong value.
     """
     values = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("v"))
     bracket = values.groupBy(*keys).agg(
         F.percentile_approx("v", [0.5 - BRACKET, 0.5 + BRACKET], ACCURACY).alias("bracket")
     )
-    sided = values.join(bracket, list(keys)).select(
-        *keys,
-        "v",
+    part = (
         F.when(F.col("v") < F.col("bracket")[0], 0)
         .when(F.col("v") <= F.col("bracket")[1], 1)
         .otherwise(2)
-        .alias("part"),
-    )
-    tally = sided.groupBy(*keys).agg(
-        *(F.count_if(F.col("part") == part).alias(f"n_{part}") for part in range(3))
-    )
-    counted = tally.select(
-        *keys,
-        "n_0",
-        "n_1",
-        (F.col("n_0") + F.col("n_1") + F.col("n_2")).alias("n"),
-    ).select(
-        "*",
-        F.floor((F.col("n") + 1) / 2).cast("long").alias("low_rank"),
-        (F.floor(F.col("n") / 2) + 1).cast("long").alias("high_rank"),
-    )
-    before = (
-        F.when(F.col("part") == 0, F.lit(0))
-        .when(F.col("part") == 1, F.col("n_0"))
-        .otherwise(F.col("n_0") + F.col("n_1"))
-    )
-    until = (
-        F.when(F.col("part") == 0, F.col("n_0"))
-        .when(F.col("part") == 1, F.col("n_0") + F.col("n_1"))
-        .otherwise(F.col("n"))
     )
-    middle = (
-        sided.join(counted, list(keys))
-        .where((before < F.col("high_rank")) & (until >= F.col("low_rank")))
-        .groupBy(*keys, "part", "v", "n_0", "n_1", "n", "low_rank", "high_rank")
+    counted = (
+        values.join(bracket, list(keys))
+        .select(*keys, part.alias("part"), "v")
+        .groupBy(*keys, "part", F.when(F.col("part") == 1, F.col("v")).alias("v"))
         .agg(F.count(F.lit(1)).alias("copies"))
     )
-    by_value = Window.partitionBy(*keys, "part").orderBy("v")
-    ranked = middle.select(
+    group = Window.partitionBy(*keys)
+    ranked = counted.select(
         *keys,
         "v",
-        "n",
-        "low_rank",
-        "high_rank",
         "copies",
-        (before + F.sum("copies").over(by_value)).alias("last_rank"),
+        F.sum("copies").over(group.orderBy("part", "v")).alias("last_rank"),
+        F.sum("copies").over(group).alias("n"),
     )
 
-    def holds(rank: str):
-        return (F.col("last_rank") >= F.col(rank)) & (
-            F.col("last_rank") - F.col("copies") < F.col(rank)
-        )
+    def value_at(rank):
+        holds = (F.col("last_rank") >= rank) & (F.col("last_rank") - F.col("copies") < rank)
+        return F.max(F.when(holds, F.col("v")))
 
-    return ranked.groupBy(*keys).agg(
-        F.max("n").alias("n"),
-        (
-            (
-                F.max(F.when(holds("low_rank"), F.col("v")))
-                + F.max(F.when(holds("high_rank"), F.col("v")))
-            )
-            / 2
-        ).alias("median"),
+    low = F.floor((F.col("n") + 1) / 2).cast("long")
+    high = F.floor(F.col("n") / 2).cast("long") + 1
+    middle = ranked.groupBy(*keys).agg(
+        F.max("n").alias("n"), ((value_at(low) + value_at(high)) / 2).alias("median")
     )
+    lost = F.raise_error(F.lit("the median lies outside its bracket")).cast("double")
+    return middle.withColumn("median", F.coalesce("median", lost))

@@ -7,6 +7,10 @@ import tempfile
 from pyspark.sql import SparkSession
 
 UTC_CONF = "spark.sql.session.timeZone"
+# The JVM never compiles a method over 8,000 bytes, so a larger generated stage would run
+# interpreted; Spark then evaluates its projections in small methods instead.
+METHOD_CONF = "spark.sql.codegen.hugeMethodLimit"
+METHOD_LIMIT = "8000"
 
 
 def build_session(app: str = "meterspark", *, master: str | None = None, **conf: str) -> SparkSession:
@@ -20,6 +24,7 @@ def build_session(app: str = "meterspark", *, master: str | None = None, **conf:
         builder = builder.master(master)
     settings = {
         UTC_CONF: "UTC",
+        METHOD_CONF: METHOD_LIMIT,
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -32,9 +37,13 @@ def build_session(app: str = "meterspark", *, master: str | None = None, **conf:
 
 
 def use_utc(spark: SparkSession) -> SparkSession:
-    """Timestamps are zone-less UTC instants; casts between the two types must agree on that."""
-    if spark.conf.get(UTC_CONF) != "UTC":
-        spark.conf.set(UTC_CONF, "UTC")
+    """Set what a session built elsewhere needs: UTC, and stages the JVM can compile.
+
+    Timestamps are zone-less UTC instants; casts between the two types must agree on that.
+    """
+    for name, value in ((UTC_CONF, "UTC"), (METHOD_CONF, METHOD_LIMIT)):
+        if spark.conf.get(name) != value:
+            spark.conf.set(name, value)
     return spark
 
 

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meterspark.operators.catalog import VERSION, replace_version
+from meterspark.operators.catalog import VERSION, clear_versions, replace_version
 from meterspark.sources.rows import import_report, measurements, parse_issues
 
 
@@ -31,3 +31,8 @@ def store_import(parsed: DataFrame, target: ImportTarget, *, profile: str) -> No
     replace_version(parse_issues(versioned, ("series_id", VERSION)), target.issues)
     report = import_report(versioned, profile=profile, keep=("series_id", VERSION))
     replace_version(report.coalesce(1), target.reports)
+    spark = parsed.sparkSession
+    stored = spark.read.parquet(target.reports)
+    here = stored.join(versioned.select(VERSION).distinct(), VERSION, "left_semi")
+    clear_versions(spark, target.measurements, here.where("stored_rows = 0"))
+    clear_versions(spark, target.issues, here.where("parse_issue_count = 0"))

@@ -4,16 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meterspark.functions.clock import shift
 from meterspark.functions.parsing import (
-    parse_number,
     parse_timestamp,
     parse_uci_timestamp,
     split_line,
+    with_numbers,
 )
 from meterspark.schemas import (
     DELIMITERS,
@@ -85,29 +87,23 @@ def parse_uci_lines(
     ``lines`` has ``source_row_number``, ``value`` and the ``keep`` columns. A line with a wrong
     column count or a bad date has ``observed_at`` null: it is an issue, not a measurement.
     """
+    place = {name: F.get("cells", F.lit(i)) for i, name in enumerate(UCI_COLUMNS)}
+    right_size = F.size("cells") == len(UCI_COLUMNS)
+    stamp = parse_uci_timestamp(place["Date"], place["Time"], timezone)
     cells = lines.select(
         *keep, "source_row_number", split_line(F.col("value"), ";").alias("cells")
     ).select(
         "*",
-        F.size("cells").alias("n_cells"),
-        *(F.get("cells", F.lit(i)).alias(name) for i, name in enumerate(UCI_COLUMNS)),
-    )
-    right_size = F.col("n_cells") == len(UCI_COLUMNS)
-    cells = cells.select(
-        "*",
-        F.when(
-            right_size, parse_uci_timestamp(F.col("Date"), F.col("Time"), timezone)
-        ).alias("observed_at"),
-        F.when(right_size, F.concat_ws(" ", "Date", "Time")).alias("timestamp_original"),
+        F.when(right_size, stamp).alias("observed_at"),
+        F.when(right_size, F.concat_ws(" ", place["Date"], place["Time"])).alias(
+            "timestamp_original"
+        ),
     )
-    numbers = {
-        name: (measure, *parse_number(F.col(name))) for name, measure in UCI_MEASURES.items()
-    }
     wrong_size = _issue(
         "column_count",
         F.concat(
             F.lit(f"Expected {len(UCI_COLUMNS)} columns, received "),
-            F.col("n_cells").cast("string"),
+            F.size("cells").cast("string"),
             F.lit("."),
         ),
     )
@@ -118,12 +114,13 @@ def parse_uci_lines(
         F.col("timestamp_original"),
     )
     row_level = F.when(~right_size, wrong_size).when(F.col("observed_at").isNull(), bad_time)
+    raws = {measure: place[name] for name, measure in UCI_MEASURES.items()}
     return _finish(
-        cells,
+        with_numbers(cells, raws),
         keep,
-        {measure: value for measure, value, _ in numbers.values()},
-        {name: problem for name, (_, _, problem) in numbers.items()},
-        {name: "Numeric value could not be parsed." for name in numbers},
+        {measure: name for name, measure in UCI_MEASURES.items()},
+        raws,
+        {m: "Numeric value could not be parsed." for m in UCI_MEASURES.values()},
         row_level,
         timezone,
         UCI_INTERVAL_SECONDS,
@@ -150,8 +147,8 @@ def parse_mapped_lines(
         found = F.get("cells", F.lit(place[name])) if name in place else F.lit(None).cast("string")
         return F.coalesce(found, F.lit(""))
 
-    wanted = {"timestamp_text": mapping.timestamp_column, "target_text": mapping.target_column}
-    wanted.update({f"{m}_text": c for m, c in mapping.optional_columns.items()})
+    wanted = {"timestamp_text": mapping.timestamp_column, "target_raw": mapping.target_column}
+    wanted.update({f"{m}_raw": c for m, c in mapping.optional_columns.items()})
     cells = lines.select(
         *keep, "source_row_number", split_line(F.col("value"), mapping.delimiter).alias("cells")
     ).select(*keep, "source_row_number", *(cell(c).alias(a) for a, c in wanted.items()))
@@ -184,29 +181,24 @@ def parse_mapped_lines(
             observed = shift(observed, -mapping.interval_seconds)
     cells = cells.withColumn("observed_at", observed)
 
-    target, target_problem = parse_number(F.col("target_text"), mapping.decimal_separator)
+    columns = {mapping.target_measure: mapping.target_column, **mapping.optional_columns}
+    raws = {m: F.col(f"{m}_raw") for m in mapping.optional_columns}
+    raws[mapping.target_measure] = F.col("target_raw")
+    messages = dict.fromkeys(columns, "Optional numeric value could not be parsed.")
+    messages[mapping.target_measure] = "Target value could not be parsed."
+    parsed = with_numbers(cells, raws, mapping.decimal_separator)
     if mapping.unit.lower() in ("wh", "w"):
-        target = target / F.lit(1000.0)
-    values = {mapping.target_measure: target}
-    problems = {mapping.target_column: target_problem}
-    messages = {mapping.target_column: "Target value could not be parsed."}
-    texts = {mapping.target_column: "target_text"}
-    for measure, column in mapping.optional_columns.items():
-        values[measure], problems[column] = parse_number(
-            F.col(f"{measure}_text"), mapping.decimal_separator
-        )
-        messages[column] = "Optional numeric value could not be parsed."
-        texts[column] = f"{measure}_text"
+        scaled = F.col(f"{mapping.target_measure}_value") / F.lit(1000.0)
+        parsed = parsed.withColumn(f"{mapping.target_measure}_value", scaled)
     return _finish(
-        cells,
+        parsed,
         keep,
-        values,
-        problems,
+        columns,
+        raws,
         messages,
         row_level,
         mapping.timezone,
         mapping.interval_seconds,
-        texts,
     )
 
 
@@ -217,8 +209,9 @@ def measurements(parsed: DataFrame) -> DataFrame:
 
 def parse_issues(parsed: DataFrame, keep: Sequence[str] = ("series_id",)) -> DataFrame:
     """One row per problem found."""
-    return parsed.where(F.size("issues") > 0).select(
-        *keep, "source_row_number", F.inline("issues")
+    # The outer form keeps the optimiser from copying the parsing below a guessed size filter.
+    return parsed.select(*keep, "source_row_number", F.inline_outer("issues")).where(
+        F.col("code").isNotNull()
     )
 
 
@@ -291,47 +284,47 @@ def _issue(
 def _finish(
     cells: DataFrame,
     keep: Sequence[str],
-    values: Mapping[str, Column],
-    problems: Mapping[str, Column],
+    columns: Mapping[str, str],
+    raws: Mapping[str, Column],
     messages: Mapping[str, str],
     row_level: Column,
     timezone: str | None,
     interval_seconds: int | None,
-    texts: Mapping[str, str] | None = None,
 ) -> DataFrame:
-    """Attach measures, then flags, issues and status from each cell's problem."""
-    marked = cells.select(
-        *keep,
-        "source_row_number",
-        "observed_at",
-        "timestamp_original",
-        row_level.alias("row_issue"),
-        *(
-            (values[m] if m in values else F.lit(None).cast("double")).alias(m)
-            for m in MEASURES
-        ),
-        *(problem.alias(f"problem_{i}") for i, problem in enumerate(problems.values())),
-        *(
-            F.col((texts or {}).get(name, name)).alias(f"raw_{i}")
-            for i, name in enumerate(problems)
-        ),
-    )
+    """Attach measures, then flags, issues and status from each cell's problem.
+
+    ``columns`` names the source column of each parsed measure.
+    """
     flags, cell_issues = [], []
-    for i, name in enumerate(problems):
-        problem = F.col(f"problem_{i}")
+    for measure, column in columns.items():
+        problem = F.col(f"{measure}_problem")
         flags.append(
-            F.when(problem == "missing", f"missing:{name}").when(
-                problem.isNotNull(), f"parse_error:{name}"
+            F.when(problem == "missing", f"missing:{column}").when(
+                problem.isNotNull(), f"parse_error:{column}"
             )
         )
         cell_issues.append(
             F.when(
                 problem.isin("invalid", "non_finite"),
-                _issue("number_invalid", F.lit(messages[name]), F.lit(name), F.col(f"raw_{i}")),
+                _issue("number_invalid", F.lit(messages[measure]), F.lit(column), raws[measure]),
             )
         )
+    problems = [F.col(f"{measure}_problem") for measure in columns]
+    # Clean rows, nearly all of them, skip the array building.
+    marked = cells.select(
+        "*",
+        row_level.alias("row_issue"),
+        F.coalesce(*problems).isNotNull().alias("has_flag"),
+        reduce(or_, (p.isin("invalid", "non_finite") & p.isNotNull() for p in problems)).alias("has_issue"),
+    )
     dropped = F.col("row_issue").isNotNull()
     no_flags = F.array().cast("array<string>")
+    no_issues = F.array().cast(f"array<{ISSUE_TYPE}>")
+    status = (
+        F.when(dropped | F.col("has_issue"), "invalid")
+        .when(F.col("has_flag"), "warning")
+        .otherwise("valid")
+    )
     return marked.select(
         *keep,
         "source_row_number",
@@ -339,25 +332,16 @@ def _finish(
         "timestamp_original",
         F.lit(timezone).cast("string").alias("timezone_context"),
         F.lit(interval_seconds).cast("int").alias("interval_seconds"),
-        *MEASURES,
-        F.when(dropped, no_flags)
+        *(
+            (F.col(f"{m}_value") if m in columns else F.lit(None).cast("double")).alias(m)
+            for m in MEASURES
+        ),
+        status.alias("parse_status"),
+        F.when(dropped | ~F.col("has_flag"), no_flags)
         .otherwise(F.array_compact(F.array(*flags)))
         .alias("quality_flags"),
         F.when(dropped, F.array("row_issue"))
-        .otherwise(F.array_compact(F.array(*cell_issues)))
+        .when(F.col("has_issue"), F.array_compact(F.array(*cell_issues)))
+        .otherwise(no_issues)
         .alias("issues"),
-    ).select(
-        *keep,
-        "source_row_number",
-        "observed_at",
-        "timestamp_original",
-        "timezone_context",
-        "interval_seconds",
-        *MEASURES,
-        F.when(F.size("issues") > 0, "invalid")
-        .when(F.size("quality_flags") > 0, "warning")
-        .otherwise("valid")
-        .alias("parse_status"),
-        "quality_flags",
-        "issues",
     )

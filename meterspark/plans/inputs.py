@@ -43,9 +43,9 @@ def _readings(spark: SparkSession, sf_dir: str, series, slot: int) -> DataFrame:
         F.lit(slot).alias("interval_seconds"),
         F.col("value").alias("energy_kwh"),
         F.lit(None).cast("double").alias("active_power_kw"),
-        (F.col("value") / 10).alias("reactive_power_kw"),
+        (F.col("value") / 7).alias("reactive_power_kw"),
         F.when(event % 701 == 0, 0.0).otherwise(220.0 + F.col("user_id") % 20).alias("voltage_v"),
-        F.when(event % 907 == 0, -1.0).otherwise(F.col("value") / 4).alias("current_a"),
+        F.when(event % 907 == 0, -1.0).otherwise(F.col("value") / 3).alias("current_a"),
         F.when(event % 5 != 0, F.col("value") * 2).alias("sub_metering_1_wh"),
         F.lit(None).cast("double").alias("sub_metering_2_wh"),
         F.lit(None).cast("double").alias("sub_metering_3_wh"),
@@ -69,10 +69,10 @@ def readings_sql(name: str = "r", series: str = "'all'", slot: int = 300) -> str
            AS observed_at,
          value AS energy_kwh,
          CAST(NULL AS DOUBLE) AS active_power_kw,
-         value / 10 AS reactive_power_kw,
+         value / 7 AS reactive_power_kw,
          CASE WHEN event_id % 701 = 0 THEN 0.0::DOUBLE
               ELSE (220 + user_id % 20)::DOUBLE END AS voltage_v,
-         CASE WHEN event_id % 907 = 0 THEN -1.0::DOUBLE ELSE value / 4 END AS current_a,
+         CASE WHEN event_id % 907 = 0 THEN -1.0::DOUBLE ELSE value / 3 END AS current_a,
          CASE WHEN event_id % 5 <> 0 THEN value * 2 END AS sub_metering_1_wh,
          CAST(NULL AS DOUBLE) AS sub_metering_2_wh,
          CAST(NULL AS DOUBLE) AS sub_metering_3_wh,

@@ -80,19 +80,6 @@ def naive_missing_history(
     )
 
 
-def failed_models(scored: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Model runs with a prediction missing somewhere: the whole run fails."""
-    return (
-        scored.where(F.col("predicted").isNull())
-        .groupBy(*by)
-        .agg(F.lit("model_evaluation_failed").alias("failure_code"))
-    )
-
-
-def drop_failed(scored: DataFrame, by: Sequence[str]) -> DataFrame:
-    return scored.join(failed_models(scored, by).select(*by), list(by), "left_anti")
-
-
 def ridge_scored(
     frame: DataFrame,
     plan: SplitPlan,
@@ -133,13 +120,8 @@ def run_experiment(
         if algorithm in is_failed:
             continue
         scored = _validation_scores(frame, plan, algorithm, keys, alphas, tree_candidates or {})
-        scored = drop_failed(scored, by)
-        per_fold = scored.groupBy(*by, "params", "fold_no").agg(
-            F.count_if(F.col("horizon") == 1).alias("evaluation_rows"),
-            M.mae().alias("mae"),
-            M.rmse().alias("rmse"),
-            M.smape().alias("smape"),
-            F.max("predict_ms").alias("predict_ms"),
+        per_fold = M.error_metrics(
+            scored, [*by, "params", "fold_no"], by, predict_ms=F.max("predict_ms")
         )
         complete = per_fold.groupBy(*by, "params").agg(F.count(F.lit(1)).alias("folds")).where(
             F.col("folds") == len(plan.validation)

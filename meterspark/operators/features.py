@@ -129,8 +129,8 @@ def build_features(
         ]
     if quality:
         frame = frame.withColumn("gap", energy.isNull().cast("double"))
-        first += [back("coverage_ratio", n).alias(f"c_{n}") for n in (1, 2, 3)]
-        first += [back("gap", n).alias(f"g_{n}") for n in (1, 2, 3)]
+        first += [back("coverage_ratio", n).alias(f"covered_{n}") for n in (1, 2, 3)]
+        first += [back("gap", n).alias(f"gap_{n}") for n in (1, 2, 3)]
         first.append(
             F.coalesce((back("quality_status", 1) == "imputed_short_gap").cast("double"), F.lit(0.0))
             .alias("last_hour_imputed")
@@ -148,8 +148,8 @@ def build_features(
     }
     sums = ["s"]
     if quality:
-        blocks["c"] = F.col("c_1") + F.col("c_2") + F.col("c_3")
-        blocks["g"] = F.col("g_1") + F.col("g_2") + F.col("g_3")
+        blocks["c"] = F.col("covered_1") + F.col("covered_2") + F.col("covered_3")
+        blocks["g"] = F.col("gap_1") + F.col("gap_2") + F.col("gap_3")
         sums += ["c", "g"]
     frame = frame.select("*", *(e.alias(f"{n}_3") for n, e in blocks.items()))
     for half in (3, 6, 12):

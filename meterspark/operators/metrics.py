@@ -52,21 +52,42 @@ def smape() -> Column:
     return F.avg(F.when(size == 0, 0.0).otherwise(2 * absolute_error() / size)) * 100
 
 
-def error_metrics(scored: DataFrame, by: Sequence[str]) -> DataFrame:
-    """MAE, RMSE and sMAPE of each group; ``evaluation_rows`` counts origins."""
-    return scored.groupBy(*by).agg(
+def error_metrics(
+    scored: DataFrame, by: Sequence[str], run: Sequence[str] | None = None, **extra: Column
+) -> DataFrame:
+    """MAE, RMSE and sMAPE of each group; ``evaluation_rows`` counts origins.
+
+    With ``run`` given, a missing prediction anywhere in a run removes the whole run. The check
+    is made on the aggregated rows, so the predictions are read once.
+    """
+    counted = scored.groupBy(*by).agg(
         F.count_if(F.col("horizon") == 1).alias("evaluation_rows"),
-        mae().alias("mae"),
-        rmse().alias("rmse"),
-        smape().alias("smape"),
+        *_errors(),
+        *(column.alias(name) for name, column in extra.items()),
+        F.count_if(F.col("predicted").isNull()).alias("lost"),
     )
+    return _whole_runs(counted, run)
 
 
-def horizon_metrics(scored: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Errors per horizon, pooled over all folds."""
-    return scored.groupBy(*by, "horizon").agg(
-        mae().alias("mae"), rmse().alias("rmse"), smape().alias("smape")
+def horizon_metrics(
+    scored: DataFrame, by: Sequence[str], run: Sequence[str] | None = None
+) -> DataFrame:
+    """Errors per horizon, pooled over all folds; ``run`` as in :func:`error_metrics`."""
+    counted = scored.groupBy(*by, "horizon").agg(
+        *_errors(), F.count_if(F.col("predicted").isNull()).alias("lost")
     )
+    return _whole_runs(counted, run)
+
+
+def _errors() -> list[Column]:
+    return [mae().alias("mae"), rmse().alias("rmse"), smape().alias("smape")]
+
+
+def _whole_runs(counted: DataFrame, run: Sequence[str] | None) -> DataFrame:
+    if run is None:
+        return counted.drop("lost")
+    lost = F.sum("lost").over(Window.partitionBy(*run))
+    return counted.withColumn("lost", lost).where("lost = 0").drop("lost")
 
 
 def cv_summary(fold_metrics: DataFrame, by: Sequence[str]) -> DataFrame:

@@ -8,17 +8,22 @@ and horizons are solved from them. The number of folds and penalties does not ad
 
 from __future__ import annotations
 
+import sys
 import time
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meterspark.operators.splits import SplitPlan, training_segment, validation_fold
 from meterspark.schemas import HORIZONS, feature_names, target_names
 
+# The functions below run in Python workers, which need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 SERIES = ("series_id",)
 # Penalties searched, default penalty.
 ALPHAS = (0.01, 0.1, 1.0, 10.0, 100.0, 1000.0)

@@ -228,9 +228,10 @@ def metric_documents(comparison: DataFrame, experiments: DataFrame) -> DataFrame
             _by_place,
         ).alias("models")
     )
-    fields = sorted(c for c in experiments.columns if c != "experiment_id")
+    fields = {c: F.col(c) for c in experiments.columns if c != "experiment_id"}
+    fields["id"] = F.col("experiment_id")
     document = F.struct(
-        F.struct(F.col("experiment_id").alias("id"), *fields).alias("experiment"),
+        F.struct(*(fields[name].alias(name) for name in sorted(fields))).alias("experiment"),
         F.transform("models", lambda m: m["model"]).alias("models"),
         F.lit("experiment-metrics-export/v1").alias("schema"),
     )

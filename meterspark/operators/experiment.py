@@ -53,11 +53,14 @@ def naive_scored(
     Baseline values were looked up in the same pass as the features, so both baselines and every
     other model score the same origins without a join.
     """
-    parts = [
-        M.pairs(rows, target_names(), NAIVE[a], keep).withColumn("algorithm", F.lit(a))
-        for a in algorithms
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    lookups = F.array(
+        *(
+            F.struct(F.lit(a).alias("algorithm"), F.col(NAIVE[a]).alias("lookup"))
+            for a in algorithms
+        )
+    )
+    each = rows.select(*keep, *target_names(), F.inline(lookups))
+    return M.pairs(each, target_names(), "lookup", [*keep, "algorithm"])
 
 
 def naive_missing_history(
@@ -88,11 +91,9 @@ def ridge_scored(
 ) -> DataFrame:
     """Validation predictions of every penalty: long rows with ``params`` and ``predict_ms``."""
     models = fit_ridge(frame, plan, alphas, keys)
-    rows = validation_rows(frame, plan)
-    predicted = predict_ridge(rows, models, keys)
-    joined = predicted.join(rows.select(*keys, "origin", *target_names()), [*keys, "origin"])
+    predicted = predict_ridge(validation_rows(frame, plan), models, keys, actual=True)
     keep = [*keys, "fold_no", "origin", "alpha", "predict_ms"]
-    return M.pairs(joined, target_names(), "predicted", keep).withColumn(
+    return M.pairs(predicted, "actual", "predicted", keep).withColumn(
         "params", F.to_json(F.struct("alpha"))
     )
 
@@ -230,8 +231,11 @@ def _test_scores(
         picked = models.join(mine, list(keys)).where(
             F.get_json_object("params", "$.alpha").cast("double") == F.col("alpha")
         )
-        predicted = predict_ridge(rows.withColumn("fold_no", F.lit(FINAL_FOLD)), picked, keys)
-        joined = predicted.join(rows.select(*keep, *target_names()), keep)
+        joined = predict_ridge(
+            rows.withColumn("fold_no", F.lit(FINAL_FOLD)), picked, keys, actual=True
+        )
+        scored = M.pairs(joined, "actual", "predicted", keep)
+        return scored.withColumn("algorithm", F.lit(algorithm))
     else:
         # One global model per parameter set in use; the sets come from a short candidate list.
         parts = []

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from meterspark.functions.chunks import CHUNK, consecutive_pairs
 from meterspark.functions.clock import DAY, epoch, floor_div, iso, micros
 from meterspark.functions.parsing import is_finite
-from meterspark.operators.quantiles import exact_medians
+from meterspark.operators.quantiles import exact_medians, widen
 from meterspark.schemas import (
     EVIDENCE_LIMIT,
     ISSUE_SEVERITY,
@@ -199,34 +199,39 @@ def parse_error_issues(df: DataFrame, keys: Sequence[str] = SERIES) -> DataFrame
     return _group(df.where("parse_status = 'invalid'"), keys, "parse_error", F.count(F.lit(1)))
 
 
-def unpivot_measures(df: DataFrame, keys: Sequence[str] = SERIES) -> DataFrame:
-    """``keys, source_row_number, observed_at, column_name, value`` of the finite values."""
-    cells = F.array(
-        *(F.struct(F.lit(m).alias("column_name"), F.col(m).alias("value")) for m in MEASURES)
-    )
-    return df.select(*keys, "source_row_number", "observed_at", F.inline(cells)).where(
-        is_finite(F.col("value"))
-    )
-
-
 def outliers(df: DataFrame, keys: Sequence[str] = SERIES) -> DataFrame:
     """Values more than six robust deviations from the median of their measure.
 
-    Medians and deviations are at most eight rows a series; they are kept once computed because
-    the passes over the values that follow each need them.
+    Medians and deviations are one row a series; the medians are kept once computed because each
+    of the passes over the values that follow needs them.
     """
-    cells = unpivot_measures(df, keys)
-    group = [*keys, "column_name"]
-    centers = exact_medians(cells, group).where("n >= 3").drop("n").persist()
-    deviations = cells.join(centers, group).select(
-        *group, F.abs(F.col("value") - F.col("median")).alias("value")
+    medians = exact_medians(df, keys, MEASURES).where("n >= 3")
+    centers = widen(medians, keys, MEASURES, "median").persist()
+    deviations = df.join(centers, list(keys)).select(
+        *keys, *(F.abs(F.col(m) - F.col(f"{m}__median")).alias(m) for m in MEASURES)
     )
-    spreads = exact_medians(deviations, group).select(*group, F.col("median").alias("mad"))
-    scale = centers.join(spreads.where("mad <> 0"), group)
-    z = F.abs(F.col("value") - F.col("median")) / (MAD_SCALE * F.col("mad"))
+    spreads = exact_medians(deviations, keys, MEASURES).withColumnRenamed("median", "mad")
+    scale = centers.join(widen(spreads, keys, MEASURES, "mad"), list(keys))
+
+    def cell(measure: str) -> Column:
+        value, center, mad = F.col(measure), F.col(f"{measure}__median"), F.col(f"{measure}__mad")
+        z = F.when(is_finite(value) & (mad != 0), F.abs(value - center) / (MAD_SCALE * mad))
+        return F.struct(
+            F.lit(measure).alias("column_name"),
+            value.alias("value"),
+            center.alias("median"),
+            mad.alias("mad"),
+            z.alias("robust_z"),
+        )
+
     return (
-        cells.join(scale, group)
-        .withColumn("robust_z", z)
+        df.join(scale, list(keys))
+        .select(
+            *keys,
+            "source_row_number",
+            "observed_at",
+            F.inline(F.array(*(cell(m) for m in MEASURES))),
+        )
         .where(F.col("robust_z") > ROBUST_Z_LIMIT)
     )
 

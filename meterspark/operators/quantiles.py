@@ -1,59 +1,88 @@
-"""Exact medians of groups of any size."""
+"""Exact medians of several columns per group, for groups of any size."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from meterspark.functions.parsing import is_finite
+
 # A quantile sketch of this accuracy misses a rank by at most one part in ACCURACY; the bracket
-# around the middle is wider than that, so it nearly always holds the median.
+# around the middle is wider than that, so it always holds the median.
 ACCURACY = 10_000
 BRACKET = 2e-4
 
 
-def exact_medians(df: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
-    """``keys, n, median`` over the non-null values, with no group held in memory.
+def exact_medians(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """``keys, column_name, n, median`` over the finite values, with no group held in memory.
 
     The built-in exact percentile keeps every distinct value of a group in one task. Here a first
-    pass proposes a narrow bracket around the middle and a second one counts the values below and
-    above it as two numbers and those inside (about one in 1,500) by value, so only these are
-    ranked. Ranks come from exact counts: if the middle were ever outside the bracket the query
-    fails rather than return a wrong value.
+    pass proposes a narrow bracket around the middle of each column, one row per group. A second
+    one counts the values below and above it as two numbers and those inside (about one in 1,500)
+    by value, so only these are ranked. Rows are joined to the brackets before they are unpivoted:
+    where the groups are too many to broadcast, the rows move once, not once per column. Ranks come
+    from exact counts: were the middle outside the bracket, the query would fail rather than
+    return a wrong value.
     """
-    values = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("v"))
-    bracket = values.groupBy(*keys).agg(
-        F.percentile_approx("v", [0.5 - BRACKET, 0.5 + BRACKET], ACCURACY).alias("bracket")
-    )
-    part = (
-        F.when(F.col("v") < F.col("bracket")[0], 0)
-        .when(F.col("v") <= F.col("bracket")[1], 1)
-        .otherwise(2)
+    middle = [0.5 - BRACKET, 0.5 + BRACKET]
+    brackets = df.groupBy(*keys).agg(
+        *(
+            F.percentile_approx(F.when(is_finite(F.col(c)), F.col(c)), middle, ACCURACY).alias(
+                f"{c}__bracket"
+            )
+            for c in columns
+        )
     )
+
+    def cell(name: str) -> Column:
+        value, bracket = F.col(name), F.col(f"{name}__bracket")
+        part = F.when(value < bracket[0], 0).when(value <= bracket[1], 1).otherwise(2)
+        return F.struct(
+            F.lit(name).alias("column_name"),
+            F.when(is_finite(value), part).alias("part"),
+            F.when((value >= bracket[0]) & (value <= bracket[1]), value).alias("v"),
+        )
+
     counted = (
-        values.join(bracket, list(keys))
-        .select(*keys, part.alias("part"), "v")
-        .groupBy(*keys, "part", F.when(F.col("part") == 1, F.col("v")).alias("v"))
+        df.select(*keys, *columns)
+        .join(brackets, list(keys))
+        .select(*keys, F.inline(F.array(*(cell(c) for c in columns))))
+        .where(F.col("part").isNotNull())
+        .groupBy(*keys, "column_name", "part", "v")
         .agg(F.count(F.lit(1)).alias("copies"))
     )
-    group = Window.partitionBy(*keys)
+    group = [*keys, "column_name"]
+    whole = Window.partitionBy(*group)
     ranked = counted.select(
-        *keys,
+        *group,
         "v",
         "copies",
-        F.sum("copies").over(group.orderBy("part", "v")).alias("last_rank"),
-        F.sum("copies").over(group).alias("n"),
+        F.sum("copies").over(whole.orderBy("part", "v")).alias("last_rank"),
+        F.sum("copies").over(whole).alias("n"),
     )
 
-    def value_at(rank):
+    def value_at(rank: Column) -> Column:
         holds = (F.col("last_rank") >= rank) & (F.col("last_rank") - F.col("copies") < rank)
         return F.max(F.when(holds, F.col("v")))
 
     low = F.floor((F.col("n") + 1) / 2).cast("long")
     high = F.floor(F.col("n") / 2).cast("long") + 1
-    middle = ranked.groupBy(*keys).agg(
+    medians = ranked.groupBy(*group).agg(
         F.max("n").alias("n"), ((value_at(low) + value_at(high)) / 2).alias("median")
     )
     lost = F.raise_error(F.lit("the median lies outside its bracket")).cast("double")
-    return middle.withColumn("median", F.coalesce("median", lost))
+    return medians.withColumn("median", F.coalesce("median", lost))
+
+
+def widen(
+    stats: DataFrame, keys: Sequence[str], columns: Sequence[str], value: str
+) -> DataFrame:
+    """One row per group with ``<column>__<value>`` for each column."""
+    return stats.groupBy(*keys).agg(
+        *(
+            F.max(F.when(F.col("column_name") == c, F.col(value))).alias(f"{c}__{value}")
+            for c in columns
+        )
+    )

@@ -18,7 +18,12 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meterspark.operators.splits import SplitPlan, training_segment, validation_fold
+from meterspark.operators.splits import (
+    SplitPlan,
+    fold_membership,
+    training_segment,
+    validation_fold,
+)
 from meterspark.schemas import HORIZONS, feature_names, target_names
 
 # The functions below run in Python workers, which need not have this package installed.
@@ -163,20 +168,28 @@ def fit_ridge(
 
 
 def predict_ridge(
-    rows: DataFrame, models: DataFrame, keys: Sequence[str] = SERIES, *, quality: bool = False
+    rows: DataFrame,
+    models: DataFrame,
+    keys: Sequence[str] = SERIES,
+    *,
+    quality: bool = False,
+    actual: bool = False,
 ) -> DataFrame:
     """``keys, fold_no, alpha, origin, predicted, predict_ms`` for rows that have a ``fold_no``.
 
     Rows of one series and fold meet that fold's models in one group, at most a few thousand
-    origins; ``predict_ms`` is the time the prediction took per origin.
+    origins; ``predict_ms`` is the time the prediction took per origin. With ``actual`` the targets
+    travel along as an array, which saves joining them back to the predictions.
     """
     names = feature_names(quality)
     width = len(names)
     keys = list(keys)
     group = [*keys, "fold_no"]
-    wanted = rows.select(*group, "origin", F.array(*names).alias("x"))
+    kept = [*group, "origin", *(["actual"] if actual else [])]
+    targets = [F.array(*target_names()).alias("actual")] if actual else []
+    wanted = rows.select(*group, "origin", *targets, F.array(*names).alias("x"))
     fitted = models.select(*group, "alpha", "weights", "intercepts")
-    columns = [*group, "alpha", "origin", "predicted", "predict_ms"]
+    columns = [*kept, "alpha", "predicted", "predict_ms"]
 
     def predict(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
@@ -188,7 +201,7 @@ def predict_ridge(
             weights = np.asarray(model.weights).reshape(HORIZONS, width)
             values = x @ weights.T + np.asarray(model.intercepts)
             spent = (time.perf_counter() - started) * 1000 / len(x)
-            part = left[[*group, "origin"]].copy()
+            part = left[kept].copy()
             part["alpha"] = model.alpha
             part["predicted"] = list(values)
             part["predict_ms"] = spent
@@ -196,8 +209,9 @@ def predict_ridge(
         return pd.concat(parts)
 
     fields = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
+    truth = "actual array<double>, " if actual else ""
     schema = (
-        f"{fields}, fold_no int, alpha double, origin timestamp_ntz, "
+        f"{fields}, fold_no int, origin timestamp_ntz, {truth}alpha double, "
         "predicted array<double>, predict_ms double"
     )
     return (
@@ -211,8 +225,6 @@ def scaled_features(
     frame: DataFrame, plan: SplitPlan, keys: Sequence[str] = SERIES, *, quality: bool = False
 ) -> DataFrame:
     """Features of every origin scaled by the training part of each fold it belongs to."""
-    from meterspark.operators.splits import fold_membership
-
     names = feature_names(quality)
     membership = fold_membership(frame, plan, keys)
     training = frame.join(membership.where("part = 'train'"), [*keys, "origin"])

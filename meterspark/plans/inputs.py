@@ -8,8 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterspark.functions.clock import floor_to, from_epoch, epoch
-from meterspark.session import use_utc
+from meterspark.functions.clock import epoch, floor_to, from_epoch
+from meterspark.session import spread, use_utc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -195,7 +195,7 @@ def uci_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("1.000"),
     ]
     last = F.when(event % 101 == 0, F.lit("")).otherwise(F.lit(";17.000"))
-    return table(spark, sf_dir, "events").select(
+    return spread(table(spark, sf_dir, "events")).select(
         F.lit("all").alias("series_id"),
         (event + 2).alias("source_row_number"),
         F.concat(F.concat_ws(";", *cells), last).alias("value"),
@@ -232,7 +232,7 @@ def mapped_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     volts = F.when(event % 7 == 0, F.lit("")).otherwise(
         F.concat(F.lit(";"), (F.lit(220) + F.col("user_id") % 20).cast("string"), F.lit(",5"))
     )
-    return table(spark, sf_dir, "events").select(
+    return spread(table(spark, sf_dir, "events")).select(
         F.lit("all").alias("series_id"),
         (event + 2).alias("source_row_number"),
         F.concat(stamp, F.lit(";"), watts, volts).alias("value"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 UTC_CONF = "spark.sql.session.timeZone"
 # The JVM never compiles a method over 8,000 bytes, so a larger generated stage would run
@@ -25,6 +25,8 @@ def build_session(app: str = "meterspark", *, master: str | None = None, **conf:
     settings = {
         UTC_CONF: "UTC",
         METHOD_CONF: METHOD_LIMIT,
+        # Do not record a Python call site for every column expression while plans are built.
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -58,3 +60,12 @@ def shared_checkpoint_dir(spark: SparkSession) -> str:
     fresh = tempfile.mkdtemp(prefix="meterspark-ckpt-")
     spark.sparkContext.setCheckpointDir(fresh)
     return fresh
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """One task per core for a scan with fewer splits than cores; larger scans stay as they are.
+
+    For work that is heavy per row on a small file. It reads no data to decide.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

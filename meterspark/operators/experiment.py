@@ -22,7 +22,7 @@ from meterspark.operators.ridge import (
 )
 from meterspark.operators.splits import SplitPlan, final_test, final_training, instant
 from meterspark.operators.trees import fit_trees, predict_trees
-from meterspark.schemas import SEASONAL_PERIODS, target_names
+from meterspark.schemas import SEASONAL_PERIODS
 
 SERIES = ("series_id",)
 NAIVE = {f"seasonal_naive_{p}": f"naive_{p}" for p in SEASONAL_PERIODS}
@@ -59,8 +59,8 @@ def naive_scored(
             for a in algorithms
         )
     )
-    each = rows.select(*keep, *target_names(), F.inline(lookups))
-    return M.pairs(each, target_names(), "lookup", [*keep, "algorithm"])
+    each = rows.select(*keep, "targets", F.inline(lookups))
+    return M.pairs(each, "targets", "lookup", [*keep, "algorithm"])
 
 
 def naive_missing_history(
@@ -203,13 +203,13 @@ def _validation_scores(
                 (F.col("origin") >= instant(start)) & (F.col("origin") < instant(end))
             ).withColumn("fold_no", F.lit(fold_no))
             models = fit_trees(training, algorithm, params)
-            wanted = [*keep, *target_names()]
+            wanted = [*keep, "targets"]
             predicted = predict_trees(rows, models, wanted).persist(StorageLevel.MEMORY_AND_DISK)
             started = time.perf_counter()
             count = max(1, predicted.count())
             spent = (time.perf_counter() - started) * 1000 / count
             parts.append(
-                M.pairs(predicted, target_names(), "predicted", keep)
+                M.pairs(predicted, "targets", "predicted", keep)
                 .withColumn("params", F.to_json(_params(params)))
                 .withColumn("predict_ms", F.lit(spent))
             )
@@ -244,13 +244,13 @@ def _test_scores(
             models = fit_trees(final_training(frame, plan), algorithm, params)
             parts.append(
                 predict_trees(
-                    rows.where(F.col("params") == row.params), models, [*keep, *target_names()]
+                    rows.where(F.col("params") == row.params), models, [*keep, "targets"]
                 )
             )
         if not parts:
-            parts = [rows.select(*keep, *target_names(), F.array().cast("array<double>").alias("predicted")).limit(0)]
+            parts = [rows.select(*keep, "targets", F.array().cast("array<double>").alias("predicted")).limit(0)]
         joined = reduce(DataFrame.unionByName, parts)
-    scored = M.pairs(joined, target_names(), "predicted", keep)
+    scored = M.pairs(joined, "targets", "predicted", keep)
     return scored.withColumn("algorithm", F.lit(algorithm))
 
 

@@ -106,7 +106,10 @@ def build_features(
 ) -> DataFrame:
     """All features of every step, eligible or not.
 
-    ``targets`` adds ``target_h01..24``; ``naive`` adds the arrays ``naive_24`` and ``naive_168``.
+    ``targets`` adds the array of the next 24 values and ``has_targets``, true when all of them
+    exist; ``naive`` adds the arrays ``naive_24`` and ``naive_168``. Neighbouring values are
+    collected as one array rather than by 24 offsets each: every offset is a piece of code that
+    each executor has to compile.
     """
     wanted = ["energy_kwh", *(["coverage_ratio", "quality_status"] if quality else [])]
     frame = regular(hourly.select(*keys, "hour_start", *wanted), step, keys)
@@ -115,20 +118,23 @@ def build_features(
     def back(name: str, rows: int) -> Column:
         return F.lag(name, rows).over(order)
 
-    energy = F.col("energy_kwh")
     first = [back("energy_kwh", n).alias(f"lag_{n}") for n in LAGS]
+
+    def span(start: int, end: int) -> Column:
+        """Values of consecutive rows, nulls included; shorter where the series ends."""
+        return F.collect_list(F.struct("energy_kwh")).over(order.rowsBetween(start, end))
+
     if targets:
-        first += [F.lead("energy_kwh", h).over(order).alias(n) for h, n in enumerate(target_names(), 1)]
+        ahead = order.rowsBetween(1, HORIZONS)
+        first.append(span(1, HORIZONS)["energy_kwh"].alias("targets"))
+        first.append((F.count("energy_kwh").over(ahead) == HORIZONS).alias("has_targets"))
     if naive:
-        first += [
-            F.array(*(
-                energy if h == period else back("energy_kwh", period - h)
-                for h in range(1, HORIZONS + 1)
-            )).alias(f"naive_{period}")
-            for period in SEASONAL_PERIODS
-        ]
+        for period in SEASONAL_PERIODS:
+            seen = span(1 - period, HORIZONS - period)["energy_kwh"]
+            before = F.array_repeat(F.lit(None).cast("double"), HORIZONS - F.size(seen))
+            first.append(F.concat(before, seen).alias(f"naive_{period}"))
     if quality:
-        frame = frame.withColumn("gap", energy.isNull().cast("double"))
+        frame = frame.withColumn("gap", F.col("energy_kwh").isNull().cast("double"))
         first += [back("coverage_ratio", n).alias(f"covered_{n}") for n in (1, 2, 3)]
         first += [back("gap", n).alias(f"gap_{n}") for n in (1, 2, 3)]
         first.append(
@@ -177,9 +183,8 @@ def build_features(
         columns["past_24h_coverage_mean"] = F.col("c_24") / 24
         columns["past_168h_missing_hours"] = F.col("g_168")
         columns["last_hour_imputed"] = F.col("last_hour_imputed")
-    extra = [*(target_names() if targets else ()), *(
-        (f"naive_{p}" for p in SEASONAL_PERIODS) if naive else ()
-    )]
+    extra = ["targets", "has_targets"] if targets else []
+    extra += [f"naive_{p}" for p in SEASONAL_PERIODS] if naive else []
     return frame.select(
         *keys,
         "origin",
@@ -200,10 +205,14 @@ def eligible_features(frame: DataFrame, quality: bool = False) -> DataFrame:
 
 def eligible_supervised(frame: DataFrame, quality: bool = False) -> DataFrame:
     """Rows with every feature and all 24 targets present."""
-    present = F.col("target_h01").isNotNull()
-    for name in target_names()[1:]:
-        present = present & F.col(name).isNotNull()
-    return eligible_features(frame, quality).where(present)
+    return eligible_features(frame, quality).where("has_targets")
+
+
+def target_columns() -> list[Column]:
+    """The targets as ``target_h01`` to ``target_h24``."""
+    return [
+        F.get("targets", F.lit(place)).alias(name) for place, name in enumerate(target_names())
+    ]
 
 
 def origins_fingerprint(frame: DataFrame, keys: Sequence[str] = SERIES) -> DataFrame:

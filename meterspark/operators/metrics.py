@@ -20,12 +20,9 @@ MAE_TOLERANCE = 1.01
 STD_TOLERANCE = 1.05
 
 
-def pairs(
-    frame: DataFrame, actual: Sequence[str] | str, predicted: str, keep: Sequence[str]
-) -> DataFrame:
-    """``keep, horizon, actual, predicted`` from targets (columns or one array) and predictions."""
-    truth = F.col(actual) if isinstance(actual, str) else F.array(*actual)
-    cells = F.arrays_zip(truth.alias("actual"), F.col(predicted).alias("predicted"))
+def pairs(frame: DataFrame, actual: str, predicted: str, keep: Sequence[str]) -> DataFrame:
+    """``keep, horizon, actual, predicted`` from an array of targets and one of predictions."""
+    cells = F.arrays_zip(F.col(actual).alias("actual"), F.col(predicted).alias("predicted"))
     return frame.select(*keep, F.posexplode(cells).alias("place", "cell")).select(
         *keep,
         (F.col("place") + 1).alias("horizon"),

@@ -24,7 +24,7 @@ from meterspark.operators.splits import (
     training_segment,
     validation_fold,
 )
-from meterspark.schemas import HORIZONS, feature_names, target_names
+from meterspark.schemas import HORIZONS, feature_names
 
 # The functions below run in Python workers, which need not have this package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -57,10 +57,10 @@ def moment_blocks(
     frame: DataFrame, plan: SplitPlan, keys: Sequence[str] = SERIES, *, quality: bool = False
 ) -> DataFrame:
     """``keys, segment, n, mean, cross``: one or more blocks per series and training segment."""
-    columns = [*feature_names(quality), *target_names()]
+    values = F.concat(F.array(*feature_names(quality)), F.col("targets"))
     last = len(plan.cutoffs)
     rows = frame.select(
-        *keys, training_segment(plan).cast("int").alias("segment"), F.array(*columns).alias("row")
+        *keys, training_segment(plan).cast("int").alias("segment"), values.alias("row")
     ).where(F.col("segment") < last)
     names = [*keys, "segment"]
 
@@ -186,7 +186,7 @@ def predict_ridge(
     keys = list(keys)
     group = [*keys, "fold_no"]
     kept = [*group, "origin", *(["actual"] if actual else [])]
-    targets = [F.array(*target_names()).alias("actual")] if actual else []
+    targets = [F.col("targets").alias("actual")] if actual else []
     wanted = rows.select(*group, "origin", *targets, F.array(*names).alias("x"))
     fitted = models.select(*group, "alpha", "weights", "intercepts")
     columns = [*kept, "alpha", "predicted", "predict_ms"]

@@ -18,6 +18,7 @@ from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from meterspark.operators.features import target_columns
 from meterspark.schemas import HORIZONS, feature_names, target_names
 
 # Default parameters and search spaces.
@@ -113,7 +114,7 @@ def fit_trees(
 
     The driver only submits the fits; a few run at once so that small stages overlap.
     """
-    rows = _assembled(training, quality).select("features", *target_names())
+    rows = _assembled(training, quality).select("features", *target_columns())
 
     def fit(name: str):
         model = regressor(algorithm, params or {})

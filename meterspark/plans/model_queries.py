@@ -64,7 +64,7 @@ def features_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def targets_24(spark: SparkSession, sf_dir: str) -> DataFrame:
     frame = _frame(spark, sf_dir, targets=True)
-    return rounded(frame.select("series_id", "origin", *target_names()))
+    return rounded(frame.select("series_id", "origin", *FE.target_columns()))
 
 
 def eligible_origins(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,7 +102,7 @@ def final_test_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _naive_predictions(period: int):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = S.final_test(_supervised(spark, sf_dir, naive=True), PLAN)
-        scored = M.pairs(rows, target_names(), f"naive_{period}", ["series_id", "origin"])
+        scored = M.pairs(rows, "targets", f"naive_{period}", ["series_id", "origin"])
         return rounded(scored)
 
     return query

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 UTC_CONF = "spark.sql.session.timeZone"
 # The JVM never compiles a method over 8,000 bytes, so a larger generated stage would run
@@ -27,6 +28,8 @@ def build_session(app: str = "meterspark", *, master: str | None = None, **conf:
         METHOD_CONF: METHOD_LIMIT,
         # Do not record a Python call site for every column expression while plans are built.
         "spark.python.sql.dataFrameDebugging.enabled": "false",
+        # Room for the generated classes of several wide plans; the default holds 100.
+        "spark.sql.codegen.cache.maxEntries": "1000",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -68,4 +71,9 @@ def spread(df: DataFrame) -> DataFrame:
     For work that is heavy per row on a small file. It reads no data to decide.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    # The filter is always true; it keeps later filters from moving in front of the exchange, back
+    # into the few tasks of the scan.
+    place = df.repartition(cores).withColumn("_place", F.monotonically_increasing_id())
+    return place.where("_place >= 0").drop("_place")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from meterspark.operators import features as FE
 from meterspark.operators import splits as S
-from meterspark.schemas import feature_digest, feature_names, target_names
+from meterspark.schemas import feature_digest, feature_names
 
 BEGIN = dt.datetime(2008, 1, 1)
 
@@ -30,7 +30,7 @@ def test_first_origin_and_counts(rows):
     assert eligible[0].origin == BEGIN + dt.timedelta(hours=168) and eligible[0].lag_168 == 0.0
     supervised = FE.eligible_supervised(rows).orderBy("origin").collect()
     assert len(supervised) == 28
-    assert [supervised[0][n] for n in target_names()] == [float(v) for v in range(169, 193)]
+    assert supervised[0].targets == [float(v) for v in range(169, 193)]
 
 
 def test_windows_end_before_the_origin(rows):
@@ -59,7 +59,7 @@ def test_the_future_does_not_leak(hourly):
         for e in (before, after)
     )
     assert [a[n] for n in names] == [b[n] for n in names]
-    assert a.target_h01 != b.target_h01
+    assert a.targets[0] != b.targets[0]
 
 
 def test_quality_features_look_back_only(hourly):

@@ -12,7 +12,7 @@ from meterspark.operators import metrics as M
 from meterspark.operators import ridge as R
 from meterspark.operators import splits as S
 from meterspark.operators import trees as T
-from meterspark.schemas import feature_digest, feature_names, target_names
+from meterspark.schemas import feature_digest, feature_names
 
 DAY = 86400
 BEGIN = dt.datetime(2000, 1, 1)
@@ -81,7 +81,7 @@ def frame(spark, plan):
 
 def closed_form(rows, alpha):
     x = np.array([[r[n] for n in feature_names()] for r in rows])
-    y = np.array([[r[n] for n in target_names()] for r in rows])
+    y = np.array([r.targets for r in rows])
     mean, std = x.mean(0), x.std(0)
     std[std < 1e-12] = 1.0
     z = (x - mean) / std

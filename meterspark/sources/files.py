@@ -18,24 +18,26 @@ BLOCK_ROW_BYTES = 512
 BROADCAST_BYTES = 64 * 1024 * 1024
 
 
-def numbered_lines(spark: SparkSession, path: str, *, skip_blank: bool = False) -> DataFrame:
-    """Lines of text files with ``source_file`` and the 1-based record number in their file.
-
-    Files are read in splits. Lines of one split are consecutive in one partition, so a line's
-    number is the count of lines in earlier splits of its file plus its distance from the first
-    line of its own split. Only one row per split is aggregated and joined back; no line is
-    sorted or shuffled.
-    """
-    use_utc(spark)
-    lines = spark.read.text(path).select(
-        F.when(F.col("value").startswith(BYTE_ORDER_MARK), F.expr("substring(value, 2)"))
-        .otherwise(F.col("value"))
+def raw_lines(text: DataFrame) -> DataFrame:
+    """Lines of a text scan with their file and the start of their split."""
+    value = F.col("value")
+    return text.select(
+        F.when(value.startswith(BYTE_ORDER_MARK), F.expr("substring(value, 2)"))
+        .otherwise(value)
         .alias("value"),
         F.col("_metadata.file_path").alias("source_file"),
         F.col("_metadata.file_block_start").alias("block_start"),
     )
-    if skip_blank:
-        lines = lines.where(F.col("value") != "")
+
+
+def number_lines(lines: DataFrame, *, few_splits: bool = False) -> DataFrame:
+    """``source_file, source_row_number, value``: the 1-based record number in its file.
+
+    Files are read in splits. Lines of one split are consecutive in one partition, so a line's
+    number is the count of lines in earlier splits of its file plus its distance from the first
+    line of its own split. Only one row per split is aggregated and joined back; with ``few_splits``
+    (their number is known to be small) that side is broadcast and no line is shuffled or sorted.
+    """
     lines = lines.withColumn("place", F.monotonically_increasing_id())
     blocks = lines.groupBy("source_file", "block_start").agg(
         F.min("place").alias("first_place"), F.count(F.lit(1)).alias("block_lines")
@@ -52,14 +54,23 @@ def numbered_lines(spark: SparkSession, path: str, *, skip_blank: bool = False)
             F.coalesce(F.sum("block_lines").over(earlier), F.lit(0)) - F.col("first_place") + 1
         ).alias("base"),
     )
-    splits = len(lines.inputFiles()) + lines.rdd.getNumPartitions()
-    if splits * BLOCK_ROW_BYTES <= BROADCAST_BYTES:
+    if few_splits:
         bases = F.broadcast(bases)
     return lines.join(bases, ["source_file", "block_start"]).select(
         "source_file", (F.col("place") + F.col("base")).alias("source_row_number"), "value"
     )
 
 
+def numbered_lines(spark: SparkSession, path: str, *, skip_blank: bool = False) -> DataFrame:
+    """Numbered lines of the text files at ``path``; skipped blank lines are not counted."""
+    lines = raw_lines(use_utc(spark).read.text(path))
+    if skip_blank:
+        lines = lines.where(F.col("value") != "")
+    # A file has one split more than the partitions it fills, so this bounds the block table.
+    splits = len(lines.inputFiles()) + lines.rdd.getNumPartitions()
+    return number_lines(lines, few_splits=splits * BLOCK_ROW_BYTES <= BROADCAST_BYTES)
+
+
 def read_uci(
     spark: SparkSession,
     path: str,
@@ -70,7 +81,7 @@ def read_uci(
     """Parse household-power text files; each file is a series unless ``series`` says otherwise."""
     lines = numbered_lines(spark, path)
     _check_headers(lines, lambda header: header == UCI_COLUMNS, ";", f"{UCI_COLUMNS} in order")
-    return parse_uci_lines(_data_lines(lines, series), timezone=timezone)
+    return parse_uci_lines(data_lines(lines, series), timezone=timezone)
 
 
 def read_mapped_csv(
@@ -82,10 +93,10 @@ def read_mapped_csv(
     header = _check_headers(
         lines, lambda cells: wanted <= set(cells), mapping.delimiter, f"columns {sorted(wanted)}"
     )
-    return parse_mapped_lines(_data_lines(lines, series), mapping, header)
+    return parse_mapped_lines(data_lines(lines, series), mapping, header)
 
 
-def _data_lines(lines: DataFrame, series: Column | None) -> DataFrame:
+def data_lines(lines: DataFrame, series: Column | None) -> DataFrame:
     name = F.col("source_file") if series is None else series
     return lines.where("source_row_number > 1").select(
         name.alias("series_id"), "source_row_number", "value"

@@ -29,10 +29,9 @@ def store_import(parsed: DataFrame, target: ImportTarget, *, profile: str) -> No
     versioned = parsed.withColumn(VERSION, F.col("series_id"))
     replace_version(measurements(versioned), target.measurements)
     replace_version(parse_issues(versioned, ("series_id", VERSION)), target.issues)
-    report = import_report(versioned, profile=profile, keep=("series_id", VERSION))
+    report = import_report(versioned, profile=profile, keep=("series_id", VERSION)).persist()
     replace_version(report.coalesce(1), target.reports)
     spark = parsed.sparkSession
-    stored = spark.read.parquet(target.reports)
-    here = stored.join(versioned.select(VERSION).distinct(), VERSION, "left_semi")
-    clear_versions(spark, target.measurements, here.where("stored_rows = 0"))
-    clear_versions(spark, target.issues, here.where("parse_issue_count = 0"))
+    clear_versions(spark, target.measurements, report.where("stored_rows = 0"))
+    clear_versions(spark, target.issues, report.where("parse_issue_count = 0"))
+    report.unpersist()

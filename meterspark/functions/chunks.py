@@ -30,19 +30,25 @@ def with_halo(df: DataFrame, position: Column, size: int, *, back: int, ahead: i
         raise ValueError("a chunk must be at least as long as its halo")
     home = floor_div(position, size)
     offset = position - home * F.lit(size)
-    choices = [F.struct(home.alias(CHUNK), F.lit(True).alias(OWN))]
-    if back:
-        choices.append(
-            F.when(
-                offset >= size - back,
-                F.struct((home + 1).alias(CHUNK), F.lit(False).alias(OWN)),
-            )
-        )
-    if ahead:
-        choices.append(
-            F.when(offset < ahead, F.struct((home - 1).alias(CHUNK), F.lit(False).alias(OWN)))
-        )
-    return df.select("*", F.inline(F.array_compact(F.array(*choices))))
+    late = (offset >= size - back) if back else F.lit(False)
+    early = (offset < ahead) if ahead else F.lit(False)
+
+    def copies(*places: int) -> Column:
+        return F.array(*(F.lit(p).cast("long") for p in places))
+
+    # Constant arrays: nearly every row takes the last branch and is emitted once.
+    places = (
+        F.when(late & early, copies(0, 1, -1))
+        .when(late, copies(0, 1))
+        .when(early, copies(0, -1))
+        .otherwise(copies(0))
+    )
+    return (
+        df.select("*", home.alias(CHUNK), F.explode(places).alias("_place"))
+        .withColumn(CHUNK, F.col(CHUNK) + F.col("_place"))
+        .withColumn(OWN, F.col("_place") == 0)
+        .drop("_place")
+    )
 
 
 def edge_pairs(

@@ -42,6 +42,7 @@ from meterspark.schemas import (
 
 SERIES = ("series_id",)
 TARGETS = {"energy": "energy_kwh", "active_power": "active_power_kw"}
+MARKS = ("conflict", "invalid_value", "has_energy", "has_active_power")
 
 
 @dataclass(frozen=True)
@@ -101,12 +102,9 @@ def resolve_duplicates(
     source = df.withColumn("status_code", code)
     differs = F.min("status_code") != F.max("status_code")
     for measure in TRANSFORM_MEASURES:
-        filled = F.count(measure)
-        differs = (
-            differs
-            | F.coalesce(F.min(measure) != F.max(measure), F.lit(False))
-            | ((filled > 0) & (filled < F.count(F.lit(1))))
-        )
+        # A missing value takes part as NaN, which parsing never lets through as a value.
+        present = F.coalesce(measure, F.lit(float("nan")))
+        differs = differs | (F.min(present) != F.max(present))
 
     def first(name: str) -> Column:
         return F.min_by(name, "source_row_number")
@@ -123,7 +121,7 @@ def resolve_duplicates(
         else:
             pick = F.col(f"first_{name}")
         chosen.append(pick.alias(name))
-    aggregates = [differs.alias("differs"), F.count(F.lit(1)).alias("row_count")]
+    aggregates = [differs.alias("differs")]
     aggregates += [first(n).alias(f"first_{n}") for n in (*TRANSFORM_MEASURES, "status_code")]
     if policy == "keep_last":
         aggregates += [last(n).alias(f"last_{n}") for n in (*TRANSFORM_MEASURES, "status_code")]
@@ -153,7 +151,6 @@ def resolve_duplicates(
         "observed_at",
         *chosen,
         (F.col("differs") if policy == "reject" else F.lit(False)).alias("conflict"),
-        "row_count",
         *extra,
     )
 
@@ -358,41 +355,29 @@ def _hour_rows(df: DataFrame, interval: int, policy: Policy, keys: Sequence[str]
         [*keys, "off_grid"],
         any_of={f"has_{name}": is_finite(F.col(m)) for name, m in TARGETS.items()},
     )
-    slot = floor_div(epoch(F.col("observed_at")), interval)
-    placed = merged.select(
-        "*",
-        slot.alias("slot"),
-        (floor_div(slot, per_hour) * per_hour).alias("hour_slot"),
-        *(
-            F.when(~F.col("off_grid") & usable(measure).isNotNull(), F.struct(
-                slot.alias("s"), F.col(measure).alias("v")
-            )).alias(name)
-            for name, measure in TARGETS.items()
-        ),
+    seen = with_halo(
+        _chunk_rows(merged, interval, keys), F.col("slot"), DAY // interval, back=halo, ahead=halo
     )
-    seen = with_halo(placed, F.col("slot"), DAY // interval, back=halo, ahead=halo)
     inside = f"over (partition by {', '.join(keys)}, {CHUNK} order by slot)"
     linked = seen.select(
         "*",
         *(
-            F.expr(f"{function}({name}) ignore nulls {inside}").alias(f"{name}_{function}")
+            F.expr(f"{function}({name}{part}) ignore nulls {inside}").alias(f"{name}{part}_{function}")
             for name in TARGETS
+            for part in ("", "_slot")
             for function in ("lag", "lead")
         ),
     ).where(OWN)
+    linked = linked.withColumn("hour_slot", floor_div(F.col("slot"), per_hour) * per_hour)
 
-    gridded = ~F.col("off_grid")
-    aggregates = [
-        F.max(F.col("conflict") & gridded).alias("conflict"),
-        F.max(has_invalid_numeric() & gridded).alias("invalid_value"),
-    ]
+    def marked(name: str) -> Column:
+        return F.getbit(F.bit_or("marks"), F.lit(MARKS.index(name))) == 1
+
+    aggregates = [marked(name).alias(name) for name in MARKS]
     for name in TARGETS:
         aggregates += _target_aggregates(name, limit, per_hour)
-        aggregates.append(F.max(f"has_{name}").alias(f"has_{name}"))
     for measure in ("active_power_kw", "reactive_power_kw", "voltage_v", "current_a"):
-        value = F.col(measure)
-        fit = value > 0 if measure == "voltage_v" else value >= 0
-        good = F.when(gridded & is_finite(value) & fit, value)
+        good = F.col(f"good_{measure}")
         aggregates.append(F.avg(good).alias(f"mean_{measure}"))
         if measure == "voltage_v":
             aggregates.append(F.min(good).alias("min_voltage_v"))
@@ -401,41 +386,65 @@ def _hour_rows(df: DataFrame, interval: int, policy: Policy, keys: Sequence[str]
     return linked.groupBy(*keys, CHUNK, "hour_slot").agg(*aggregates)
 
 
+def _chunk_rows(merged: DataFrame, interval: int, keys: Sequence[str]) -> DataFrame:
+    """What the chunk shuffle carries, and no more: conditions are bits, values are ready to use."""
+    gridded = ~F.col("off_grid")
+    conditions = {
+        "conflict": F.col("conflict") & gridded,
+        "invalid_value": has_invalid_numeric() & gridded,
+        **{f"has_{name}": F.col(f"has_{name}") for name in TARGETS},
+    }
+    marks = sum(
+        (F.when(conditions[name], 1 << place).otherwise(0) for place, name in enumerate(MARKS)),
+        F.lit(0),
+    )
+    slot = floor_div(epoch(F.col("observed_at")), interval)
+    targets, goods = [], []
+    for name, measure in TARGETS.items():
+        value = F.when(gridded, usable(measure))
+        targets += [value.alias(name), F.when(value.isNotNull(), slot).alias(f"{name}_slot")]
+    for measure in TRANSFORM_MEASURES[1:]:
+        value = F.col(measure)
+        fit = value > 0 if measure == "voltage_v" else value >= 0
+        goods.append(F.when(gridded & is_finite(value) & fit, value).alias(f"good_{measure}"))
+    return merged.select(*keys, slot.alias("slot"), marks.alias("marks"), *targets, *goods)
+
+
 def _target_aggregates(name: str, limit: int, per_hour: int) -> list[Column]:
     """Hour aggregates of one target: count, sum, short-gap fill and missing run."""
-    slot, start = F.col("slot"), F.col("hour_slot")
-    value = F.col(name)["v"]
-    valid = F.col(name).isNotNull()
-    left, right = F.col(f"{name}_lag"), F.col(f"{name}_lead")
+    slot, start, value = F.col("slot"), F.col("hour_slot"), F.col(name)
+    valid = value.isNotNull()
+    left_slot, left = F.col(f"{name}_slot_lag"), F.col(f"{name}_lag")
+    right_slot, right = F.col(f"{name}_slot_lead"), F.col(f"{name}_lead")
 
     # The part of a short gap before this reading that lies in its hour.
-    gap = slot - left["s"] - 1
-    k_first = F.greatest(left["s"] + 1, start) - left["s"]
+    gap = slot - left_slot - 1
+    k_first = F.greatest(left_slot + 1, start) - left_slot
     short = valid & gap.between(1, limit)
-    slope = (value - left["v"]) / (gap + 1)
+    slope = (value - left) / (gap + 1)
     n_before = F.when(short, gap - k_first + 1).otherwise(0)
     fill_before = F.when(
-        short, n_before * left["v"] + slope * (gap * (gap + 1) - (k_first - 1) * k_first) / 2
+        short, n_before * left + slope * (gap * (gap + 1) - (k_first - 1) * k_first) / 2
     ).otherwise(0.0)
 
     # The part after it, where the gap leaves the hour; no short gap spans a whole hour.
-    gap_after = right["s"] - slot - 1
+    gap_after = right_slot - slot - 1
     end = start + per_hour
-    crosses = valid & gap_after.between(1, limit) & (right["s"] >= end)
+    crosses = valid & gap_after.between(1, limit) & (right_slot >= end)
     n_after = F.when(crosses, end - slot - 1).otherwise(0)
-    slope_after = (right["v"] - value) / (gap_after + 1)
+    slope_after = (right - value) / (gap_after + 1)
     fill_after = F.when(
         crosses, n_after * value + slope_after * n_after * (n_after + 1) / 2
     ).otherwise(0.0)
 
-    run_before = F.when(valid, slot - F.greatest(F.coalesce(left["s"] + 1, start), start))
+    run_before = F.when(valid, slot - F.greatest(F.coalesce(left_slot + 1, start), start))
     return [
-        F.count_if(valid).alias(f"{name}_observed"),
+        F.count(value).alias(f"{name}_observed"),
         F.sum(value).alias(f"{name}_sum"),
         F.sum(n_before + n_after).alias(f"{name}_imputed"),
         F.sum(fill_before + fill_after).alias(f"{name}_fill"),
         F.max(run_before).alias(f"{name}_run"),
-        F.max(F.when(valid, slot)).alias(f"{name}_last"),
+        F.max(f"{name}_slot").alias(f"{name}_last"),
     ]
 
 

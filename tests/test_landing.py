@@ -1,3 +1,5 @@
+import uuid
+
 import pytest
 
 from meterspark.schemas import UCI_COLUMNS
@@ -16,7 +18,7 @@ def test_new_files_are_imported_once(spark, tmp_path):
     folder = tmp_path / "landing"
     folder.mkdir()
     target = ImportTarget(*(str(tmp_path / n) for n in ("m", "i", "r")))
-    name = f"landing-{tmp_path.name}"
+    name = f"landing-{uuid.uuid4()}"
     write(folder, "a.txt", range(10))
     import_landing(spark, str(folder), target, name=name).awaitTermination(120)
     write(folder, "b.txt", range(5))

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import csv
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from meterspark.functions.parsing import split_line
 from meterspark.schemas import UCI_COLUMNS, UCI_TIMEZONE
 from meterspark.session import use_utc
 from meterspark.sources.rows import CsvMapping, parse_mapped_lines, parse_uci_lines
@@ -79,45 +78,43 @@ def read_uci(
     series: Column | None = None,
 ) -> DataFrame:
     """Parse household-power text files; each file is a series unless ``series`` says otherwise."""
+    header = _first_line(spark, path)
+    if tuple(header.split(";")) != UCI_COLUMNS:
+        raise ValueError(f"header {header!r} does not hold the columns {UCI_COLUMNS} in order")
     lines = numbered_lines(spark, path)
-    _check_headers(lines, lambda header: header == UCI_COLUMNS, ";", f"{UCI_COLUMNS} in order")
-    return parse_uci_lines(data_lines(lines, series), timezone=timezone)
+    return parse_uci_lines(data_lines(lines, header, series), timezone=timezone)
 
 
 def read_mapped_csv(
     spark: SparkSession, path: str, mapping: CsvMapping, *, series: Column | None = None
 ) -> DataFrame:
     """Parse delimited files that share one header; blank lines are skipped and not numbered."""
+    header = _first_line(spark, path)
+    cells = next(csv.reader([header], delimiter=mapping.delimiter, strict=True))
     lines = numbered_lines(spark, path, skip_blank=True)
-    wanted = set(mapping.required_columns)
-    header = _check_headers(
-        lines, lambda cells: wanted <= set(cells), mapping.delimiter, f"columns {sorted(wanted)}"
-    )
-    return parse_mapped_lines(data_lines(lines, series), mapping, header)
+    return parse_mapped_lines(data_lines(lines, header, series), mapping, cells)
+
 
+def data_lines(lines: DataFrame, header: str, series: Column | None = None) -> DataFrame:
+    """Numbered lines without the header, as ``series_id, source_row_number, value``.
 
-def data_lines(lines: DataFrame, series: Column | None) -> DataFrame:
+    The first line of every file is compared while the lines are read, so no pass over the files
+    is spent on it; another header fails the job before its output is committed.
+    """
     name = F.col("source_file") if series is None else series
-    return lines.where("source_row_number > 1").select(
-        name.alias("series_id"), "source_row_number", "value"
+    refused = F.raise_error(F.concat(F.lit("unexpected header in "), F.col("source_file"))).cast("string")
+    # The refusal sits in the text itself: whatever reads the cells of such a line meets it, in
+    # whichever order the optimiser places later filters.
+    data = F.col("source_row_number") > 1
+    text = F.when(data | (F.col("value") == header), F.col("value")).otherwise(refused)
+    return lines.where(data | (F.col("value") != header)).select(
+        name.alias("series_id"), "source_row_number", text.alias("value")
     )
 
 
-def _check_headers(lines: DataFrame, accept, delimiter: str, expected: str) -> Sequence[str]:
-    """The distinct headers of the files (two at most reach the driver) must be one accepted one."""
-    found = (
-        lines.where("source_row_number = 1")
-        .select(split_line(F.col("value"), delimiter).alias("cells"))
-        .distinct()
-        .limit(2)
-        .collect()
-    )
-    if not found:
+def _first_line(spark: SparkSession, path: str) -> str:
+    """First line that is not blank; only the start of the first file is read."""
+    first = raw_lines(use_utc(spark).read.text(path)).where("value <> ''").select("value").first()
+    if first is None:
         raise ValueError("the source holds no header line")
-    headers = [tuple(row.cells) for row in found]
-    for header in headers:
-        if not accept(header):
-            raise ValueError(f"header {header} does not have the {expected}")
-    if len(headers) > 1:
-        raise ValueError("the files do not share one header")
-    return headers[0]
+    return first.value

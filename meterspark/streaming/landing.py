@@ -26,8 +26,8 @@ def import_landing(
 
     Each file is one dataset version named after it. A batch replaces the versions it holds, so a
     batch that is run again after a failure leaves the tables as one run would. Progress is kept
-    under the shared checkpoint folder. Files without the expected header are refused: the batch
-    fails before anything of it is written.
+    under the shared checkpoint folder. A file without the expected header fails its batch before
+    anything of it is written.
     """
     use_utc(spark)
     text = (
@@ -36,13 +36,9 @@ def import_landing(
     header = ";".join(UCI_COLUMNS)
 
     def store(batch: DataFrame, _: int) -> None:
-        lines = number_lines(batch)
-        wrong = lines.where((F.col("source_row_number") == 1) & (F.col("value") != header))
-        refused = wrong.select("source_file").limit(1).collect()
-        if refused:
-            raise ValueError(f"unexpected header in {refused[0].source_file}")
         version = F.element_at(F.split("source_file", "/"), -1)
-        parsed = parse_uci_lines(data_lines(lines, version), timezone=timezone)
+        lines = data_lines(number_lines(batch), header, version)
+        parsed = parse_uci_lines(lines, timezone=timezone)
         store_import(parsed, target, profile="uci")
 
     return (

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,6 +27,7 @@ from meterspark.plans.inputs import (
 )
 from meterspark.plans.model_queries import _CV, _FM, PLAN, ZONE, _forecast_sql, _full
 from meterspark.schemas import FEATURE_VERSIONS
+from meterspark.session import scratch_folder
 
 ORIGIN = datetime(2024, 1, 25)
 
@@ -178,13 +178,9 @@ def neutralize_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _folder(kind: str) -> str:
-    return f"{tempfile.mkdtemp(prefix='meterspark-')}/{kind}"
-
-
 def replace_version_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A repeated import replaces its own version and leaves the others."""
-    path = _folder("hourly")
+    path = scratch_folder(spark, "hourly")
     daily = daily_quantity(spark, sf_dir).withColumn(C.VERSION, F.col("series_id"))
     C.replace_version(daily, path)
     again = daily.where("series_id = 'R'").withColumn("energy_kwh", F.col("energy_kwh") * 2)
@@ -198,7 +194,7 @@ def replace_version_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hourly_write_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _folder("hourly")
+    path = scratch_folder(spark, "hourly")
     C.replace_version(hourly_events(spark, sf_dir).withColumn(C.VERSION, F.col("series_id")), path)
     return C.version_statistics(C.scan_version(spark, path, "all"))
 

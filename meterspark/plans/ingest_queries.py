@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +16,7 @@ from meterspark.plans.inputs import (
     uci_lines,
 )
 from meterspark.schemas import UCI_COLUMNS
+from meterspark.session import scratch_folder
 from meterspark.sources.files import read_uci
 from meterspark.sources.rows import (
     CsvMapping,
@@ -152,7 +151,7 @@ def parse_timestamps_dst(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def source_row_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines written as text files and read back with record numbers; one file per event type."""
-    folder = tempfile.mkdtemp(prefix="meterspark-lines-")
+    folder = scratch_folder(spark, "lines")
     lines = uci_lines(spark, sf_dir).select("source_row_number", "value")
     header = F.lit(";".join(UCI_COLUMNS))
     kinds = table(spark, sf_dir, "events").select(

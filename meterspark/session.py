@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -65,6 +66,11 @@ def shared_checkpoint_dir(spark: SparkSession) -> str:
     return fresh
 
 
+def scratch_folder(spark: SparkSession, kind: str) -> str:
+    """A path not used before, below the folder every executor can reach."""
+    return f"{shared_checkpoint_dir(spark)}/meterspark-{kind}-{uuid.uuid4()}"
+
+
 def spread(df: DataFrame) -> DataFrame:
     """One task per core for a scan with fewer splits than cores; larger scans stay as they are.
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from meterspark.llm import packing, rules, toxicity, urls, warc
+from meterspark.llm import decontaminate, html, packing, rules, toxicity, urls, warc
 
 QUERIES = {
     "op3_toxicity": toxicity.op3_toxicity,
+    "op4_decontamination": decontaminate.op4_decontamination,
+    "op5_html_extraction": html.op5_html_extraction,
     "op6_packing": packing.op6_packing,
     "op7_url_filter": urls.op7_url_filter,
     "op9_repetition_rules": rules.op9_repetition_rules,

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from meterspark.llm import decontaminate, html, packing, rules, suffixes, toxicity, urls, warc
+from meterspark.llm import decontaminate, html, jaccard, packing, rules, suffixes, toxicity, urls, warc
 
 QUERIES = {
+    "op1_jaccard_join": jaccard.op1_jaccard_join,
     "op2_suffix_dedup": suffixes.op2_suffix_dedup,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_decontamination": decontaminate.op4_decontamination,

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from meterspark.llm import decontaminate, html, jaccard, packing, rules, suffixes, toxicity, urls, warc
+import corpus_pipeline
+from meterspark.llm import decontaminate, html, jaccard, lm, packing, rules, suffixes, toxicity, urls, warc
 
 QUERIES = {
     "op1_jaccard_join": jaccard.op1_jaccard_join,
@@ -12,7 +13,9 @@ QUERIES = {
     "op5_html_extraction": html.op5_html_extraction,
     "op6_packing": packing.op6_packing,
     "op7_url_filter": urls.op7_url_filter,
+    "op8_lm_scoring": lm.op8_lm_scoring,
     "op9_repetition_rules": rules.op9_repetition_rules,
     "op10_warc_bundles": warc.op10_warc_bundles,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLE = {"op10_warc_bundles": warc.OP10_SQL}

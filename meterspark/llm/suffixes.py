@@ -341,8 +341,21 @@ def merged_spans(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.nd
     return start[opens], reach[np.r_[opens[1:], True]]
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """All columns of ``docs`` with ``kept`` (remaining bytes) and ``removed`` (array of start, stop)."""
+def _whole_characters(body: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ranges narrowed so that no character of several bytes is cut."""
+    inner = np.r_[(body & 0xC0) == 0x80, False]
+    for _ in range(3):
+        start = start + inner[start]
+        stop = stop - inner[stop]
+    some = start < stop
+    return start[some], stop[some]
+
+
+def remove_repeats(docs: DataFrame, length: int = LENGTH, whole_characters: bool = False) -> DataFrame:
+    """All columns of ``docs`` with ``kept`` (remaining bytes) and ``removed`` (array of start, stop).
+
+    ``whole_characters`` keeps all bytes of a character of which some would stay.
+    """
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("id")
     body = F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text")
     texts = docs.select(key, body)
@@ -390,6 +403,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                     mine = code >> _PLACE_BITS == tag
                     place = code[mine] & low
                     a, b = merged_spans(np.maximum(place - left[mine], 0), np.minimum(place + right[mine], len(body)))
+                    if whole_characters:
+                        a, b = _whole_characters(body, a, b)
                     edges = np.r_[0, np.c_[a, b].ravel(), len(body)]
                     bodies.append(b"".join(body[p:q].tobytes() for p, q in edges.reshape(-1, 2).tolist()))
                     spans.append([{"start": p, "stop": q} for p, q in zip(a.tolist(), b.tolist(), strict=True)])

@@ -7,15 +7,17 @@ Texts with one shingle set are one vertex from the start. The rest:
    shingles; hashing shingles into more than d segments leaves some segment untouched. The contents of
    a set's segments are its keys, so linked sets share a key: no link is lost (see ``segment_keys``
    for empty segments). A key is a tile of sets of similar size that agree in one segment.
-2. Stars. Every set is compared with the first set of the tiles it shares most, exactly, by
-   intersecting sorted arrays. That joins nearly all of a large group of near copies with as many
-   comparisons as it has members.
+2. Stars. Every set is compared with the leader of the tiles it shares most, exactly, by intersecting
+   sorted arrays; in further rounds with leaders outside its component. That joins nearly all of a
+   large group of near copies with a few comparisons a member.
 3. Tiles. Tiles that still hold sets of different components, one for each combination of members, are
    searched by bitmap signatures: differing bits bound the symmetric difference from below and so the
    overlap from above. Only pairs of different components within the bound leave the task and are
    intersected exactly. A large tile is split into blocks of bounded size, compared block by block.
 4. Components of all links.
 
+Joins with texts or signatures are always merge joins: either side grows with the corpus.
+
 Every pair that shares a key either already is in one component or is compared, so the result is
 complete; tiles and copies are never expanded into pairs that leave a task.
 
@@ -38,7 +40,9 @@ from meterspark.llm.frames import staged
 from meterspark.llm.texts import Chunk, chunks, expand, mix, ngrams
 
 BLOCK = 2048
-MIN_BITS, MAX_BITS = 512, 1 << 16
+PART = 256
+ROUNDS = 3
+MIN_BITS, MAX_BITS = 1024, 1 << 18
 _SALT = np.uint64(0x2545F4914F6CDD1D)
 
 
@@ -129,10 +133,11 @@ def segment_keys(parts: np.ndarray, sizes: np.ndarray, bands: Bands) -> tuple[np
 
 
 def bitmaps(parts: np.ndarray, sizes: np.ndarray) -> list[bytes]:
-    """A bitmap per set with about eight bits for each shingle, as a power of two."""
+    """A bitmap per set with 32 to 64 bits for each shingle, as a power of two: few shingles share a bit,
+    so the bound is tight, and the empty bytes compress."""
     begin, out = np.cumsum(sizes) - sizes, []
     for a, n in zip(begin.tolist(), sizes.tolist(), strict=True):
-        bits = min(max(MIN_BITS, 1 << (8 * n - 1).bit_length()), MAX_BITS)
+        bits = min(max(MIN_BITS, 1 << (32 * n - 1).bit_length()), MAX_BITS)
         flags = np.zeros(bits, np.uint8)
         flags[(mix(parts[a : a + n] ^ (_SALT << np.uint64(1))) & np.uint64(bits - 1)).astype(np.int64)] = 1
         out.append(np.packbits(flags, bitorder="little").tobytes())
@@ -213,7 +218,7 @@ def shared_keys(docs: DataFrame, size: int, percent: int) -> DataFrame:
 
 
 def exact_links(rows: DataFrame, size: int, percent: int) -> DataFrame:
-    """(a, b) that link, from rows (star, follows, v, text): each follower is compared with its star."""
+    """(a, b) that link, from rows (star, part, follows, v, text): each follower is compared with its star."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         star, of_star = None, None
@@ -235,14 +240,48 @@ def exact_links(rows: DataFrame, size: int, percent: int) -> DataFrame:
                 [pa.array([o[i] for o in out], pa.int64()) for i in (0, 1)], ["a", "b"]
             )
 
-    ordered = rows.repartition("star").sortWithinPartitions("star", "follows")
+    ordered = rows.repartition("star", "part").sortWithinPartitions("star", "part", "follows")
     return ordered.mapInArrow(run, "a long, b long")
 
 
 def _star_rows(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Rows for ``exact_links`` from pairs (star, v): the star's text once, then its followers'."""
-    stars = pairs.select(F.col("star"), F.lit(0).alias("follows"), F.col("star").alias("v")).distinct()
-    return stars.unionByName(pairs.select("star", F.lit(1).alias("follows"), "v")).join(texts, "v")
+    """Rows for ``exact_links`` from pairs (star, v): the star's text, then its followers'.
+
+    A star with many followers is dealt out in parts of about ``PART`` of them, each with its text.
+    """
+    sizes = pairs.groupBy("star").agg(F.ceil(F.count("*") / PART).alias("parts"))
+    dealt = pairs.join(sizes, "star").select("star", F.pmod(F.xxhash64("v"), "parts").alias("part"), "v")
+    stars = dealt.select("star", "part", F.lit(0).alias("follows"), F.col("star").alias("v")).distinct()
+    return stars.unionByName(dealt.select("star", "part", F.lit(1).alias("follows"), "v")).join(
+        texts.hint("merge"), "v"
+    )
+
+
+def star_links(shared: DataFrame, texts: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Links found by comparing sets with leaders of their tiles, and their components (v, label).
+
+    In each round every set is compared with one leader outside its component, the one it shares most
+    tiles with and was not compared with before; so a round costs at most one comparison a set.
+    """
+    votes = staged(shared.where("v <> leader").groupBy("v", "leader").agg(F.count("*").alias("keys")), "votes")
+    links = labels = tried = None
+    for _ in range(ROUNDS):
+        left = votes
+        if labels is not None:
+            of_v, of_leader = (labels.withColumnsRenamed({"v": k, "label": f"of_{k}"}) for k in ("v", "leader"))
+            left = left.join(of_v, "v", "left").join(of_leader, "leader", "left")
+            left = left.where(~F.coalesce("of_v", "v").eqNullSafe(F.coalesce("of_leader", "leader")))
+            left = left.join(tried, ["v", "leader"], "left_anti")
+        best = left.groupBy("v").agg(F.max_by("leader", F.struct("keys", "leader")).alias("star"))
+        best = staged(best.select("star", "v"), "stars")
+        found = staged(exact_links(_star_rows(best, texts), size, percent), "links")
+        if found.isEmpty() and links is not None:
+            break
+        links = found if links is None else links.unionByName(found)
+        now = best.select("v", F.col("star").alias("leader"))
+        tried = now if tried is None else tried.unionByName(now)
+        labels = connected_components(links)
+    return links, labels
 
 
 def open_tiles(shared: DataFrame, labels: DataFrame) -> DataFrame:
@@ -325,14 +364,11 @@ def signatures(texts: DataFrame, size: int) -> DataFrame:
 def links(docs: DataFrame, size: int, percent: int, of: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Links between different sets, enough for all components, and those components (v, label)."""
     shared = staged(shared_keys(docs, size, percent), "shared")
-    votes = shared.where("v <> leader").groupBy("v", "leader").agg(F.count("*").alias("keys"))
-    best = votes.groupBy("v").agg(F.max_by("leader", F.struct("keys", "leader")).alias("star"))
     wanted = shared.select("v").distinct().join(of.groupBy("v").agg(F.min("doc_id").alias("doc_id")), "v")
-    texts = docs.select("doc_id", "text").join(staged(wanted, "wanted"), "doc_id")
+    texts = docs.select("doc_id", "text").join(staged(wanted, "wanted").hint("merge"), "doc_id")
     texts = staged(_of_set(texts, size), "texts")
-    near = staged(exact_links(_star_rows(best.select("star", "v"), texts), size, percent), "links")
-    labels = connected_components(near)
-    rows = open_tiles(shared, labels).join(signatures(texts, size), "v")
+    near, labels = star_links(shared, texts, size, percent)
+    rows = open_tiles(shared, labels).join(signatures(texts, size).hint("merge"), "v")
     pairs = staged(tile_candidates(rows, percent).distinct(), "pairs")
     if pairs.isEmpty():
         return near, labels

@@ -6,6 +6,7 @@ that bound is what allows an exact percentile per series here.
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -114,18 +115,17 @@ def bucket_seconds(span: TimeRange, resolution: str, max_points: int) -> int:
     low, high = POINT_BOUNDS
     if not low <= max_points <= high:
         raise ValueError(f"max_points must be between {low} and {high}")
-    base = BASE_BUCKETS[resolution]
-    start, end = span.start.timestamp(), span.end.timestamp()
-    width = base * max(1, math.ceil((end - start) / (max_points * base)))
-
-    def buckets(seconds: int) -> int:
-        first = math.floor((start - BUCKET_ANCHOR) / seconds)
-        last = math.floor((end - 1e-6 - BUCKET_ANCHOR) / seconds)
-        return last - first + 1
-
-    while buckets(width) > max_points:
-        width += base
-    return width
+    second = 1_000_000
+    unit = BASE_BUCKETS[resolution] * second
+    begin, last = (round((t.timestamp() - BUCKET_ANCHOR) * second) for t in (span.start, span.end))
+    last -= 1  # the end is not part of the range
+
+    def fits(multiple: int) -> bool:
+        return last // (multiple * unit) - begin // (multiple * unit) < max_points
+
+    # Alignment costs one bucket at most, so one of these few multiples fits.
+    least = max(1, (last - begin + 1) // (max_points * unit))
+    return next(m for m in itertools.count(least) if fits(m)) * unit // second
 
 
 def energy_series(

@@ -147,7 +147,7 @@ def run_experiment(
     chosen = runs.where("is_recommended").select(*by, "params")
     for algorithm in algorithms:
         if algorithm not in is_failed:
-            tests.append(_test_scores(frame, plan, algorithm, chosen, keys))
+            tests.append(_test_scores(frame, plan, algorithm, chosen, keys, alphas))
     scored = reduce(DataFrame.unionByName, tests)
     final = M.error_metrics(scored, by).select(
         *by,
@@ -210,14 +210,19 @@ def _validation_scores(
             spent = (time.perf_counter() - started) * 1000 / count
             parts.append(
                 M.pairs(predicted, "targets", "predicted", keep)
-                .withColumn("params", F.to_json(_params(params)))
+                .withColumn("params", F.to_json(_params(params), {"ignoreNullFields": "false"}))
                 .withColumn("predict_ms", F.lit(spent))
             )
     return reduce(DataFrame.unionByName, parts).withColumn("algorithm", F.lit(algorithm))
 
 
 def _test_scores(
-    frame: DataFrame, plan: SplitPlan, algorithm: str, chosen: DataFrame, keys: Sequence[str]
+    frame: DataFrame,
+    plan: SplitPlan,
+    algorithm: str,
+    chosen: DataFrame,
+    keys: Sequence[str],
+    alphas: Sequence[float],
 ) -> DataFrame:
     """Test-period errors of the series for which this algorithm was recommended."""
     mine = chosen.where(F.col("algorithm") == algorithm).select(*keys, "params")
@@ -227,7 +232,7 @@ def _test_scores(
     if algorithm in NAIVE:
         return naive_scored(rows, keep, [algorithm])
     if algorithm == "ridge":
-        models = fit_ridge(own, plan, ALPHAS, keys).where(F.col("fold_no") == FINAL_FOLD)
+        models = fit_ridge(own, plan, alphas, keys).where(F.col("fold_no") == FINAL_FOLD)
         picked = models.join(mine, list(keys)).where(
             F.get_json_object("params", "$.alpha").cast("double") == F.col("alpha")
         )
@@ -257,7 +262,9 @@ def _test_scores(
 def _params(params: Mapping[str, Any]):
     if not params:
         return F.create_map().cast("map<string,string>")
-    return F.struct(*(F.lit(params[name]).alias(name) for name in sorted(params)))
+    # A null is a choice of its own (no limit), so it is written and read back as null.
+    values = {k: F.lit(None).cast("string") if v is None else F.lit(v) for k, v in params.items()}
+    return F.struct(*(values[name].alias(name) for name in sorted(params)))
 
 
 def _read_params(text: str) -> dict[str, Any]:

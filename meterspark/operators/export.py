@@ -214,7 +214,7 @@ def metric_documents(comparison: DataFrame, experiments: DataFrame) -> DataFrame
         "horizon_metrics": ("evaluation_scope", "horizon", "mae", "rmse", "smape"),
     }
     model = {name: F.col(name) for name in MODEL_COLUMNS if name != "hyperparameters_json"}
-    model["hyperparameters"] = F.from_json("hyperparameters_json", "map<string,double>")
+    model["hyperparameters"] = F.parse_json("hyperparameters_json")
     model |= {name: in_order(name, fields) for name, fields in nested.items()}
     models = comparison.groupBy("experiment_id").agg(
         F.array_sort(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -54,13 +55,15 @@ def use_utc(spark: SparkSession) -> SparkSession:
 
 
 def shared_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``; a fresh one only where unset."""
+    """The folder the cluster names in ``spark.checkpoint.dir``; a fresh one only on a single machine."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     fresh = tempfile.mkdtemp(prefix="meterspark-ckpt-")
     spark.sparkContext.setCheckpointDir(fresh)
     return fresh

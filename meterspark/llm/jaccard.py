@@ -10,10 +10,12 @@ Texts with one shingle set are one vertex from the start. The rest:
 2. Stars. Every set is compared with the leader of the tiles it shares most, exactly, by intersecting
    sorted arrays; in further rounds with leaders outside its component. That joins nearly all of a
    large group of near copies with a few comparisons a member.
-3. Tiles. Tiles that still hold sets of different components, one for each combination of members, are
-   searched by bitmap signatures: differing bits bound the symmetric difference from below and so the
-   overlap from above. Only pairs of different components within the bound leave the task and are
-   intersected exactly. A large tile is split into blocks of bounded size, compared block by block.
+3. Tiles. Tiles that still hold sets of different components are merged where they agree in band and
+   smallest component, and searched by bitmap signatures: differing bits bound the symmetric difference
+   from below and so the overlap from above. Short bitmaps tell which sets have a possible partner at
+   all; these meet again with long ones. Only pairs of different components within that bound leave
+   the task and are intersected exactly. A large tile is split into blocks of bounded size, compared
+   block by block.
 4. Components of all links.
 
 Joins with texts or signatures are always merge joins: either side grows with the corpus.
@@ -32,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meterspark.llm.components import connected_components
@@ -42,7 +44,9 @@ from meterspark.llm.texts import Chunk, chunks, expand, mix, ngrams
 BLOCK = 2048
 PART = 256
 ROUNDS = 3
-MIN_BITS, MAX_BITS = 1024, 1 << 18
+MIN_BITS, MAX_BITS = 256, 1 << 18
+SHORT, LONG = 2, 32
+BAND_BITS = 7
 _SALT = np.uint64(0x2545F4914F6CDD1D)
 
 
@@ -128,25 +132,30 @@ def segment_keys(parts: np.ndarray, sizes: np.ndarray, bands: Bands) -> tuple[np
         lacking = every[~np.isin(every, filled)]
         filled, content = np.r_[filled, lacking], np.r_[content, np.zeros(len(lacking), np.uint64)]
         owner = np.searchsorted(base, filled, side="right") - 1
-    name = (band[owner].astype(np.uint64) << np.uint64(48)) + (filled - base[owner]).astype(np.uint64)
-    return sets[owner], mix(content + mix(name + np.uint64(1))).view(np.int64)
+    of_key = band[owner].astype(np.uint64)
+    name = (of_key << np.uint64(48)) + (filled - base[owner]).astype(np.uint64)
+    keys = (mix(content + mix(name + np.uint64(1))) >> np.uint64(BAND_BITS)) | (of_key << np.uint64(64 - BAND_BITS))
+    return sets[owner], keys.view(np.int64)
 
 
-def bitmaps(parts: np.ndarray, sizes: np.ndarray) -> list[bytes]:
-    """A bitmap per set with 32 to 64 bits for each shingle, as a power of two: few shingles share a bit,
-    so the bound is tight, and the empty bytes compress."""
+def band_of_key(key: Column) -> Column:
+    """The size band of a key, which its highest bits hold."""
+    return F.shiftrightunsigned(key, 64 - BAND_BITS).cast("int")
+
+
+def bitmaps(parts: np.ndarray, sizes: np.ndarray, per: int) -> list[bytes]:
+    """A bitmap per set with ``per`` to twice as many bits for each shingle, as a power of two."""
     begin, out = np.cumsum(sizes) - sizes, []
     for a, n in zip(begin.tolist(), sizes.tolist(), strict=True):
-        bits = min(max(MIN_BITS, 1 << (32 * n - 1).bit_length()), MAX_BITS)
+        bits = min(max(MIN_BITS, 1 << (per * n - 1).bit_length()), MAX_BITS)
         flags = np.zeros(bits, np.uint8)
         flags[(mix(parts[a : a + n] ^ (_SALT << np.uint64(1))) & np.uint64(bits - 1)).astype(np.int64)] = 1
         out.append(np.packbits(flags, bitorder="little").tobytes())
     return out
 
 
-def _folded(maps: list[bytes]) -> np.ndarray:
-    """Bitmaps of a tile as rows of 64-bit words, folded to the smallest of them."""
-    words = min(map(len, maps)) // 8
+def _folded(maps: list[bytes], words: int) -> np.ndarray:
+    """Bitmaps as rows of so many 64-bit words, longer ones folded."""
     return np.stack([np.bitwise_or.reduce(np.frombuffer(m, np.uint64).reshape(-1, words), axis=0) for m in maps])
 
 
@@ -285,57 +294,78 @@ def star_links(shared: DataFrame, texts: DataFrame, size: int, percent: int) ->
 
 
 def open_tiles(shared: DataFrame, labels: DataFrame) -> DataFrame:
-    """(tile, side, v, label, blocks): members of tiles with several components, each combination once.
+    """(low, band, i, j, side, v, label): members of tiles with several components.
 
-    A tile of more than ``BLOCK`` members is split: every block meets every other in a tile of its own.
+    Two near misses share many keys, and keys of one neighbourhood mostly have the same smallest
+    component; so the open tiles of a band with that component in common become one tile, and a set
+    travels once for all of them. A tile of more than ``BLOCK`` members is split: every block meets
+    every other in a tile of its own.
     """
     known = shared.select("key", "v").join(labels, "v", "left").select("key", "v", F.coalesce("label", "v").alias("label"))
-    groups = known.groupBy("key").agg(
-        F.sum(F.xxhash64("v").cast("decimal(38,0)")).alias("members"), F.count("*").alias("size"), F.min("label").alias("low"), F.max("label").alias("high")
-    )
-    open_ = groups.where("low <> high").groupBy("members", "size").agg(F.min("key").alias("key"))
-    rows = known.join(open_.select("key", "size"), "key")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("v"), blocks).cast("int")
-    rows = rows.withColumns({"blocks": blocks, "own": own})
-    rows = rows.select("key", "v", "label", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    groups = known.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+    open_ = groups.where("low <> high").select("key", "low")
+    rows = known.join(open_, "key").select("low", band_of_key(F.col("key")).alias("band"), "v", "label").distinct()
+    rows = staged(rows, "open")
+    sizes = rows.groupBy("low", "band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    rows = rows.join(sizes, ["low", "band"]).withColumn("own", F.pmod(F.xxhash64("v"), "blocks").cast("int"))
+    rows = rows.select("low", "band", "v", "label", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     return rows.select(
-        F.struct("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).alias("tile"),
+        "low",
+        "band",
+        F.least("own", "other").alias("i"),
+        F.greatest("own", "other").alias("j"),
         (F.col("own") > F.col("other")).cast("int").alias("side"),
         "v",
         "label",
     )
 
 
-def tile_candidates(rows: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of different components whose bitmaps leave room for a link, from the rows of tiles."""
+def _near_in_tile(tile: pa.Table, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of a tile, of different components, whose bitmaps leave room for a link.
 
-    def solve(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        same_block = table["i"][0].as_py() == table["j"][0].as_py()
-        label, v, n, side = (table[c].to_numpy() for c in ("label", "v", "n", "side"))
-        maps = _folded(table["bitmap"].to_pylist())
-        step = max(1, (1 << 22) // max(1, maps.size))
-        for low in range(0, len(v), step):
-            part = slice(low, low + step)
-            differ = np.bitwise_count(maps[part, None, :] ^ maps[None, :, :]).sum(axis=2, dtype=np.int64)
-            total = n[part, None] + n[None, :]
-            fits = _links((total - differ) // 2, n[part, None], n[None, :], percent) & (label[part, None] != label[None, :])
-            fits &= (v[part, None] < v[None, :]) if same_block else (side[part, None] < side[None, :])
-            x, y = np.nonzero(fits)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.minimum(v[x + low], v[y])), pa.array(np.maximum(v[x + low], v[y]))], ["a", "b"]
-            )
+    Rows are taken in order of size, so each meets only those whose sizes allow a link, and bitmaps
+    are folded no further than to the smallest of these.
+    """
+    same_block = tile["i"][0].as_py() == tile["j"][0].as_py()
+    label, v, n, side = (tile[c].to_numpy() for c in ("label", "v", "n", "side"))
+    order = np.argsort(n, kind="stable")
+    label, v, n, side = label[order], v[order], n[order], side[order]
+    maps = tile["bitmap"].to_pylist()
+    maps = [maps[k] for k in order.tolist()]
+    low = 0
+    while low < len(n):
+        words = len(maps[low]) // 8
+        reach = int(np.searchsorted(n, 100 * n[low] // percent, side="right"))
+        step = max(1, (1 << 21) // (words * max(1, reach - low)))
+        high = min(low + step, int(np.searchsorted(n, n[low] + n[low] // 16, side="right")))
+        stop = int(np.searchsorted(n, 100 * n[high - 1] // percent, side="right"))
+        fold = _folded(maps[low:stop], words)
+        differ = np.bitwise_count(fold[: high - low, None, :] ^ fold[None, :, :]).sum(axis=2, dtype=np.int64)
+        total = n[low:high, None] + n[None, low:stop]
+        fits = _links((total - differ) // 2, n[low:high, None], n[None, low:stop], percent)
+        fits &= label[low:high, None] != label[None, low:stop]
+        if not same_block:
+            fits &= side[low:high, None] != side[None, low:stop]
+        x, y = np.nonzero(fits)
+        once = x < y  # rows before this step have met these already
+        yield order[x[once] + low], order[y[once] + low]
+        low = high
+
+
+def _by_tile(rows: DataFrame, solve, schema: str) -> DataFrame:
+    """Applies ``solve`` (a table of one tile to record batches) to all tiles of the rows."""
+    tile = ["low", "band", "i", "j"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         for batch in batches:
             place = 0
-            names = [batch.column(c).to_numpy() for c in ("key", "i", "j")]
+            names = [batch.column(c).to_numpy() for c in tile]
             change = np.flatnonzero(np.any([x[1:] != x[:-1] for x in names], axis=0)) + 1 if batch.num_rows else []
             for edge in [*change, batch.num_rows]:
                 piece = batch.slice(place, edge - place)
                 place = edge
-                if piece.num_rows and held and any(held[0].column(c)[0] != piece.column(c)[0] for c in ("key", "i", "j")):
+                if piece.num_rows and held and any(held[0].column(c)[0] != piece.column(c)[0] for c in tile):
                     yield from solve(pa.Table.from_batches(held))
                     held = []
                 if piece.num_rows:
@@ -343,24 +373,57 @@ def tile_candidates(rows: DataFrame, percent: int) -> DataFrame:
         if held:
             yield from solve(pa.Table.from_batches(held))
 
-    flat = rows.select("tile.key", "tile.i", "tile.j", "side", "v", "label", "n", "bitmap")
-    ordered = flat.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return ordered.mapInArrow(run, "a long, b long")
+    return rows.repartition(*tile).sortWithinPartitions(*tile).mapInArrow(run, schema)
+
+
+def near_rows(rows: DataFrame, percent: int) -> DataFrame:
+    """Those rows of tiles that have a partner by their (short) bitmaps."""
+    kept = ["low", "band", "i", "j", "side", "v", "label"]
 
+    def solve(tile: pa.Table) -> Iterator[pa.RecordBatch]:
+        near = np.zeros(tile.num_rows, bool)
+        for x, y in _near_in_tile(tile, percent):
+            near[x] = near[y] = True
+        yield from tile.select(kept).filter(pa.array(near)).combine_chunks().to_batches()
 
-def signatures(texts: DataFrame, size: int) -> DataFrame:
-    """(v, n, bitmap) of texts (v, text)."""
+    schema = "low long, band int, i int, j int, side int, v long, label long"
+    return _by_tile(rows.select(*kept, "n", "bitmap"), solve, schema)
+
+
+def tile_candidates(rows: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of different components whose bitmaps leave room for a link, from the rows of tiles."""
+
+    def solve(tile: pa.Table) -> Iterator[pa.RecordBatch]:
+        v = tile["v"].to_numpy()
+        for x, y in _near_in_tile(tile, percent):
+            pair = np.minimum(v[x], v[y]), np.maximum(v[x], v[y])
+            yield pa.RecordBatch.from_arrays([pa.array(p) for p in pair], ["a", "b"])
+
+    return _by_tile(rows, solve, "a long, b long")
+
+
+def signatures(texts: DataFrame, size: int, per: int) -> DataFrame:
+    """(v, n, bitmap) of texts (v, text), with ``per`` bits or more for each shingle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, stop, chunk in chunks(batch.column("text")):
                 parts, sizes = shingle_sets(chunk, size)
                 v = batch.column("v").slice(first, stop - first)
-                yield pa.RecordBatch.from_arrays([v, pa.array(sizes), pa.array(bitmaps(parts, sizes), pa.binary())], ["v", "n", "bitmap"])
+                maps = pa.array(bitmaps(parts, sizes, per), pa.binary())
+                yield pa.RecordBatch.from_arrays([v, pa.array(sizes), maps], ["v", "n", "bitmap"])
 
     return texts.mapInArrow(run, "v long, n long, bitmap binary")
 
 
+def candidates(shared: DataFrame, labels: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """(a, b) that may link two components, by short bitmaps and, where these leave room, by long ones."""
+    rows = open_tiles(shared, labels)
+    near = staged(near_rows(rows.join(signatures(texts, size, SHORT).hint("merge"), "v"), percent), "near")
+    wanted = texts.join(near.select("v").distinct().hint("merge"), "v", "left_semi")
+    return tile_candidates(near.join(signatures(wanted, size, LONG).hint("merge"), "v"), percent).distinct()
+
+
 def links(docs: DataFrame, size: int, percent: int, of: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Links between different sets, enough for all components, and those components (v, label)."""
     shared = staged(shared_keys(docs, size, percent), "shared")
@@ -368,8 +431,7 @@ def links(docs: DataFrame, size: int, percent: int, of: DataFrame) -> tuple[Data
     texts = docs.select("doc_id", "text").join(staged(wanted, "wanted").hint("merge"), "doc_id")
     texts = staged(_of_set(texts, size), "texts")
     near, labels = star_links(shared, texts, size, percent)
-    rows = open_tiles(shared, labels).join(signatures(texts, size).hint("merge"), "v")
-    pairs = staged(tile_candidates(rows, percent).distinct(), "pairs")
+    pairs = staged(candidates(shared, labels, texts, size, percent), "pairs")
     if pairs.isEmpty():
         return near, labels
     more = exact_links(_star_rows(pairs.select(F.col("a").alias("star"), F.col("b").alias("v")), texts), size, percent)

@@ -34,7 +34,6 @@ from meterspark.functions.clock import (
 )
 from meterspark.functions.parsing import is_finite
 from meterspark.schemas import (
-    CADENCE_SAMPLE,
     DUPLICATE_POLICIES,
     TRAINING_READY,
     TRANSFORM_MEASURES,
@@ -573,33 +572,25 @@ def transform_summary(hourly: DataFrame, keys: Sequence[str] = SERIES) -> DataFr
 
 
 def infer_cadence(df: DataFrame, keys: Sequence[str] = SERIES) -> DataFrame:
-    """Source interval of each series from its first 4,097 distinct times, or null.
+    """Source interval of each series from the steps between all its distinct times, or null.
 
-    Hours beyond the one that holds the last of these times are dropped before any ranking; the
-    number of distinct times per hour decides that.
+    Steps inside an hour are windowed by (series, hour); those from one hour to the next come from
+    one row per hour. A series is never one task's rows.
     """
     times = df.select(
         *keys, floor_div(epoch(F.col("observed_at")), HOUR).alias("hour"), "observed_at"
     ).distinct()
-    per_hour = times.groupBy(*keys, "hour").agg(F.count(F.lit(1)).alias("n"))
-    earlier = (
-        Window.partitionBy(*keys).orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)
+    by_time = Window.partitionBy(*keys, "hour").orderBy("observed_at")
+    inside = times.select(*keys, "observed_at", F.lag("observed_at").over(by_time).alias("before"))
+    edges = times.groupBy(*keys, "hour").agg(
+        F.min("observed_at").alias("observed_at"), F.max("observed_at").alias("last")
     )
-    hours = per_hour.select(
-        *keys, "hour", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before")
-    ).where(F.col("before") < CADENCE_SAMPLE)
-    by_hour = Window.partitionBy(*keys, "hour").orderBy("observed_at")
-    first = (
-        times.join(hours, [*keys, "hour"])
-        .withColumn("rank", F.col("before") + F.row_number().over(by_hour))
-        .where(F.col("rank") <= CADENCE_SAMPLE)
-    )
-    # At most 4,097 rows of a series are left from here on.
-    by_time = Window.partitionBy(*keys).orderBy("observed_at")
-    delta = micros(F.col("observed_at")) - micros(F.lag("observed_at").over(by_time))
-    steps = first.select(*keys, "rank", delta.alias("delta")).where(F.col("delta").isNotNull())
-    counted = steps.groupBy(*keys, "delta").agg(
-        F.count(F.lit(1)).alias("n"), F.min("rank").alias("seen")
+    by_hour = Window.partitionBy(*keys).orderBy("hour")
+    across = edges.select(*keys, "observed_at", F.lag("last").over(by_hour).alias("before"))
+    steps = inside.unionByName(across).where(F.col("before").isNotNull())
+    delta = micros(F.col("observed_at")) - micros(F.col("before"))
+    counted = steps.groupBy(*keys, delta.alias("delta")).agg(
+        F.count(F.lit(1)).alias("n"), F.min("observed_at").alias("seen")
     )
     seconds = floor_div(F.col("delta"), 1_000_000)
     whole = F.col("delta") % 1_000_000 == 0
@@ -612,7 +603,8 @@ def infer_cadence(df: DataFrame, keys: Sequence[str] = SERIES) -> DataFrame:
             F.struct(seconds.alias("step"), F.col("n")),
             F.when(candidate, F.struct(-F.col("n"), F.col("seen"))),
         ).alias("best"),
-        F.collect_set(F.when(whole, seconds)).alias("steps"),
+        # A candidate divides the hour, so the remainders by the hour tell all it must divide.
+        F.collect_set(F.when(whole, seconds % HOUR)).alias("steps"),
     )
     usable_step = (
         F.col("all_whole")

@@ -258,7 +258,7 @@ def _cadence_oracle(rows: str) -> str:
 ), s AS (
   SELECT series_id, rn, date_diff('microsecond', lag(observed_at) OVER (
            PARTITION BY series_id ORDER BY rn), observed_at) AS us
-  FROM t WHERE rn <= 4097
+  FROM t
 ), c AS (
   SELECT series_id, us // 1000000 AS step, count(*) AS n, min(rn) AS seen,
          us % 1000000 = 0 AND us <= 3600000000 AND 3600000000 % us = 0 AS fits

@@ -70,7 +70,6 @@ ISSUE_SEVERITY = {
 ROBUST_Z_LIMIT = 6.0
 MAD_SCALE = 1.4826
 EVIDENCE_LIMIT = 10
-CADENCE_SAMPLE = 4097
 HORIZONS = 24
 LAGS = (1, 2, 3, 6, 12, 24, 48, 168)
 ROLLING_MEANS = (3, 6, 12, 24, 168)

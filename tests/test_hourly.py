@@ -159,6 +159,18 @@ def test_cadence_inference(spark, readings):
     assert H.infer_cadence(readings(power([0]))).first().interval_seconds is None
 
 
+def test_cadence_uses_every_time(spark):
+    minutes = spark.range(6000).selectExpr("id * 60 AS second")
+    late = spark.sql("SELECT 400030L AS second")
+
+    def cadence(seconds):
+        rows = seconds.selectExpr("'a' AS series_id", "CAST(timestamp_seconds(second) AS timestamp_ntz) AS observed_at")
+        return H.infer_cadence(rows).first().interval_seconds
+
+    assert cadence(minutes) == 60
+    assert cadence(minutes.unionByName(late)) is None
+
+
 def test_row_level_gap_operators_agree(readings):
     df = readings(power(m for m in range(120) if not (20 <= m <= 22 or 70 <= m <= 90)))
     resolved, semantic = H.resolve_duplicates(df), H.target_semantics(df)

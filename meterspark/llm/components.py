@@ -27,3 +27,19 @@ def connected_components(edges: DataFrame) -> DataFrame:
         labels = step.select("v", F.col("next").alias("label"))
         if step.where("label <> next").isEmpty():
             return labels
+
+
+def extend_components(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """Components (v, label) once ``edges`` (a, b) join some of the components ``labels``.
+
+    Only edges between components matter, so label passing runs over these alone; it needs fewer
+    rounds than over all edges, as a component counts as one vertex. A vertex missing in ``labels``
+    is its own component.
+    """
+    near, far = (labels.select(F.col("v").alias(end), F.col("label").alias(f"of_{end}")) for end in ("a", "b"))
+    ends = edges.join(near, "a", "left").join(far, "b", "left")
+    between = ends.select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b")).where("a <> b")
+    merged = connected_components(between)
+    known = labels.unionByName(merged.select("v", F.col("v").alias("label"))).distinct()
+    lower = merged.select(F.col("v").alias("label"), F.col("label").alias("low"))
+    return staged(known.join(lower, "label", "left").select("v", F.coalesce("low", "label").alias("label")), "labels")

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterspark.llm.components import connected_components
+from meterspark.llm.components import connected_components, extend_components
 from meterspark.llm.frames import staged
 from meterspark.llm.texts import Chunk, chunks, expand, mix, ngrams
 
@@ -289,7 +289,7 @@ def star_links(shared: DataFrame, texts: DataFrame, size: int, percent: int) ->
         links = found if links is None else links.unionByName(found)
         now = best.select("v", F.col("star").alias("leader"))
         tried = now if tried is None else tried.unionByName(now)
-        labels = connected_components(links)
+        labels = connected_components(found) if labels is None else extend_components(labels, found)
     return links, labels
 
 
@@ -435,8 +435,8 @@ def links(docs: DataFrame, size: int, percent: int, of: DataFrame) -> tuple[Data
     if pairs.isEmpty():
         return near, labels
     more = exact_links(_star_rows(pairs.select(F.col("a").alias("star"), F.col("b").alias("v")), texts), size, percent)
-    every = staged(near.unionByName(more), "links")
-    return every, connected_components(every)
+    more = staged(more, "links")
+    return near.unionByName(more), extend_components(labels, more)
 
 
 def _of_set(texts: DataFrame, size: int) -> DataFrame:

@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from meterspark.llm import decontaminate, html, jaccard, lm, packing, rules, suffixes, toxicity, urls, warc
+from meterspark.llm.components import connected_components, extend_components
 from meterspark.llm.frames import fresh_path
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -84,6 +85,18 @@ def test_jaccard_components(docs, texts, batches, size, percent):
     assert found == brute_components(texts, size, percent)
 
 
+def test_components_extend(spark):
+    r = random.Random(11)
+    edge = lambda k: [(r.randrange(300), r.randrange(300)) for _ in range(k)]
+    first, second = edge(70), edge(120)
+    frame = lambda pairs: spark.createDataFrame(pairs, "a long, b long")
+    labels = connected_components(frame(first))
+    every = {tuple(x) for x in connected_components(frame(first + second)).collect()}
+    alone = {(a, a) for a, b in second if a == b}
+    assert {tuple(x) for x in extend_components(labels, frame(second)).collect()} | alone == every | alone
+    assert {tuple(x) for x in extend_components(labels, frame(second).limit(0)).collect()} == {tuple(x) for x in labels.collect()}
+
+
 def test_jaccard_edges(spark, docs):
     assert jaccard.jaccard_components(docs.limit(0)).count() == 0
     twice = spark.createDataFrame([(1, "a b c d e"), (1, "a b c d e"), (None, "a b c d e"), (None, None)], "doc_id long, text string")

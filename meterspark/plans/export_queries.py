@@ -221,14 +221,20 @@ def duplicate_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.duplicate_sources(incoming, versions(spark, sf_dir))
 
 
+def _guarded(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """All orders as datasets and all line items as what refers to them; a few orders have none."""
+    parents = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("dataset_id"), F.col("o_orderpriority").alias("name")
+    )
+    return parents, table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("dataset_id"))
+
+
 def deletable_datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = versions(spark, sf_dir).where(F.col("created_at") >= datetime(2000, 1, 1))
-    return C.deletable(datasets(spark, sf_dir), stored)
+    return C.deletable(*_guarded(spark, sf_dir))
 
 
 def datasets_in_use(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = versions(spark, sf_dir).where(F.col("created_at") >= datetime(2000, 1, 1))
-    return C.in_use(datasets(spark, sf_dir), stored)
+    return C.in_use(*_guarded(spark, sf_dir))
 
 
 def latest_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -358,12 +364,10 @@ SELECT dataset_id, coalesce((SELECT max(version_no) FROM vs WHERE vs.dataset_id
 )
 SELECT * FROM inc WHERE EXISTS (SELECT 1 FROM vs WHERE vs.dataset_id = inc.dataset_id
   AND vs.source_sha256 = inc.source_sha256)""",
-    "deletable_datasets": f"""WITH {CATALOG_SQL}
-SELECT dataset_id, name FROM ds WHERE NOT EXISTS (SELECT 1 FROM vs WHERE vs.dataset_id = ds.dataset_id
-  AND created_at >= TIMESTAMP '2000-01-01')""",
-    "datasets_in_use": f"""WITH {CATALOG_SQL}
-SELECT dataset_id, name FROM ds WHERE EXISTS (SELECT 1 FROM vs WHERE vs.dataset_id = ds.dataset_id
-  AND created_at >= TIMESTAMP '2000-01-01')""",
+    "deletable_datasets": """SELECT o_orderkey AS dataset_id, o_orderpriority AS name FROM orders
+WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)""",
+    "datasets_in_use": """SELECT o_orderkey AS dataset_id, o_orderpriority AS name FROM orders
+WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)""",
     "latest_report": """SELECT o_custkey AS dataset_version_id, max(o_orderkey) AS report_version,
        arg_max(o_totalprice, o_orderkey) AS total FROM orders GROUP BY 1""",
 }

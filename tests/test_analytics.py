@@ -92,7 +92,8 @@ def test_range_checks():
     with pytest.raises(ValueError):
         A.TimeRange(START, START)
     with pytest.raises(ValueError):
-        A.TimeRange(START, START + timedelta(days=1831))
+        A.TimeRange(START, START + timedelta(days=1831), longest=timedelta(days=1830))
+    assert A.TimeRange(START, START + timedelta(days=10_000)).expected_hours == 240_000
 
 
 def test_filters_reach_the_scan(facts, tmp_path, spark):

@@ -120,22 +120,36 @@ def anchors(docs: DataFrame, length: int) -> DataFrame:
     return docs.mapInArrow(run, "gram long, context long, id long, code long")
 
 
+def fresh_rows(columns: list[np.ndarray], last: tuple | None) -> np.ndarray:
+    """True for rows of sorted columns that differ from the row before; ``last`` is the one before the first."""
+    fresh = np.ones(len(columns[0]), bool)
+    fresh[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+    fresh[0] = last is None or any(c[0] != x for c, x in zip(columns, last, strict=True))
+    return fresh
+
+
 def classify(anchored: DataFrame) -> DataFrame:
     """(id, code, whole): repeats of a whole context, and first occurrences that need step 3.
 
-    Rows come sorted; of the group that goes over the edge of a batch only its last row and the first
-    occurrence that waits for a second context are kept.
+    Rows come sorted, so anchors of rows equal in id and text stand side by side and count once; of the
+    group that goes over the edge of a batch only its last row and the first occurrence that waits for a
+    second context are kept.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[int, int] | None = None  # gram and context of the row before
+        last: tuple | None = None  # the row before
         waiting: tuple[int, int] | None = None  # id and code of a group's only first occurrence so far
         for batch in batches:
             if not batch.num_rows:
                 continue
-            gram, context, ids, code = (batch.column(c).to_numpy() for c in ("gram", "context", "id", "code"))
-            new_gram = np.r_[last is None or gram[0] != last[0], gram[1:] != gram[:-1]]
-            new_context = new_gram | np.r_[last is None or context[0] != last[1], context[1:] != context[:-1]]
+            columns = [batch.column(c).to_numpy() for c in ("gram", "context", "id", "code")]
+            before, once = last, fresh_rows(columns, last)
+            last = tuple(c[-1] for c in columns)
+            gram, context, ids, code = (c[once] for c in columns)
+            if not len(gram):
+                continue
+            new_gram = np.r_[before is None or gram[0] != before[0], gram[1:] != gram[:-1]]
+            new_context = new_gram | np.r_[before is None or context[0] != before[1], context[1:] != context[:-1]]
             out = [(ids[~new_context], code[~new_context], True)]
             firsts = np.flatnonzero(new_context)
             # A first occurrence matters if its group has another one.
@@ -148,7 +162,6 @@ def classify(anchored: DataFrame) -> DataFrame:
             if len(firsts):
                 at = firsts[-1]
                 waiting = (int(ids[at]), int(code[at])) if opens[-1] else None
-            last = (gram[-1], context[-1])
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.concatenate([o[0] for o in out])),
@@ -312,10 +325,14 @@ def sorted_repeats(found: DataFrame, length: int) -> DataFrame:
             )
 
         held: list[pa.RecordBatch] = []
+        last: tuple | None = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            held.append(batch)
+            columns = [batch.column(c).to_numpy() for c in ("gram", "id", "code")]
+            once = fresh_rows(columns, last)  # rows equal in id and text give their contexts twice
+            last = tuple(c[-1] for c in columns)
+            held.append(batch if once.all() else batch.filter(pa.array(once)))
             if sum(b.num_rows for b in held) < BATCH_SUFFIXES:
                 continue
             table = pa.Table.from_batches(held)

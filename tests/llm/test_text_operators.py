@@ -131,6 +131,14 @@ def test_repeats_keep_characters_and_odd_rows(spark, docs):
     assert {r.doc_id: len(r.kept) for r in suffixes.remove_repeats(same).collect()} == {None: 130, 4: 0}
 
 
+def test_rows_equal_in_id_and_text_are_one_document(spark, texts, batches):
+    once = [*texts, (None, texts[0][1] + " tail")]
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    kept = lambda rows: collections.Counter((r.doc_id, r.text, bytes(r.kept)) for r in suffixes.remove_repeats(frame(rows)).collect())
+    assert kept(once + once) == {row: 2 * n for row, n in kept(once).items()}
+    assert kept([(None, "q" * 50 + "z" * 80)] * 2) == {(None, "q" * 50 + "z" * 80, b"q" * 50 + b"z" * 80): 2}
+
+
 def test_suffix_order(spark):
     import numpy as np
 

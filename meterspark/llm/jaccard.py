@@ -25,7 +25,7 @@ complete; tiles and copies are never expanded into pairs that leave a task.
 
 Defined results: texts without words (null, empty, white space) have no shingles and are their own
 component; fewer words than a shingle make one shingle; repeated rows get the same component; rows
-with a null id take part, the smallest non-null id names the component.
+with a null id take part, the smallest non-null id names the component (null where there is none).
 """
 
 from __future__ import annotations
@@ -165,16 +165,18 @@ def _links(common, x, y, percent: int):
 
 
 def members(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, v, n): every row with its set and the set's size."""
+    """(doc_id, v, n, h): every row with its set, the set's size and a hash of its text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, stop, chunk in chunks(batch.column("text")):
                 parts, sizes = shingle_sets(chunk, size)
-                ids = batch.column("doc_id").slice(first, stop - first)
-                yield pa.RecordBatch.from_arrays([ids, pa.array(vertices(parts, sizes)), pa.array(sizes)], ["doc_id", "v", "n"])
+                ids, hashes = (batch.column(c).slice(first, stop - first) for c in ("doc_id", "h"))
+                columns = [ids, pa.array(vertices(parts, sizes)), pa.array(sizes), hashes]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "v", "n", "h"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, v long, n long")
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
+    return rows.mapInArrow(run, "doc_id long, v long, n long, h long")
 
 
 def shared_keys(docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -427,9 +429,7 @@ def candidates(shared: DataFrame, labels: DataFrame, texts: DataFrame, size: int
 def links(docs: DataFrame, size: int, percent: int, of: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Links between different sets, enough for all components, and those components (v, label)."""
     shared = staged(shared_keys(docs, size, percent), "shared")
-    wanted = shared.select("v").distinct().join(of.groupBy("v").agg(F.min("doc_id").alias("doc_id")), "v")
-    texts = docs.select("doc_id", "text").join(staged(wanted, "wanted").hint("merge"), "doc_id")
-    texts = staged(_of_set(texts, size), "texts")
+    texts = staged(set_texts(docs, shared, of), "texts")
     near, labels = star_links(shared, texts, size, percent)
     pairs = staged(candidates(shared, labels, texts, size, percent), "pairs")
     if pairs.isEmpty():
@@ -439,29 +439,45 @@ def links(docs: DataFrame, size: int, percent: int, of: DataFrame) -> tuple[Data
     return near.unionByName(more), extend_components(labels, more)
 
 
-def _of_set(texts: DataFrame, size: int) -> DataFrame:
-    """(v, text) of those rows (v, text) whose text has that set; other rows may share the id."""
+def set_texts(docs: DataFrame, shared: DataFrame, of: DataFrame) -> DataFrame:
+    """(v, text): one text for every set with a shared key, that of its smallest row in ``row_order``.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for first, stop, chunk in chunks(batch.column("text")):
-                rows = batch.slice(first, stop - first).select(["v", "text"])
-                yield rows.filter(pa.array(vertices(*shingle_sets(chunk, size)) == rows.column("v").to_numpy()))
+    Rows are found by id and hash of their text, so null and repeated ids lead to the right text.
+    """
+    first = of.groupBy("v").agg(F.min(row_order()).alias("row"))
+    wanted = staged(shared.select("v").distinct().join(first, "v").select("v", "row.*"), "wanted")
+    keys = ["lacks_id", "id", "h"]
+    rows = docs.select(*row_keys(F.xxhash64("text")), "text")
+    return rows.join(wanted.hint("merge"), keys).dropDuplicates([*keys, "v"]).select("v", "text")
 
-    return texts.select("v", "text").mapInArrow(run, "v long, text string")
 
+def row_keys(h: Column) -> list[Column]:
+    """A row's id, null or not, and the hash of its text, as columns that never are null."""
+    key = F.col("doc_id").cast("long")
+    return [key.isNull().alias("lacks_id"), F.coalesce(key, F.lit(0)).alias("id"), h.alias("h")]
 
-def jaccard_components(docs: DataFrame, shingle: int = 4, percent: int = 85) -> DataFrame:
-    """(doc_id, n_shingles, component_id, set_id) of every row of ``docs``.
 
-    ``percent`` is the least similarity in percent, ``shingle`` the words of a shingle.
-    """
+def row_order() -> Column:
+    """Rows by id, null last, and by the hash of their text."""
+    return F.struct(*row_keys(F.col("h")))
+
+
+def labelled_sets(docs: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Members of ``docs``, and (v, low, label): every set with its smallest id and its component."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     every = staged(members(docs, shingle), "members")
     filled = every.where("n > 0")
     _, labels = links(docs, shingle, percent, filled)
     sets = filled.groupBy("v").agg(F.min("doc_id").alias("low"))
-    sets = sets.join(labels, "v", "left").select("v", "low", F.coalesce("label", "v").alias("label"))
+    return every, sets.join(labels, "v", "left").select("v", "low", F.coalesce("label", "v").alias("label"))
+
+
+def jaccard_components(docs: DataFrame, shingle: int = 4, percent: int = 85) -> DataFrame:
+    """(doc_id, n_shingles, component_id, set_id) of every row of ``docs``.
+
+    ``percent`` is the least similarity in percent, ``shingle`` the words of a shingle.
+    """
+    every, sets = labelled_sets(docs, shingle, percent)
     names = sets.groupBy("label").agg(F.min("low").alias("component_id"))
     found = sets.join(names, "label").select("v", "component_id")
     own = F.when(F.col("n") > 0, F.col("v"))
@@ -473,10 +489,19 @@ def jaccard_components(docs: DataFrame, shingle: int = 4, percent: int = 85) ->
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one row of each component: the one with the smallest id (of repeated rows, one)."""
-    found = jaccard_components(docs, shingle, percent)
-    first = found.groupBy("component_id").agg(F.min("doc_id").alias("first"))
-    return docs.join(first.select(F.col("first").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    """``docs`` with one row of each component, the smallest by id (null last) and hash of its text.
+
+    Of rows equal in id and text one stays; rows without words are in no component and all stay.
+    """
+    every, sets = labelled_sets(docs, shingle, percent)
+    rows = every.where("n > 0").join(sets, "v").groupBy("label").agg(F.min(row_order()).alias("row"))
+    keys = ["lacks_id", "id", "h"]
+    first = staged(rows.select("row.*").distinct(), "kept")
+    has_words = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    whole = F.struct(*docs.columns).alias("whole")
+    filled = docs.where(has_words).select(*row_keys(F.xxhash64("text")), whole)
+    kept = filled.join(first, keys).dropDuplicates(keys).select("whole.*")
+    return kept.unionByName(docs.where(~has_words))
 
 
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -104,6 +104,22 @@ def test_jaccard_edges(spark, docs):
     assert sorted(r.doc_id for r in jaccard.keep_one(docs).select("doc_id").collect())[:2] == [0, 1]
 
 
+def test_null_and_repeated_ids_in_components(spark):
+    base = [f"w{i}" for i in range(60)]
+    a, b, c = (" ".join([*base[:60 - k], *(f"x{j}" for j in range(k))]) for k in (0, 8, 16))
+    shuffled = " ".join(f"y{i}" for i in range(40))
+    rows = [(1, a), (None, b), (2, c), (3, shuffled), (3, shuffled), (3, a), (None, "only null ids here at all"),
+            (None, None), (None, None), (None, " "), (4, "")]
+    frame = spark.createDataFrame([(*r, f"l{i}") for i, r in enumerate(rows)], "doc_id long, text string, label string")
+    found = jaccard.jaccard_components(frame, 3, 70)
+    # a and c are no link of their own: only the set of a row without an id joins them.
+    assert {r.component_id for r in found.where("doc_id in (1, 2)").collect()} == {1}
+    kept = jaccard.keep_one(frame, 3, 70)
+    assert kept.columns == frame.columns
+    expected = [rows[0], rows[3], rows[6], *rows[7:]]
+    assert collections.Counter((r.doc_id, r.text) for r in kept.collect()) == collections.Counter(expected)
+
+
 def brute_removed(texts, length):
     seen, out = set(), {}
     for d, t in texts:

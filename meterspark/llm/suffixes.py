@@ -14,7 +14,10 @@ with a smaller id or earlier in the same one.
    logarithmic time, and many comparisons run at once in numpy. Neighbours in that order with a common
    extension of r bytes agree to the right of the anchor; the hash of the bytes left of it completes
    a window. The first occurrence of a window stays, later ones are compared byte by byte with it
-   (collision verification) and removed.
+   (collision verification) and removed. A group of more than ``GROUP_SUFFIXES`` contexts is never held:
+   the windows that begin ``lo`` to ``hi`` bytes before the anchor agree in ``lo`` bytes left of it and
+   ``length - hi`` from its first byte on, so the range of beginnings is halved and each half is grouped
+   by the bytes its windows share, until a group is small or holds one window, which is read as a stream.
 4. Removed ranges are joined with their documents, merged, and cut out.
 
 Only hashes and places of anchors, and the contexts of step 3, are shuffled. Groups are distinct
@@ -42,6 +45,7 @@ LENGTH = 100
 ANCHOR = 32
 SEGMENT = 4 << 20
 BATCH_SUFFIXES = 20_000
+GROUP_SUFFIXES = 50_000
 _TAG_BITS, _PLACE_BITS = 24, 33
 _NO_ID = -(1 << 63)
 
@@ -268,9 +272,12 @@ class Suffixes:
         return order
 
 
-def repeats(group: np.ndarray, left: np.ndarray, column: pa.Array, length: int) -> tuple[np.ndarray, np.ndarray]:
+def repeats(
+    group: np.ndarray, left: np.ndarray, lo: np.ndarray, hi: np.ndarray, column: pa.Array, length: int
+) -> tuple[np.ndarray, np.ndarray]:
     """For contexts in the order of their occurrence: bytes left of the anchor, and from its first byte
-    to the right, that later windows cover; both 0 where no window repeats."""
+    to the right, that later windows cover; both 0 where no window repeats. Windows begin ``lo`` to ``hi``
+    bytes before the anchor."""
     chunk = next(chunks(column, 1 << 62))[2]
     start = chunk.bounds[:-1] + left
     size = chunk.bounds[1:] - start
@@ -281,10 +288,10 @@ def repeats(group: np.ndarray, left: np.ndarray, column: pa.Array, length: int)
     reach_left, reach_right = np.zeros(len(group), np.int64), np.zeros(len(group), np.int64)
     run = np.empty(len(group), np.int64)
     steps = np.arange(length)
-    for o in range(length - ANCHOR + 1):
+    for o in range(int(lo.min(initial=length)), int(hi.max(initial=-1)) + 1):
         r = length - o
         run[order] = np.cumsum(common < r)
-        valid = np.flatnonzero((left >= o) & (size >= r))
+        valid = np.flatnonzero((left >= o) & (size >= r) & (lo <= o) & (o <= hi))
         if len(valid) < 2:
             continue
         before = chunk.span_hash(suffixes.prefix, start[valid] - o, start[valid])
@@ -305,47 +312,122 @@ def repeats(group: np.ndarray, left: np.ndarray, column: pa.Array, length: int)
     return reach_left, reach_right
 
 
-def sorted_repeats(found: DataFrame, length: int) -> DataFrame:
-    """(id, code, left, right): what windows around a first occurrence repeat from other contexts."""
+_FOUND = ("gram", "lo", "hi", "id", "code", "left", "bytes")
+_SOLVED = "gram long, lo int, hi int, id long, code long, left int, right int, bytes binary"
+_ARROW = pa.schema(
+    [("gram", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("id", pa.int64()), ("code", pa.int64())]
+    + [("left", pa.int32()), ("right", pa.int32()), ("bytes", pa.binary())]
+)
+
+
+def _solved(table: pa.Table, length: int) -> pa.RecordBatch:
+    """Rows of whole groups whose windows repeat; ``bytes`` is null."""
+    begin, *numbers = (table[c].to_numpy().astype(np.int64) for c in ("gram", "left", "lo", "hi"))
+    left, right = repeats(begin, *numbers, table["bytes"].combine_chunks(), length)
+    hit = np.flatnonzero(right)
+    columns = [table[c].take(pa.array(hit)).combine_chunks() for c in ("gram", "lo", "hi", "id", "code")]
+    columns += [pa.array(x[hit].astype(np.int32)) for x in (left, right)]
+    return pa.RecordBatch.from_arrays([*columns, pa.nulls(len(hit), pa.binary())], schema=_ARROW)
+
+
+def _unsolved(table: pa.Table) -> pa.RecordBatch:
+    """Rows of a group too large to hold, as they came; ``right`` is null."""
+    columns = [table[c].combine_chunks() for c in _FOUND]
+    return pa.RecordBatch.from_arrays([*columns[:-1], pa.nulls(table.num_rows, pa.int32()), columns[-1]], schema=_ARROW)
+
+
+def one_window(table: pa.Table, seen: set[bytes], length: int) -> pa.RecordBatch:
+    """Later rows of a group that shares one window; ``seen`` keeps what came before."""
+    o = table["lo"][0].as_py()
+    again = np.zeros(table.num_rows, bool)
+    for row, (left, body) in enumerate(zip(table["left"].to_pylist(), table["bytes"].to_pylist(), strict=True)):
+        window = body[left - o : left - o + length]
+        again[row] = window in seen
+        seen.add(window)
+    hit = table.filter(pa.array(again)).combine_chunks()
+    n = hit.num_rows
+    columns = [hit[c].combine_chunks() for c in ("gram", "lo", "hi", "id", "code")]
+    columns += [pa.array(np.full(n, x, np.int32)) for x in (o, length - o)]
+    return pa.RecordBatch.from_arrays([*columns, pa.nulls(n, pa.binary())], schema=_ARROW)
+
+
+def _solve_groups(found: DataFrame, length: int, most: int) -> DataFrame:
+    """Repeats of all groups of at most ``most`` contexts or of one window, and the contexts of all others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def solve(table: pa.Table) -> pa.RecordBatch:
-            left, right = repeats(
-                table["gram"].to_numpy(), table["left"].to_numpy().astype(np.int64), table["bytes"].combine_chunks(), length
-            )
-            hit = np.flatnonzero(right)
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array(table["id"].to_numpy()[hit]),
-                    pa.array(table["code"].to_numpy()[hit]),
-                    pa.array(left[hit].astype(np.int32)),
-                    pa.array(right[hit].astype(np.int32)),
-                ],
-                ["id", "code", "left", "right"],
-            )
+        held: list[pa.Table] = []  # whole groups, then the parts of the one that may go on
+        rows = tail = 0  # rows held, and those of the last group
+        last: tuple | None = None  # gram, id and code of the row before
+        name = streamed = None  # the last group, and the one that is passed on and not held
+        seen: set[bytes] = set()
 
-        held: list[pa.RecordBatch] = []
-        last: tuple | None = None
         for batch in batches:
             if not batch.num_rows:
                 continue
             columns = [batch.column(c).to_numpy() for c in ("gram", "id", "code")]
             once = fresh_rows(columns, last)  # rows equal in id and text give their contexts twice
             last = tuple(c[-1] for c in columns)
-            held.append(batch if once.all() else batch.filter(pa.array(once)))
-            if sum(b.num_rows for b in held) < BATCH_SUFFIXES:
-                continue
-            table = pa.Table.from_batches(held)
+            table = pa.Table.from_batches([batch]).filter(pa.array(once)).combine_chunks()
             gram = table["gram"].to_numpy()
-            edge = int(np.searchsorted(gram, gram[-1]))  # the last group may go on
-            if edge:
-                yield solve(table.slice(0, edge))
-            held = table.slice(edge).combine_chunks().to_batches()
+            if not len(gram):
+                continue
+            edges = np.r_[0, np.flatnonzero(gram[1:] != gram[:-1]) + 1, len(gram)]
+            # The first and last group may go over the edges of a batch; small ones between stay together.
+            alone = np.diff(edges) > most
+            alone[[0, -1]] = True
+            cuts = edges[np.r_[True, alone[1:] | alone[:-1], True]].tolist()
+            for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+                piece, opens = table.slice(low, high - low), name is None or gram[low] != name
+                name = gram[high - 1]
+                if opens:
+                    streamed, tail = None, 0
+                    if rows >= BATCH_SUFFIXES:
+                        yield _solved(pa.concat_tables(held), length)
+                        held, rows = [], 0
+                if streamed is None:
+                    held.append(piece)
+                    rows, tail = rows + piece.num_rows, tail + piece.num_rows
+                    if tail <= most or gram[low] != name:  # small groups side by side
+                        continue
+                    both = pa.concat_tables(held)
+                    held, piece = [both.slice(0, rows - tail)] if rows > tail else [], both.slice(rows - tail)
+                    streamed, seen, rows = name, set(), rows - tail
+                single = piece["lo"][0] == piece["hi"][0]
+                yield one_window(piece, seen, length) if single else _unsolved(piece)
         if held:
-            yield solve(pa.Table.from_batches(held))
+            yield _solved(pa.concat_tables(held), length)
 
-    ordered = found.repartition("gram").sortWithinPartitions("gram", "id", "code")
-    return ordered.mapInArrow(run, "id long, code long, left int, right int")
+    ordered = found.select(*_FOUND).repartition("gram").sortWithinPartitions("gram", "id", "code")
+    return ordered.mapInArrow(run, _SOLVED)
+
+
+def halved(rows: DataFrame, length: int) -> DataFrame:
+    """Contexts once for each half of their range of windows, grouped by the bytes these share."""
+    middle = F.floor((F.col("lo") + F.col("hi")) / 2).cast("int")
+    halves = F.array(F.struct(F.col("lo"), middle.alias("hi")), F.struct((middle + 1).alias("lo"), F.col("hi")))
+    rows = rows.select("id", "code", "left", "bytes", F.explode(halves).alias("half"))
+    rows = rows.select("id", "code", "left", "bytes", "half.lo", "half.hi")
+    rows = rows.where((F.col("left") >= F.col("lo")) & (F.length("bytes") - F.col("left") >= length - F.col("hi")))
+    begin, size = F.col("left") - F.col("lo") + 1, F.col("lo") + length - F.col("hi")
+    gram = F.xxhash64("lo", "hi", F.substring(F.col("bytes"), begin, size))
+    return rows.withColumn("gram", gram)
+
+
+def sorted_repeats(found: DataFrame, length: int, most: int = GROUP_SUFFIXES) -> DataFrame:
+    """(id, code, left, right): what windows around a first occurrence repeat from other contexts."""
+    left = found.withColumn("lo", F.lit(0)).withColumn("hi", F.lit(length - ANCHOR))
+    parts = []
+    while True:
+        done = staged(_solve_groups(left, length, most), "suffixes")
+        parts.append(done.where("right IS NOT NULL").select("id", "code", "left", "right"))
+        left = done.where("right IS NULL")
+        if left.isEmpty():
+            break
+        left = halved(left, length)
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def merged_spans(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -368,10 +450,13 @@ def _whole_characters(body: np.ndarray, start: np.ndarray, stop: np.ndarray) ->
     return start[some], stop[some]
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, whole_characters: bool = False) -> DataFrame:
+def remove_repeats(
+    docs: DataFrame, length: int = LENGTH, whole_characters: bool = False, most: int = GROUP_SUFFIXES
+) -> DataFrame:
     """All columns of ``docs`` with ``kept`` (remaining bytes) and ``removed`` (array of start, stop).
 
-    ``whole_characters`` keeps all bytes of a character of which some would stay.
+    ``whole_characters`` keeps all bytes of a character of which some would stay; ``most`` contexts of one
+    string are held at once.
     """
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("id")
     body = F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text")
@@ -382,7 +467,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, whole_characters: bool
     )
     marks = staged(marks, "marks")
     first_marks = marks.where(F.size("firsts") > 0).select("id", "firsts")
-    partly = sorted_repeats(contexts(texts.join(first_marks, "id"), length), length)
+    partly = sorted_repeats(contexts(texts.join(first_marks, "id"), length), length, most)
     partly = staged(
         partly.groupBy("id").agg(F.collect_list(F.struct("code", "left", "right")).alias("parts")), "parts"
     )

@@ -139,6 +139,16 @@ def test_repeated_strings(docs, texts, batches):
     assert found == brute_removed(texts, 100)
 
 
+def test_large_groups_are_split(docs, texts, batches):
+    found = suffixes.remove_repeats(docs, most=2)
+    assert {r.doc_id: bytes(r.kept) for r in found.collect()} == {d: kept for d, (_, _, kept) in brute_removed(texts, 100).items()}
+    rows = [(7, 0, 68, i, 0, 68, bytes([65 + i % 2]) + b"y" * 167) for i in range(50)] + [(8, 5, 5, i, 0, 5, b"z" * 105) for i in range(30)]
+    frame = docs.sparkSession.createDataFrame(rows, "gram long, lo int, hi int, id long, code long, left int, bytes binary")
+    solved = suffixes._solve_groups(frame, 100, 10).collect()
+    assert sorted(r.id for r in solved if r.right is None) == list(range(50))
+    assert sorted((r.gram, r.id, r.left, r.right) for r in solved if r.right) == [(8, i, 5, 95) for i in range(1, 30)]
+
+
 def test_repeats_keep_characters_and_odd_rows(spark, docs):
     cut = suffixes.remove_repeats(docs, whole_characters=True).select("label", F.col("kept").cast("string").alias("t"))
     assert all("�" not in r.t for r in cut.collect())

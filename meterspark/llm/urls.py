@@ -1,10 +1,12 @@
 """URL filters: longest-rule verdicts, and link-graph propagation for hosts without a rule.
 
 Only DataFrame functions. Links of all pages become weighted host edges, pre-aggregated before they
-move. Trust is a personalised PageRank from the hosts whose pages rules allow; distrust is the same
-walk over reversed edges from the hosts whose pages rules block, so a host that links to blocked ones
-is distrusted. A host is blocked when its distrust reaches ``floor`` and exceeds its trust times
-``margin``.
+move. Trust is walked along links from the hosts whose pages rules allow, distrust against them from
+the hosts whose pages rules block, so a host that links to blocked ones is distrusted. A host takes the
+damped mean, by links, of its neighbours' masses: the share of its own links counts, not how many other
+hosts link to the same place, so a verdict does not change with the rest of the graph. Rounds go on
+until no mass changes by more than ``tolerance``; each shrinks the changes by ``damping`` at least.
+A host is blocked when its distrust reaches ``floor`` and exceeds its trust times ``margin``.
 
 Defined results: a null url, or one without ``://``, has an empty host and path, fits no rule and is
 allowed unless its (empty) host is distrusted, which links never reach; null html has no links;
@@ -68,31 +70,37 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return links.where("source <> '' AND source <> target").groupBy("source", "target").agg(F.count("*").alias("links"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 10) -> DataFrame:
-    """(host, trust, distrust) by power iteration from ``seeds`` (kind, host, mass).
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, tolerance: float = 1e-6) -> DataFrame:
+    """(host, trust, distrust) from ``seeds`` (kind, host, mass).
 
-    One join and one aggregation a round over rows of either kind; a round is written to the shared
-    folder every few rounds so that a lost executor costs little.
+    One join of the last changes and one aggregation a round over rows of either kind; every few rounds
+    masses are written to the shared folder, so that a lost executor costs little, and the largest
+    change is looked at.
     """
     walk = edges.select(F.lit("trust").alias("kind"), F.col("source").alias("host"), F.col("target").alias("to"), "links")
     back = edges.select(F.lit("distrust").alias("kind"), F.col("target").alias("host"), F.col("source").alias("to"), "links")
     both = walk.unionByName(back)
-    degree = both.groupBy("kind", "host").agg(F.sum("links").alias("degree"))
+    degree = both.groupBy("kind", "to").agg(F.sum("links").alias("degree"))
     share = staged(
-        both.join(degree, ["kind", "host"]).select("kind", "host", "to", (F.col("links") / F.col("degree")).alias("share")),
+        both.join(degree, ["kind", "to"]).select("kind", "host", "to", (F.col("links") / F.col("degree")).alias("share")),
         "edges",
     )
+    start = seeds.withColumn("mass", F.col("mass") * (1 - damping))
     if share.isEmpty():
-        return _as_columns(seeds.withColumn("mass", F.col("mass") * (1 - damping)))
-    ranks = start = seeds.withColumn("mass", F.col("mass") * (1 - damping))
-    for step in range(rounds):
-        moved = ranks.join(share, ["kind", "host"]).select(
-            "kind", F.col("to").alias("host"), (F.col("mass") * F.col("share") * damping).alias("mass")
+        return _as_columns(start)
+    ranks, step = start.withColumn("change", F.col("mass")), 0
+    while True:
+        moved = ranks.where("change > 0").join(share, ["kind", "host"]).select(
+            "kind", F.col("to").alias("host"), F.lit(0.0).alias("mass"), (F.col("change") * F.col("share") * damping).alias("change")
         )
-        ranks = moved.unionByName(start).groupBy("kind", "host").agg(F.sum("mass").alias("mass"))
-        if step % 4 == 3 or step == rounds - 1:
+        ranks = moved.unionByName(ranks.withColumn("change", F.lit(0.0))).groupBy("kind", "host").agg(
+            (F.sum("mass") + F.sum("change")).alias("mass"), F.sum("change").alias("change")
+        )
+        step += 1
+        if step % 4 == 0:
             ranks = staged(ranks, "ranks")
-    return _as_columns(ranks)
+            if ranks.where(F.col("change") > tolerance).isEmpty():
+                return _as_columns(ranks)
 
 
 def _as_columns(ranks: DataFrame) -> DataFrame:
@@ -101,7 +109,7 @@ def _as_columns(ranks: DataFrame) -> DataFrame:
 
 
 def url_filter(
-    pages: DataFrame, rules=DEFAULT_RULES, rounds: int = 10, damping: float = 0.85, floor: float = 1e-4, margin: float = 1.0
+    pages: DataFrame, rules=DEFAULT_RULES, tolerance: float = 1e-6, damping: float = 0.85, floor: float = 1e-4, margin: float = 1.0
 ) -> DataFrame:
     """All columns of ``pages`` with host, path, rule, verdict, trust and distrust.
 
@@ -122,7 +130,7 @@ def url_filter(
         ).where("mass > 0").select("kind", "host", "mass"),
         "seeds",
     )
-    scores = staged(propagate(host_edges(pages), seeds, damping, rounds), "hosts")
+    scores = staged(propagate(host_edges(pages), seeds, damping, tolerance), "hosts")
     judged = pages.join(scores, "host", "left")
     trust, distrust = (F.coalesce(F.col(c), F.lit(0.0)) for c in ("trust", "distrust"))
     method = F.when((distrust >= floor) & (distrust > trust * margin), "block").otherwise("allow")

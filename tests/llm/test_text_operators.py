@@ -270,6 +270,17 @@ def test_url_rules_and_propagation(spark):
     }
 
 
+def test_distrust_reaches_far_and_in_any_graph(spark):
+    link = lambda host: f'<a href="http://{host}/x">'
+    rows = [(0, "http://bad.com/de/1", ""), (1, "http://small.net/", link("bad.com"))]
+    rows += [(2 + i, f"http://big.net/{i}", link("bad.com")) for i in range(2000)]
+    rows += [(5000 + i, f"http://chain{i}.net/", link(f"chain{i - 1}.net" if i else "bad.com")) for i in range(16)]
+    rows += [(9000, "http://clean.net/", link("other.net"))]
+    judged = urls.url_filter(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    got = {r.page_id: r.verdict for r in judged.where("page_id < 2 or page_id >= 5000").collect()}
+    assert got == {p: "block" for p in got if p != 9000} | {9000: "allow"}
+
+
 def test_language_model(docs, texts):
     train = [words(t) + [None] for d, t in texts if zlib.crc32(str(d).encode()) % 7 != 2]
     count = collections.Counter(w for t in train for w in t)

@@ -6,7 +6,8 @@ recurring across many pages of their host are that site's template and are delet
 elements whose tag, role or class says that they are no main text (menus, headers, footers, sidebars,
 notices, adverts, forms, scripts, styles, reader comments) are left out, and where a page marks its
 article, only the article counts. Paragraphs and headings inside a marked article are content: they
-stay, however often a site repeats them.
+stay, however often a site repeats them or what stands around them. Names of classes say nothing about
+an element around an article or main, unless it is inside one itself or the article has such a name too.
 
 Per host at most ``1 / share`` times the mean number of elements of its pages can recur in that share
 of them, so the list of one host is bounded. The lists are written to the shared folder; Spark
@@ -15,7 +16,7 @@ split by adaptive execution.
 
 Defined results: null or empty html gives an empty text; white space inside a block is one space;
 ``<br>`` counts as white space; blocks without text vanish; unclosed and stray tags never fail; pages
-without a host share the empty host. Repeated rows are pages of their own.
+without a host share the empty host. Pages of a host with equal html count as one for its templates.
 """
 
 from __future__ import annotations
@@ -45,6 +46,7 @@ DROPPED = frozenset(
     "object canvas svg audio video".split()
 )
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
 CONTENT_BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt td th figcaption article main body".split())
 # What an opening tag closes when it stands open.
 CLOSES = {
@@ -73,10 +75,10 @@ _ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|hidden|aria-hidden)(?:\s*=\s*
 class Element:
     """An open or closed element: what it is, and its growing content for the subtree hash."""
 
-    __slots__ = ("article", "content", "dropped", "digest", "parent", "tag")
+    __slots__ = ("article", "content", "dropped", "digest", "named", "parent", "tag")
 
-    def __init__(self, tag: str, parent: Element | None, dropped: bool, article: bool) -> None:
-        self.tag, self.parent, self.dropped, self.article = tag, parent, dropped, article
+    def __init__(self, tag: str, parent: Element | None, dropped: bool, named: bool, article: bool) -> None:
+        self.tag, self.parent, self.dropped, self.named, self.article = tag, parent, dropped, named, article
         self.content: list[str] = []
         self.digest = 0
 
@@ -89,7 +91,7 @@ class Element:
 
 
 def is_dropped(tag: str, attributes: str) -> bool:
-    """Whether an element's tag, role, class or id says that it holds no main text."""
+    """Whether an element's tag or role says that it holds no main text."""
     if tag in DROPPED:
         return True
     if not attributes or tag in ("body", "html", "article", "main"):
@@ -100,14 +102,20 @@ def is_dropped(tag: str, attributes: str) -> bool:
             return True
         if name == "role" and value.lower() in DROPPED_ROLES:
             return True
-        if name in ("class", "id") and tag not in INLINE and _DROPPED_NAME.search(value):
-            return True
     return False
 
 
+def has_dropped_name(tag: str, attributes: str) -> bool:
+    """Whether an element's class or id says that it holds no main text."""
+    return tag not in ("body", "html") and any(
+        found[1].lower() in ("class", "id") and _DROPPED_NAME.search(found[2] or found[3] or found[4] or "")
+        for found in _ATTRIBUTE.finditer(attributes)
+    )
+
+
 def parse(page: str) -> tuple[list[tuple[str, Element]], list[Element]]:
     """Text blocks in page order, each with its element, and all block elements."""
-    root = Element("html", None, False, False)
+    root = Element("html", None, False, False, False)
     stack, elements, blocks = [root], [], []
     pieces: list[str] = []
     block: Element = root
@@ -152,9 +160,12 @@ def parse(page: str) -> tuple[list[tuple[str, Element]], list[Element]]:
         if tag in VOID or tag == "html":
             continue
         parent = stack[-1]
-        element = Element(
-            tag, parent, parent.dropped or is_dropped(tag, token[4]), parent.article or tag in ("article", "main")
-        )
+        marks = tag in ("article", "main")
+        named = bool(token[4]) and has_dropped_name(tag, token[4])
+        element = Element(tag, parent, is_dropped(tag, token[4]), named and not marks, parent.article or marks)
+        if marks and (tag == "main" or not named):
+            for above in stack:
+                above.named &= above.article
         elements.append(element)
         if not token[4].endswith("/"):
             stack.append(element)
@@ -164,6 +175,8 @@ def parse(page: str) -> tuple[list[tuple[str, Element]], list[Element]]:
         pieces.append(page[at:])
     flush()
     close_to(0)
+    for element in elements:  # parents come first
+        element.dropped |= element.named or element.parent.dropped
     return blocks, elements
 
 
@@ -182,7 +195,8 @@ def main_text(page: str, template: frozenset[int]) -> str:
         if element.dropped:
             continue
         above: Element | None = element
-        while above is not None and not (above.digest in template and removable(above)):
+        prose = element.article and element.tag in PROSE
+        while above is not None and not (above.digest in template and removable(above) and not (prose and above.article)):
             above = above.parent
         if above is None:
             kept.append(text)
@@ -192,29 +206,38 @@ def main_text(page: str, template: frozenset[int]) -> str:
 
 
 def site_templates(pages: DataFrame, min_pages: int = 5, share: float = 0.1) -> DataFrame:
-    """(host, template): hashes of subtrees that stand in at least ``min_pages`` and ``share`` of a host's pages."""
+    """(host, template): hashes of subtrees that stand in at least ``min_pages`` and ``share`` of a host's pages.
+
+    Pages of a host with equal html count as one: each of n copies counts a subtree by 1 / n.
+    """
+    page = F.xxhash64("__text").alias("page")
+    copies = pages.groupBy("host", page).agg(F.count("*").alias("copies"))
+    copies = staged(copies, "copies")
+    totals = copies.groupBy("host").agg(F.count("*").alias("all_pages"))
+    several = copies.where("copies > 1")
+    pages = pages.select("host", "__text", page).join(several, ["host", "page"], "left")
 
     def subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hosts, digests, counts = [], [], []
-            found: dict[tuple[str, int], int] = {}
-            for host, page in zip(batch.column("host"), batch.column("__text"), strict=True):
-                name = host.as_py()
+            found: dict[tuple[str, int], float] = {}
+            for host, page, copies in zip(*(batch.column(c) for c in ("host", "__text", "copies")), strict=True):
+                name, weight = host.as_py(), 1 / (copies.as_py() or 1)
                 _, elements = parse(page.as_py() or "")
                 for digest in {e.digest for e in elements if not e.dropped and removable(e)}:
-                    found[name, digest] = found.get((name, digest), 0) + 1
+                    found[name, digest] = found.get((name, digest), 0.0) + weight
             for (name, digest), count in found.items():
                 hosts.append(name)
                 digests.append(digest)
                 counts.append(count)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(hosts, pa.string()), pa.array(digests, pa.int64()), pa.array(counts, pa.int64())],
+                [pa.array(hosts, pa.string()), pa.array(digests, pa.int64()), pa.array(counts, pa.float64())],
                 ["host", "digest", "pages"],
             )
 
-    counted = pages.select("host", "__text").mapInArrow(subtrees, "host string, digest long, pages long")
-    counted = counted.groupBy("host", "digest").agg(F.sum("pages").alias("pages")).where(F.col("pages") >= min_pages)
-    totals = pages.groupBy("host").agg(F.count("*").alias("all_pages"))
+    counted = pages.select("host", "__text", "copies").mapInArrow(subtrees, "host string, digest long, pages double")
+    whole = F.round(F.sum("pages")).alias("pages")
+    counted = counted.groupBy("host", "digest").agg(whole).where(F.col("pages") >= min_pages)
     recurring = counted.join(totals, "host").where(F.col("pages") >= share * F.col("all_pages"))
     return staged(recurring.groupBy("host").agg(F.collect_list("digest").alias("template")), "templates")
 

@@ -220,6 +220,19 @@ def test_main_text(spark):
     assert got == {i: f"own {i}" for i in range(8)} | {8: "", 9: ""}
 
 
+def test_article_text_stays(spark):
+    rows = [(i, f"http://h.org/{i}", "<article><div><p>same</p></div></article>") for i in range(6)]
+    rows += [(10 + i, f"http://c.org/{i}", "<div><p>copy</p></div>") for i in range(6)]
+    rows += [(20 + i, f"http://s.org/{i}", f"<article><section><p>Prose</p></section><p>{i}</p></article>") for i in range(6)]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: "same" for i in range(6)} | {10 + i: "copy" for i in range(6)} | {20 + i: f"Prose\n\n{i}" for i in range(6)}
+    for name in ("layout has-sidebar", "no-sidebar"):
+        assert html.main_text(f"<div class='{name}'><article><p>t</p></article><p>x</p></div>", frozenset()) == "t"
+    page = "<main><p>t</p><div class='comments'><article><p>c</p></article></div></main><div class='ads'><p>a</p></div>"
+    assert html.main_text(page, frozenset()) == "t"
+    assert html.main_text("<p>t</p><div class='comments'><article class='comment'><p>c</p></article></div>", frozenset()) == "t"
+
+
 def test_packing_round_trip(docs, texts):
     from tokenizers import Tokenizer
 

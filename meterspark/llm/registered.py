@@ -3,7 +3,21 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from meterspark.llm import decontaminate, html, jaccard, lm, packing, rules, suffixes, toxicity, urls, warc
+from meterspark.llm import (
+    conversations,
+    decontaminate,
+    divergence,
+    html,
+    jaccard,
+    lm,
+    packing,
+    rules,
+    suffixes,
+    tokens,
+    toxicity,
+    urls,
+    warc,
+)
 
 QUERIES = {
     "op1_jaccard_join": jaccard.op1_jaccard_join,
@@ -16,6 +30,9 @@ QUERIES = {
     "op8_lm_scoring": lm.op8_lm_scoring,
     "op9_repetition_rules": rules.op9_repetition_rules,
     "op10_warc_bundles": warc.op10_warc_bundles,
+    "op11_token_counts": tokens.op11_token_counts,
+    "op12_source_divergence": divergence.op12_source_divergence,
+    "op13_conversation_repair": conversations.op13_conversation_repair,
     "pipeline": corpus_pipeline.run,
 }
-ORACLE = {"op10_warc_bundles": warc.OP10_SQL}
+ORACLE = {"op10_warc_bundles": warc.OP10_SQL, "op12_source_divergence": divergence.OP12_SQL}

@@ -24,12 +24,12 @@ columns are not read, so their names cannot clash.
 
 from __future__ import annotations
 
-import re
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -41,34 +41,37 @@ MIN_DOCS = 3
 TOP_TERMS = 200
 #: Sources of one language are paired in squares of this many; a square of sums takes 8 MB.
 BLOCK = 1024
-_TERMS = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
-_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-_FLUSH = 200_000
+#: A-Z as a-z, other ASCII but a-z as space: terms are the runs of what is left in UTF-8.
+_TERM_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b > 127 else 32 for b in range(256))
+_FLUSH = 500_000
 
 
-def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, source, term, n, docs): sparse document vectors summed over parts of the corpus."""
-    sums: dict[tuple[str, str], tuple[Counter, Counter]] = defaultdict(lambda: (Counter(), Counter()))
+def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, source, term, n, docs): sparse document vectors of a part of the corpus, summed by source."""
+    names = ["lang", "source", "term", "n", "docs"]
+    sums: dict[tuple[str, str], tuple[Counter[bytes], Counter[bytes]]] = defaultdict(lambda: (Counter(), Counter()))
 
     def flush() -> Iterator[pa.RecordBatch]:
         for (lang, source), (n, docs) in sums.items():
-            terms = list(n)
-            columns = [pa.array([lang] * len(terms)), pa.array([source] * len(terms)), pa.array(terms)]
-            columns += [pa.array(list(n.values()), pa.int64()), pa.array([docs[t] for t in terms], pa.int64())]
-            if terms:
-                yield pa.RecordBatch.from_arrays(columns, ["lang", "source", "term", "n", "docs"])
+            if not n:
+                continue
+            same = pa.array(np.zeros(len(n), np.int64))  # both counters saw their terms, not in one order
+            columns = [pa.array([name], pa.string()).take(same) for name in (lang, source)]
+            columns.append(pa.array(list(n), pa.binary()).cast(pa.string()))
+            columns += [pa.array(np.fromiter(v, np.int64, len(n))) for v in (n.values(), map(docs.__getitem__, n))]
+            yield pa.RecordBatch.from_arrays(columns, names)
         sums.clear()
 
     held = 0
     for rows in batches:
         data, offsets = raw(rows.column("text"))
         langs, sources = rows.column("lang").to_pylist(), rows.column("source").to_pylist()
-        for i, (lang, source) in enumerate(zip(langs, sources)):
-            vector = Counter(_TERMS.findall(data[offsets[i] : offsets[i + 1]].tobytes().decode().translate(_LOWER)))
-            n, docs = sums[lang, source]
+        for i, group in enumerate(zip(langs, sources)):
+            words = data[offsets[i] : offsets[i + 1]].tobytes().translate(_TERM_BYTES).split()
+            n, docs = sums[group]
             before = len(n)
-            n.update(vector)
-            docs.update(vector.keys())
+            n.update(words)
+            docs.update(set(words))
             held += len(n) - before
             if held > _FLUSH:
                 yield from flush()
@@ -77,32 +80,34 @@ def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def vocabulary(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """(lang, term, n, cells): kept terms, their count, and (source, n) for each source they occur in.
+    """(lang, term, source, n, lang_n, lead): counts of kept terms by source; ``lead`` marks one row a term.
 
-    Parts of a term come from every task once, already summed, and meet by (lang, term).
+    Counts come from each part of the corpus once, already summed by source, and all of a term meet by
+    (lang, term), where they are at most as many as the language has sources.
     """
-    parts = docs.mapInArrow(_term_counts, "lang string, source string, term string, n long, docs long")
+    parts = docs.mapInArrow(_vectors, "lang string, source string, term string, n long, docs long")
     cells = parts.repartition("lang", "term").groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
-    terms = cells.groupBy("lang", "term").agg(
-        F.sum("docs").alias("docs"), F.sum("n").alias("n"), F.collect_list(F.struct("source", "n")).alias("cells")
-    )
-    return terms.where(F.col("docs") >= min_docs).drop("docs")
+    term = Window.partitionBy("lang", "term")
+    lead = F.row_number().over(term.orderBy("source")) == 1
+    cells = cells.select("lang", "term", "source", "n", F.sum("docs").over(term).alias("docs"), F.sum("n").over(term).alias("lang_n"), lead.alias("lead"))
+    return cells.where(F.col("docs") >= min_docs).drop("docs")
 
 
 def _share(count: Column, total: Column) -> Column:
-    """``1 + floor(10^9 (count + 1) / total)`` in exact decimals; ``total`` is N + V."""
+    """``1 + floor(10^9 (count + 1) / total)``, exactly; ``total`` is N + V. Very large counts take decimals."""
+    short = F.call_function("div", F.lit(SCALE).cast("long") * (count + 1), total)
     scaled = F.lit(SCALE).cast("decimal(10,0)") * (count + 1).cast("decimal(20,0)")
-    return F.call_function("div", scaled, total.cast("decimal(20,0)")) + F.lit(1)
+    return F.when(count < 9_000_000_000, short).otherwise(F.call_function("div", scaled, total.cast("decimal(20,0)"))) + F.lit(1)
 
 
 def _distance(p: Column, q: Column) -> Column:
     return F.call_function("div", (p - q) * (p - q), q)
 
 
-def group_table(docs: DataFrame, terms: DataFrame) -> DataFrame:
+def group_table(docs: DataFrame, kept: DataFrame) -> DataFrame:
     """(lang, source, place, groups, v, total, lang_total, least): every occurring group and its sums."""
-    own = terms.select("lang", F.explode("cells").alias("c")).groupBy("lang", F.col("c.source").alias("source")).agg(F.sum("c.n").alias("n"))
-    langs = terms.groupBy("lang").agg(F.count("*").alias("v"), F.sum("n").alias("lang_n"))
+    own = kept.groupBy("lang", "source").agg(F.sum("n").alias("n"))
+    langs = kept.groupBy("lang").agg(F.count_if("lead").alias("v"), F.sum("n").alias("lang_n"))
     groups = docs.select("lang", "source").distinct().join(own, ["lang", "source"], "left").join(langs, "lang", "left")
     groups = groups.na.fill(0, ["n", "v", "lang_n"]).withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1)
     groups = groups.withColumn("groups", F.count("*").over(Window.partitionBy("lang")))
@@ -117,7 +122,7 @@ def _distances(p: np.ndarray, q: np.ndarray) -> np.ndarray:
 def _shared_terms(block: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """(lang, a, b, value): the last sum of the module's formula, from terms sorted by square.
 
-    A row is one term with the places, shares and least shares of its sources in blocks i and j; a square
+    A row is one source's place, share and least share in one term, in blocks i and j; a square
     holds sums for sources of i against j and, one layer below, of j against i.
     """
 
@@ -125,6 +130,24 @@ def _shared_terms(block: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
         at: tuple[str, int, int] | None = None
         square = np.zeros(0, np.int64)
 
+        def changes(rows: pa.RecordBatch) -> np.ndarray:
+            """True between two rows of different terms or squares."""
+            wrong = [pc.not_equal(rows.column(c)[1:], rows.column(c)[:-1]).to_numpy(zero_copy_only=False) for c in ("term", "lang", "i", "j")]
+            return np.logical_or.reduce(wrong)
+
+        def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """Batches that end with a term's last row; a term has at most two blocks of sources in a square."""
+            rest: pa.RecordBatch | None = None
+            for rows in batches:
+                rows = rows if rest is None else pa.concat_batches([rest, rows])
+                cuts = np.flatnonzero(changes(rows))
+                last = int(cuts[-1]) + 1 if len(cuts) else 0
+                if last:
+                    yield rows.slice(0, last)
+                rest = rows.slice(last)
+            if rest is not None and len(rest):
+                yield rest
+
         def done() -> Iterator[pa.RecordBatch]:
             layer, a, b = np.nonzero(square.reshape(-1, block, block))
             if len(a):
@@ -146,22 +169,21 @@ def _shared_terms(block: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
                 target, value = target[apart], value[apart]
             np.add.at(square, target.ravel(), value.ravel())
 
-        for rows in batches:
+        for rows in terms(batches):
             langs = rows.column("lang").to_pylist()
-            i, j = (rows.column(c).to_numpy() for c in ("i", "j"))
-            lists = rows.column("cells")
-            bounds = lists.offsets.to_numpy()
-            place, p, p0 = (lists.values.field(c).to_numpy() for c in ("place", "p", "p0"))
-            keys = list(zip(langs, i.tolist(), j.tolist()))
-            starts = [k for k in range(len(keys)) if not k or keys[k] != keys[k - 1]]
-            for first, stop in zip(starts, [*starts[1:], len(keys)]):
+            i, j, place, p, p0 = (rows.column(c).to_numpy() for c in ("i", "j", "place", "p", "p0"))
+            begins = np.r_[0, np.flatnonzero(changes(rows)) + 1]
+            sizes = np.diff(np.r_[begins, len(langs)])
+            keys = [(langs[k], int(i[k]), int(j[k])) for k in begins.tolist()]
+            runs = [k for k in range(len(keys)) if not k or keys[k] != keys[k - 1]]
+            for first, stop in zip(runs, [*runs[1:], len(keys)]):
                 if keys[first] != at:
                     yield from done()
                     at = keys[first]
                     square = np.zeros((1 if at[1] == at[2] else 2) * block * block, np.int64)
-                begin, sizes = bounds[first:stop], np.diff(bounds[first : stop + 1])
-                for size in np.unique(sizes[sizes > 1]).tolist():
-                    members = begin[sizes == size, None] + np.arange(size)
+                begin, size_of = begins[first:stop], sizes[first:stop]
+                for size in np.unique(size_of[size_of > 1]).tolist():
+                    members = begin[size_of == size, None] + np.arange(size)
                     step = max(1, (1 << 18) // (size * size))
                     for k in range(0, len(members), step):
                         m = members[k : k + step]
@@ -180,9 +202,8 @@ def shared_sums(cells: DataFrame, block: int = BLOCK) -> DataFrame:
     own = F.floor(F.col("place") / block).cast("int")
     blocks = F.transform(F.sequence(F.lit(0), F.col("last")), lambda k: F.struct(F.least(own, k).alias("i"), F.greatest(own, k).alias("j")))
     rows = cells.withColumn("last", F.floor((F.col("groups") - 1) / block).cast("int")).select("lang", "term", "place", "p", "p0", F.explode(blocks).alias("s"))
-    terms = rows.groupBy("lang", "term", F.col("s.i").alias("i"), F.col("s.j").alias("j")).agg(F.collect_list(F.struct("place", "p", "p0")).alias("cells"))
-    terms = terms.where(F.size("cells") > 1).sortWithinPartitions("lang", "i", "j")
-    return terms.select("lang", "i", "j", "cells").mapInArrow(_shared_terms(block), "lang string, a long, b long, value long")
+    rows = rows.select("lang", F.col("s.i").alias("i"), F.col("s.j").alias("j"), "term", "place", "p", "p0").repartition("lang", "term", "i", "j")
+    return rows.sortWithinPartitions("lang", "i", "j", "term").mapInArrow(_shared_terms(block), "lang string, a long, b long, value long")
 
 
 def pair_values(cells: DataFrame, groups: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -218,8 +239,7 @@ def source_divergence(
     rows = docs.select(*(F.coalesce(F.col(old), F.lit("")).alias(new) for new, old in columns.items()))
     kept = staged(vocabulary(rows, min_docs), "terms")
     groups = staged(group_table(rows, kept), "groups")
-    cells = kept.select("lang", "term", F.col("n").alias("lang_n"), F.explode("cells").alias("c"))
-    cells = cells.select("lang", "term", "lang_n", F.col("c.source").alias("source"), F.col("c.n").alias("n")).join(groups, ["lang", "source"])
+    cells = kept.join(groups, ["lang", "source"])
     p, q = _share(F.col("n"), F.col("total")), _share(F.col("lang_n"), F.col("lang_total"))
     cells = cells.select("lang", "source", "term", "place", "groups", F.col("least").alias("p0"), p.alias("p"), q.alias("q"))
 

@@ -11,7 +11,7 @@ more than a constant, the chunk reruns, until a row is reached whose vector diff
 decisions before it stand. Between blocks, a conversation's vector passes over the driver, one small row a
 block. The stitched decisions then drive the trace from the front, which takes the ASCII-least of the cheapest
 edits. As a hash over a whole conversation is sequential, its texts pass through one task, as a sorted stream
-that holds one row at a time; everything before that cuts a long conversation over many tasks.
+that holds a few hundred rows at a time; everything before that cuts a long conversation over many tasks.
 
 Defined results: null role, text, conversation and turn count as one space where rows are damaged, a null turn
 comes before all turns, a null conversation is one conversation; rows of one turn are ordered by the MD5 of
@@ -39,6 +39,7 @@ from meterspark.llm.frames import staged
 REROLE, DELETE, INSERT, TRUNCATED = 1, 2, 5, 5
 CHUNK_ROWS = 128
 BLOCK_ROWS = 1 << 20
+_READ_ROWS = 256
 _SPACES = " \t\n\x0b\x0c\r"
 
 # Places in the pattern: 0 nothing yet, 1 after s, 2 after u, 3 after a; 0 and 3 may end.
@@ -172,21 +173,29 @@ def _digest(role: Column, text: Column) -> Column:
 
 
 def judged(rows: DataFrame) -> DataFrame:
-    """(conv, turn, digest, code, later): each row's initial and fault, without its text.
-
-    ``later`` marks role and text of an earlier turn; rows equal in turn too stand side by side once sorted.
-    """
+    """(conv, turn, digest, code): each row's initial and fault, without its text."""
     trimmed = F.rtrim(F.col("text"), F.lit(_SPACES))
     initial = F.substring("role", 1, 1)
     code = F.when(initial == "s", 0).when(initial == "u", 1).when(initial == "a", 2).otherwise(3)
     fault = F.when(trimmed == "", _BLANK).when(~F.substring(trimmed, -1, 1).isin(".", "!", "?"), _CUT).otherwise(0)
-    rows = rows.where("not dropped").select("conv", "turn", _digest(F.col("role"), F.col("text")).alias("digest"), (code + fault).cast("int").alias("code"))
-    order = F.struct(F.col("turn").isNotNull().alias("known"), F.col("turn").alias("turn"))
-    firsts = rows.groupBy("conv", "digest").agg(F.min(order).alias("first"), F.max(order).alias("last")).where("first.known <> last.known or first.turn <> last.turn")
-    first = firsts.select(F.col("conv").alias("of"), F.col("digest").alias("seen"), "first")
+    return rows.where("not dropped").select("conv", "turn", _digest(F.col("role"), F.col("text")).alias("digest"), (code + fault).cast("int").alias("code"))
+
+
+def with_repeats(rows: DataFrame) -> DataFrame:
+    """Adds ``later``: role and text of a row of an earlier turn; null comes before every turn.
+
+    Only digests of more than one turn are joined; of a digest, one row comes from each task.
+    """
+    turns = rows.groupBy("conv", "digest").agg(
+        F.min("turn").alias("low"), F.max("turn").alias("high"), F.count("turn").alias("known"), F.count("*").alias("all")
+    )
+    unknown = F.col("known") < F.col("all")
+    turns = turns.where((F.col("low") < F.col("high")) | (unknown & (F.col("known") > 0)))
+    first = turns.select(F.col("conv").alias("of"), F.col("digest").alias("seen"), F.when(~unknown, F.col("low")).alias("first"), F.lit(True).alias("more"))
     joined = rows.join(first, F.col("conv").eqNullSafe(F.col("of")) & (F.col("digest") == F.col("seen")), "left")
-    later = F.coalesce(order > F.col("first"), F.lit(False))
-    return joined.select("conv", "turn", "digest", "code", later.alias("later"))
+    turn = F.col("turn")
+    later = F.col("more") & turn.isNotNull() & (F.col("first").isNull() | (turn > F.col("first")))
+    return joined.select("conv", "turn", "digest", "code", F.coalesce(later, F.lit(False)).alias("later"))
 
 
 def _packed(block_rows: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -236,7 +245,7 @@ def blocks_of(rows: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     parts = max(-(-count // block_rows), min(spark.sparkContext.defaultParallelism, -(-count // 20_000)), 1)
     keys = ["conv", "turn", "digest"]
     conv = light.schema["conv"].dataType.simpleString()
-    ranged = light.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
+    ranged = with_repeats(light).repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
     return staged(ranged.mapInArrow(_packed(block_rows), f"part int, no int, convs array<{conv}>, sizes array<long>, codes binary"), "blocks")
 
 
@@ -397,19 +406,18 @@ def _repaired(kind: pa.DataType) -> Callable[[Iterator[pa.RecordBatch]], Iterato
         def batch() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done), types)], names)
 
-        for rows in batches:
-            columns = [rows.column(c) for c in ("conv", "kind", "turn", "role", "text", "counts")]
+        for rows in (batch.slice(at, _READ_ROWS) for batch in batches for at in range(0, len(batch), _READ_ROWS)):
+            columns = [rows.column(c).to_pylist() for c in ("conv", "kind", "turn", "role", "text", "counts")]
             for conv, what, turn, role, text, counts in zip(*columns):
-                conv, what = conv.as_py(), what.as_py()
                 if now is None or now.conv != conv:
                     if now is not None:
                         done.append(now.result())
                     now = Conversation(conv)
                 if what == 1:
-                    now.audit.append(text.as_py())
-                    now.counts = [a + b for a, b in zip(now.counts, counts.as_py())]
+                    now.audit.append(text)
+                    now.counts = [a + b for a, b in zip(now.counts, counts)]
                 elif what == 2:
-                    now.row(turn.as_py(), role.as_py(), text.as_py())
+                    now.row(turn, role, text)
             if len(done) >= 1000:
                 yield batch()
                 done = []

@@ -32,12 +32,13 @@ from meterspark.llm.texts import raw
 
 MODEL = "piece_bpe_32k.model"
 LIMIT = 4096
-#: 1 / 500,000: at most half a million pre-tokens are broadcast, whatever the corpus.
-COMMON_SHARE = 2e-6
+#: 1 / 2,000,000: at most two million pre-tokens are broadcast, whatever the corpus.
+COMMON_SHARE = 5e-7
 SPACE = "▁"
 #: Protocol buffers merge a field that comes twice: the normaliser's "add a space in front" becomes false.
 _NO_PREFIX = b"\x1a\x02\x18\x00"
-_FLUSH = 200_000
+_FLUSH = 500_000
+_ROWS = 50_000
 _WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 _WORDS_LINES = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
 
@@ -146,7 +147,7 @@ def token_counts(
                     else:
                         out.append((key, None, None, token, n))
                 out.append((key, own_id.as_py(), size, None, summed))
-                if len(out) > _FLUSH // 4:
+                if len(out) > _ROWS:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
                     out = []
             if out:

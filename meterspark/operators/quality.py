@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from meterspark.functions.chunks import CHUNK, consecutive_pairs
 from meterspark.functions.clock import DAY, epoch, floor_div, iso, micros
 from meterspark.functions.parsing import is_finite
-from meterspark.operators.quantiles import exact_medians, widen
+from meterspark.operators.quantiles import MISSING, NON_FINITE, beside, class_counts, exact_medians, widen
 from meterspark.schemas import (
     EVIDENCE_LIMIT,
     ISSUE_SEVERITY,
@@ -23,6 +24,7 @@ from meterspark.schemas import (
     MEASURES,
     ROBUST_Z_LIMIT,
 )
+from meterspark.session import staged
 
 SERIES = ("series_id",)
 ROWS_PER_CHUNK = 1_000_000
@@ -31,6 +33,13 @@ _VALUE_GROUPS = tuple(
     for measure in MEASURES
     for kind in ("missing", "non_finite", "physical_invalidity")
 )
+class Report(NamedTuple):
+    """Issue groups, and one row a series."""
+
+    issues: DataFrame
+    summary: DataFrame
+
+
 GROUP_COLUMNS = ("issue_type", "column_name", "range_start", "range_end", "occurrence_count")
 
 
@@ -110,18 +119,27 @@ def gap_issues(gap_rows: DataFrame, keys: Sequence[str] = SERIES) -> DataFrame:
     )
 
 
-def duplicate_times(df: DataFrame, keys: Sequence[str] = SERIES) -> DataFrame:
-    """Times with more than one row: surplus exact copies and rows that disagree.
+def time_counts(df: DataFrame, keys: Sequence[str] = SERIES) -> DataFrame:
+    """``keys, observed_at, row_count, signature_count``: rows of each time, and how many of them differ.
 
     Copies are counted per signature first, so many equal rows shrink before the shuffle.
     """
     signatures = df.groupBy(*keys, "observed_at", *MEASURES, "parse_status", "quality_flags").agg(
         F.count(F.lit(1)).alias("copies")
     )
-    per_time = signatures.groupBy(*keys, "observed_at").agg(
+    return signatures.groupBy(*keys, "observed_at").agg(
         F.sum("copies").alias("row_count"), F.count(F.lit(1)).alias("signature_count")
     )
-    return per_time.where("row_count > 1").select(
+
+
+def duplicate_times(df: DataFrame, keys: Sequence[str] = SERIES) -> DataFrame:
+    """Times with more than one row: surplus exact copies and rows that disagree."""
+    return repeated_times(time_counts(df, keys), keys)
+
+
+def repeated_times(times: DataFrame, keys: Sequence[str] = SERIES) -> DataFrame:
+    """:func:`duplicate_times` of counted times."""
+    return times.where("row_count > 1").select(
         *keys,
         "observed_at",
         (F.col("row_count") - F.col("signature_count")).alias("exact_excess"),
@@ -199,41 +217,59 @@ def parse_error_issues(df: DataFrame, keys: Sequence[str] = SERIES) -> DataFrame
     return _group(df.where("parse_status = 'invalid'"), keys, "parse_error", F.count(F.lit(1)))
 
 
-def outliers(df: DataFrame, keys: Sequence[str] = SERIES) -> DataFrame:
+def row_classes(df: DataFrame, keys: Sequence[str] = SERIES) -> DataFrame:
+    """Counts, first and last time of every measure's value classes and of the parse status.
+
+    A class tells a missing, non-finite or impossible value and is the first digit of the medians, so
+    one pass over the rows serves all of these.
+    """
+    status = F.when(F.col("parse_status") == "invalid", 1.0).otherwise(0.0)
+    cells = df.select(*keys, "observed_at", *MEASURES, status.alias("parse_status"))
+    return class_counts(cells, keys, [*MEASURES, "parse_status"], "observed_at")
+
+
+def class_issues(classes: DataFrame, keys: Sequence[str] = SERIES) -> DataFrame:
+    """:func:`row_issues` read off the classes."""
+    digit, column = F.col("class"), F.col("column_name")
+    wrong = F.when(column == "voltage_v", digit <= 0).otherwise(digit < 0)
+    kind = (
+        F.when(column == "parse_status", F.when(digit > 0, "parse_error"))
+        .when(digit == MISSING, "missing")
+        .when(digit == NON_FINITE, "non_finite")
+        .when(wrong, "physical_invalidity")
+    )
+    found = classes.withColumn("issue_type", kind).where(F.col("issue_type").isNotNull())
+    name = F.when(column != "parse_status", column)
+    return found.groupBy(*keys, "issue_type", name.alias("column_name")).agg(
+        F.min("first_at").alias("range_start"), F.max("last_at").alias("range_end"), F.sum("copies").alias("occurrence_count")
+    )
+
+
+def outliers(df: DataFrame, keys: Sequence[str] = SERIES, classes: DataFrame | None = None) -> DataFrame:
     """Values more than six robust deviations from the median of their measure.
 
-    Medians and deviations are one row a series; the medians are kept once computed because each
-    of the passes over the values that follow needs them.
+    Medians and deviations are one row a series, written once because the passes over the values that
+    follow need them; rows meet them in place, or by series and day where the series are very many.
     """
-    medians = exact_medians(df, keys, MEASURES).where("n >= 3")
-    centers = widen(medians, keys, MEASURES, "median").persist()
-    deviations = df.join(centers, list(keys)).select(
-        *keys, *(F.abs(F.col(m) - F.col(f"{m}__median")).alias(m) for m in MEASURES)
+    day = floor_div(epoch(F.col("observed_at")), DAY)
+    medians = exact_medians(df, keys, MEASURES, part=day, classes=classes).where("n >= 3")
+    centers = staged(widen(medians, keys, MEASURES, "median"), "medians")
+    deviations = beside(df, centers, keys, day).select(
+        *keys, "observed_at", *(F.abs(F.col(m) - F.col(f"{m}__median")).alias(m) for m in MEASURES)
     )
-    spreads = exact_medians(deviations, keys, MEASURES).withColumnRenamed("median", "mad")
-    scale = centers.join(widen(spreads, keys, MEASURES, "mad"), list(keys))
+    spreads = exact_medians(deviations, keys, MEASURES, part=day).withColumnRenamed("median", "mad")
+    scale = staged(centers.join(widen(spreads, keys, MEASURES, "mad"), list(keys)), "deviations")
 
     def cell(measure: str) -> Column:
         value, center, mad = F.col(measure), F.col(f"{measure}__median"), F.col(f"{measure}__mad")
-        z = F.when(is_finite(value) & (mad != 0), F.abs(value - center) / (MAD_SCALE * mad))
-        return F.struct(
-            F.lit(measure).alias("column_name"),
-            value.alias("value"),
-            center.alias("median"),
-            mad.alias("mad"),
-            z.alias("robust_z"),
-        )
+        return F.struct(F.lit(measure).alias("column_name"), value.alias("value"), center.alias("median"), mad.alias("mad"))
 
-    return (
-        df.join(scale, list(keys))
-        .select(
-            *keys,
-            "source_row_number",
-            "observed_at",
-            F.inline(F.array(*(cell(m) for m in MEASURES))),
-        )
-        .where(F.col("robust_z") > ROBUST_Z_LIMIT)
+    cells = beside(df, scale, keys, day).select(
+        *keys, "source_row_number", "observed_at", F.inline(F.array(*(cell(m) for m in MEASURES)))
     )
+    z = F.abs(F.col("value") - F.col("median")) / (MAD_SCALE * F.col("mad"))
+    finite = cells.where((F.col("mad") != 0) & is_finite(F.col("value")))
+    return finite.withColumn("robust_z", z).where(F.col("robust_z") > ROBUST_Z_LIMIT)
 
 
 def outlier_issues(rows: DataFrame, keys: Sequence[str] = SERIES) -> DataFrame:
@@ -242,17 +278,34 @@ def outlier_issues(rows: DataFrame, keys: Sequence[str] = SERIES) -> DataFrame:
 
 def quality_issues(df: DataFrame, keys: Sequence[str] = SERIES) -> DataFrame:
     """All issue groups of a series, with severity."""
-    steps = time_steps(df, keys)
+    return quality_report(df, keys).issues
+
+
+def quality_report(df: DataFrame, keys: Sequence[str] = SERIES) -> Report:
+    """All issue groups and the report row of each series.
+
+    The rows are read for their value classes, their times, their order, and four times for the outliers
+    (values in the middle classes, the classes of deviations, deviations in the middle classes, and the
+    outliers). Everything else is read off the written classes and times.
+    """
+    classes = staged(row_classes(df, keys), "classes")
+    times = staged(time_counts(df, keys), "times")
+    steps = staged(time_steps(times, keys), "steps")
+    expected = staged(cadence(steps, keys), "cadence")
+    measured = classes.where("column_name <> 'parse_status'")
     parts = [
         order_issues(df, keys),
-        duplicate_issues(duplicate_times(df, keys), keys),
-        gap_issues(gaps(steps, cadence(steps, keys), keys), keys),
-        row_issues(df, keys),
-        outlier_issues(outliers(df, keys), keys),
+        duplicate_issues(repeated_times(times, keys), keys),
+        gap_issues(gaps(steps, expected, keys), keys),
+        class_issues(classes, keys),
+        outlier_issues(outliers(df, keys, measured), keys),
     ]
-    return with_severity(reduce(DataFrame.unionByName, parts)).select(
+    issues = with_severity(reduce(DataFrame.unionByName, parts)).select(
         *keys, "issue_type", "severity", *GROUP_COLUMNS[1:]
     )
+    issues = staged(issues, "issues")
+    totals = classes.where("column_name = 'parse_status'").groupBy(*keys).agg(F.sum("copies").alias("total_rows"))
+    return Report(issues, _summary(totals, issues, expected, keys))
 
 
 def with_severity(issues: DataFrame) -> DataFrame:
@@ -275,6 +328,13 @@ def report_summary(
     df: DataFrame, issues: DataFrame, expected: DataFrame, keys: Sequence[str] = SERIES
 ) -> DataFrame:
     """The report row of each series: total rows, cadence and counts per issue type."""
+    totals = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("total_rows"))
+    return _summary(totals, issues, expected, keys)
+
+
+def _summary(
+    totals: DataFrame, issues: DataFrame, expected: DataFrame, keys: Sequence[str]
+) -> DataFrame:
     names = {
         "missing_values": "missing",
         "non_finite_values": "non_finite",
@@ -293,7 +353,6 @@ def report_summary(
         ),
         F.count(F.lit(1)).alias("issue_group_count"),
     )
-    totals = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("total_rows"))
     return (
         totals.join(expected, list(keys), "left")
         .join(counts, list(keys), "left")

@@ -1,4 +1,10 @@
-"""Exact medians of several columns per group, for groups of any size."""
+"""Exact medians of several columns per group, for groups of any size, by radix selection.
+
+A double is located digit by digit, each digit a function that never falls as the value grows: first its
+logarithmic class (under one per cent wide), then its nearest single-precision number, then the value. Each pass
+counts values by digit, with partial sums in every task, and keeps the digits that hold the two middle ranks. Rows
+are read twice: once to count classes, once to count the values in the middle classes. What follows works on counts.
+"""
 
 from __future__ import annotations
 
@@ -8,72 +14,120 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meterspark.functions.parsing import is_finite
+from meterspark.session import staged
 
-# A quantile sketch of this accuracy misses a rank by at most one part in ACCURACY; the bracket
-# around the middle is wider than that, so it always holds the median.
-ACCURACY = 10_000
-BRACKET = 2e-4
+#: Classes per unit of the natural logarithm, and a shift that makes classes of positive values positive:
+#: the logarithm of the smallest double is above -745.
+STEPS_PER_LOG = 128
+_SHIFT = 745 * STEPS_PER_LOG + 1
+MISSING, NON_FINITE = -1_000_000, 1_000_000
+SALT = "_part"
 
 
-def exact_medians(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """``keys, column_name, n, median`` over the finite values, with no group held in memory.
+def value_class(value: Column) -> Column:
+    """The logarithmic class of a finite value: 0 for zero, its sign is the value's, and it grows with the value."""
+    magnitude = (F.floor(F.log(F.abs(value)) * STEPS_PER_LOG) + _SHIFT).cast("int")
+    return F.when(value > 0, magnitude).when(value < 0, -magnitude).otherwise(0)
 
-    The built-in exact percentile keeps every distinct value of a group in one task. Here a first
-    pass proposes a narrow bracket around the middle of each column, one row per group. A second
-    one counts the values below and above it as two numbers and those inside (about one in 1,500)
-    by value, so only these are ranked. Rows are joined to the brackets before they are unpivoted:
-    where the groups are too many to broadcast, the rows move once, not once per column. Ranks come
-    from exact counts: were the middle outside the bracket, the query would fail rather than
-    return a wrong value.
-    """
-    middle = [0.5 - BRACKET, 0.5 + BRACKET]
-    brackets = df.groupBy(*keys).agg(
-        *(
-            F.percentile_approx(F.when(is_finite(F.col(c)), F.col(c)), middle, ACCURACY).alias(
-                f"{c}__bracket"
-            )
-            for c in columns
-        )
-    )
+
+def class_counts(df: DataFrame, keys: Sequence[str], columns: Sequence[str], at: str | None = None) -> DataFrame:
+    """``keys, column_name, class, copies, least, most`` (and first and last ``at``), for missing and non-finite values too."""
 
     def cell(name: str) -> Column:
-        value, bracket = F.col(name), F.col(f"{name}__bracket")
-        part = F.when(value < bracket[0], 0).when(value <= bracket[1], 1).otherwise(2)
-        return F.struct(
-            F.lit(name).alias("column_name"),
-            F.when(is_finite(value), part).alias("part"),
-            F.when((value >= bracket[0]) & (value <= bracket[1]), value).alias("v"),
-        )
+        value = F.col(name)
+        digit = F.when(value.isNull(), MISSING).when(~is_finite(value), NON_FINITE).otherwise(value_class(value))
+        return F.struct(F.lit(name).alias("column_name"), digit.alias("class"), value.alias("value"))
+
+    times = [F.min(at).alias("first_at"), F.max(at).alias("last_at")] if at else []
+    cells = df.select(*keys, *([at] if at else []), F.inline(F.array(*(cell(c) for c in columns))))
+    return cells.groupBy(*keys, "column_name", "class").agg(
+        F.count(F.lit(1)).alias("copies"), F.min("value").alias("least"), F.max("value").alias("most"), *times
+    )
+
+
+def _middle(
+    counted: DataFrame, group: Sequence[str], digit: str, low: Column, high: Column, ends: tuple[str, str] | None = None
+) -> DataFrame:
+    """``group, n, low, high, low_rank, high_rank``: the digits that hold two ranks, and the ranks from the lower digit on.
 
-    counted = (
-        df.select(*keys, *columns)
-        .join(brackets, list(keys))
-        .select(*keys, F.inline(F.array(*(cell(c) for c in columns))))
-        .where(F.col("part").isNotNull())
-        .groupBy(*keys, "column_name", "part", "v")
-        .agg(F.count(F.lit(1)).alias("copies"))
+    ``ends`` names the columns to return for the lower and the upper digit instead of the digits themselves.
+    """
+    within = Window.partitionBy(*group).orderBy(digit)
+    ranked = counted.withColumn("upto", F.sum("copies").over(within)).withColumn("n", F.sum("copies").over(Window.partitionBy(*group)))
+    ranked = ranked.withColumn("before", F.col("upto") - F.col("copies"))
+    first, last = ends or (digit, digit)
+
+    def holder(rank: Column, value: str) -> Column:
+        return F.max(F.when((F.col("before") < rank) & (F.col("upto") >= rank), F.col(value)))
+
+    found = ranked.groupBy(*group).agg(
+        F.max("n").alias("n"),
+        F.max(low).alias("low_rank"),
+        F.max(high).alias("high_rank"),
+        holder(low, first).alias("low"),
+        holder(high, last).alias("high"),
+        holder(low, "before").alias("skipped"),
     )
+    return found.select(*group, "n", "low", "high", *((F.col(r) - F.col("skipped")).alias(r) for r in ("low_rank", "high_rank")))
+
+
+def beside(df: DataFrame, stats: DataFrame, keys: Sequence[str], part: Column | None = None) -> DataFrame:
+    """Rows with the one row of statistics of their group; groups without statistics fall away.
+
+    ``stats`` is a written table, so its size is known: below the session's broadcast limit it goes to the tasks and
+    no row moves. Beyond that, rows meet it by group and ``part``, a bounded share of a group such as a day.
+    """
+    limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    size = stats._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    if part is None or int(str(size)) <= limit:
+        return df.join(stats, list(keys))
+    rows = df.withColumn(SALT, part)
+    places = rows.select(*keys, SALT).distinct().join(stats, list(keys))
+    return rows.join(places, [*keys, SALT]).drop(SALT)
+
+
+def exact_medians(
+    df: DataFrame,
+    keys: Sequence[str],
+    columns: Sequence[str],
+    *,
+    part: Column | None = None,
+    classes: DataFrame | None = None,
+) -> DataFrame:
+    """``keys, column_name, n, median`` over the finite values.
+
+    ``classes`` are the :func:`class_counts` of ``df`` where the caller has them; ``part`` as in :func:`beside`.
+    """
     group = [*keys, "column_name"]
-    whole = Window.partitionBy(*group)
-    ranked = counted.select(
-        *group,
-        "v",
-        "copies",
-        F.sum("copies").over(whole.orderBy("part", "v")).alias("last_rank"),
-        F.sum("copies").over(whole).alias("n"),
+    if classes is None:
+        classes = class_counts(df, keys, columns)
+    finite = classes.where(F.col("class").between(MISSING + 1, NON_FINITE - 1)).select(*group, "class", "copies", "least", "most")
+    half = F.col("n").cast("long")
+    first = _middle(finite, group, "class", F.floor((half + 1) / 2).cast("long"), F.floor(half / 2).cast("long") + 1, ("least", "most"))
+    state = F.struct("n", "low", "high", "low_rank", "high_rank")
+    brackets = staged(
+        first.groupBy(*keys).agg(*(F.max(F.when(F.col("column_name") == c, state)).alias(f"_{c}") for c in columns)),
+        "median-classes",
     )
 
-    def value_at(rank: Column) -> Column:
-        holds = (F.col("last_rank") >= rank) & (F.col("last_rank") - F.col("copies") < rank)
-        return F.max(F.when(holds, F.col("v")))
+    cells = F.array(
+        *(F.struct(F.lit(c).alias("column_name"), F.col(c).alias("value"), F.col(f"_{c}.low").alias("low"), F.col(f"_{c}.high").alias("high")) for c in columns)
+    )
+    near = beside(df, brackets, keys, part).select(*keys, F.inline(cells)).where("value >= low AND value <= high")
+    counted = staged(near.groupBy(*group, "value").agg(F.count(F.lit(1)).alias("copies")), "median-values")
 
-    low = F.floor((F.col("n") + 1) / 2).cast("long")
-    high = F.floor(F.col("n") / 2).cast("long") + 1
-    medians = ranked.groupBy(*group).agg(
-        F.max("n").alias("n"), ((value_at(low) + value_at(high)) / 2).alias("median")
+    named = F.array(*(F.struct(F.lit(c).alias("column_name"), F.col(f"_{c}").alias("state")) for c in columns))
+    ranks = brackets.select(*keys, F.inline(named)).where("state IS NOT NULL")
+    ranks = ranks.select(*group, F.col("state.n").alias("all"), "state.low_rank", "state.high_rank")
+    single = F.col("value").cast("float")
+    coarse = counted.groupBy(*group, single.alias("single")).agg(F.sum("copies").alias("copies")).join(ranks, group)
+    second = _middle(coarse, group, "single", F.col("low_rank"), F.col("high_rank"))
+    ends = second.select(*group, F.col("low").alias("_low"), F.col("high").alias("_high"), "low_rank", "high_rank")
+    fine = counted.join(ends, group).where((single == F.col("_low")) | (single == F.col("_high")))
+    last = _middle(fine, group, "value", F.col("low_rank"), F.col("high_rank")).drop("n")
+    return last.join(ranks.select(*group, F.col("all").alias("n")), group).select(
+        *group, "n", ((F.col("low") + F.col("high")) / 2).alias("median")
     )
-    lost = F.raise_error(F.lit("the median lies outside its bracket")).cast("double")
-    return medians.withColumn("median", F.coalesce("median", lost))
 
 
 def widen(

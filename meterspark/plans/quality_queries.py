@@ -9,6 +9,7 @@ from meterspark.operators import quality as Q
 from meterspark.operators.catalog import page
 from meterspark.plans.inputs import METERS_SQL, READINGS_SQL, meter_readings, readings, rounded
 from meterspark.schemas import MEASURES
+from meterspark.session import staged
 
 
 def quality_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,7 +21,7 @@ def quality_cadence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quality_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    steps = Q.time_steps(meter_readings(spark, sf_dir))
+    steps = staged(Q.time_steps(meter_readings(spark, sf_dir)), "steps")
     return rounded(Q.gaps(steps, Q.cadence(steps)))
 
 
@@ -46,9 +47,7 @@ def quality_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quality_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = readings(spark, sf_dir)
-    expected = Q.cadence(Q.time_steps(df))
-    return rounded(Q.report_summary(df, Q.quality_issues(df), expected))
+    return rounded(Q.quality_report(readings(spark, sf_dir)).summary)
 
 
 def quality_evidence_top10(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -74,6 +74,13 @@ def scratch_folder(spark: SparkSession, kind: str) -> str:
     return f"{shared_checkpoint_dir(spark)}/meterspark-{kind}-{uuid.uuid4()}"
 
 
+def staged(df: DataFrame, kind: str) -> DataFrame:
+    """Writes a table to the shared folder and reads it back: computed once, and its size is known to Spark."""
+    path = scratch_folder(df.sparkSession, kind)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """One task per core for a scan with fewer splits than cores; larger scans stay as they are.
 

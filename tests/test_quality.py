@@ -5,7 +5,7 @@ import statistics
 from pyspark.sql import functions as F
 
 from meterspark.operators import quality as Q
-from meterspark.operators.quantiles import exact_medians
+from meterspark.operators.quantiles import NON_FINITE, exact_medians, value_class
 
 START = dt.datetime(2026, 1, 1)
 
@@ -134,3 +134,58 @@ def test_many_series_are_independent(readings):
     cadence = {r.series_id: r.expected_interval_seconds for r in Q.cadence(steps).collect()}
     assert cadence == {"a": 60, "b": 300}
     assert Q.gaps(steps, Q.cadence(steps)).select(F.first("series_id")).first()[0] == "b"
+
+
+def test_medians_of_values_that_share_their_first_digits(spark):
+    random.seed(11)
+    tiny = 5e-324
+    groups = {
+        "close": [1.0 + random.randrange(2**20) * 2.0**-52 for _ in range(2_001)],
+        "signs": [random.choice([-1, 1]) * 10.0 ** random.uniform(-300, 300) for _ in range(3_000)],
+        "edges": [-1.7e308, -tiny, -0.0, 0.0, tiny, 2 * tiny, 1.7e308, 1.7e300],
+        "apart": [-3.0, -2.0, 1e9, 2e9],
+        "one": [7.25],
+        "odd ones": [float("nan"), float("inf"), float("-inf"), 2.0, 4.0, None],
+    }
+    rows = [(g, v) for g, values in groups.items() for v in values]
+    df = spark.createDataFrame(rows, "g string, value double").repartition(5)
+    found = {r.g: (r.n, r.median) for r in exact_medians(df, ["g"], ["value"]).collect()}
+    groups["odd ones"] = [2.0, 4.0]
+    assert found == {g: (len(values), statistics.median(values)) for g, values in groups.items()}
+
+
+def test_value_classes_grow_with_the_value(spark):
+    random.seed(3)
+    values = sorted(random.choice([-1, 1]) * 10.0 ** random.uniform(-300, 300) for _ in range(2_000)) + [1.79e308]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i long, v double")
+    digits = [r.d for r in df.select("i", value_class(F.col("v")).alias("d")).orderBy("i").collect()]
+    assert digits == sorted(digits) and max(map(abs, digits)) < NON_FINITE
+    assert all((d > 0) == (v > 0) for d, v in zip(digits, values))
+
+
+def test_rows_meet_statistics_by_day_beyond_the_broadcast_limit(spark, readings):
+    rows = [same(m, active_power_kw=10.0 + m % 7 / 10) for m in range(0, 8_000, 5)] + [same(8_001, active_power_kw=900.0)]
+    df = readings(rows).unionByName(readings(rows, series_id="b"))
+    expected = {tuple(r) for r in Q.outliers(df).collect()}
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = Q.outliers(df)
+        assert {tuple(r) for r in found.collect()} == expected and len(expected) == 2
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        raw = [line for line in plan.splitlines() if "Join" in line and "_part" in line]
+        assert raw, plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_report_agrees_with_its_single_checks(readings):
+    df = readings([same(0), same(0, voltage_v=None), same(1, current_a=-1.0), same(9, parse_status="invalid"), same(4)])
+    report = Q.quality_report(df)
+    single = Q.row_issues(df).unionByName(Q.order_issues(df)).unionByName(Q.duplicate_issues(Q.duplicate_times(df)))
+    kinds = {"time_gap", "statistical_anomaly"}
+    columns = ["issue_type", "column_name", "range_start", "range_end", "occurrence_count"]
+    got = {tuple(r) for r in report.issues.select(*columns).collect() if r.issue_type not in kinds}
+    assert got == {tuple(r) for r in single.select(*columns).collect()}
+    summary = report.summary.first()
+    assert summary.total_rows == 5 and summary.timestamp_order_violations == 1 and summary.physical_invalid_values == 1

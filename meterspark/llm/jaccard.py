@@ -7,15 +7,16 @@ Texts with one shingle set are one vertex from the start. The rest:
    shingles; hashing shingles into more than d segments leaves some segment untouched. The contents of
    a set's segments are its keys, so linked sets share a key: no link is lost (see ``segment_keys``
    for empty segments). A key is a tile of sets of similar size that agree in one segment.
-2. Stars. Every set is compared with the leader of the tiles it shares most, exactly, by intersecting
-   sorted arrays; in further rounds with leaders outside its component. That joins nearly all of a
+2. Stars. Every set is compared with the leader of the tiles it shares most, by bitmaps and then exactly,
+   by intersecting sorted arrays; in further rounds with leaders outside its component. That joins nearly all of a
    large group of near copies with a few comparisons a member.
 3. Tiles. Tiles that still hold sets of different components are merged where they agree in band and
    smallest component, and searched by bitmap signatures: differing bits bound the symmetric difference
    from below and so the overlap from above. Short bitmaps tell which sets have a possible partner at
-   all; these meet again with long ones. Only pairs of different components within that bound leave
-   the task and are intersected exactly. A large tile is split into blocks of bounded size, compared
-   block by block.
+   all; these meet again with their texts. There, long bitmaps bound the overlap and sorted arrays are
+   intersected, but only where no link found before joins the two components, so pairs never leave
+   the task and a tile emits fewer links than it has rows. A large tile is split into blocks of bounded
+   size, smaller for larger sets, compared block by block.
 4. Components of all links.
 
 Joins with texts or signatures are always merge joins: either side grows with the corpus.
@@ -42,6 +43,8 @@ from meterspark.llm.frames import staged
 from meterspark.llm.texts import Chunk, chunks, expand, mix, ngrams
 
 BLOCK = 2048
+#: Shingles that a block of a tile may hold (8 bytes each, two blocks at a time); blocks of very large sets are smaller.
+BLOCK_SHINGLES = 1 << 22
 PART = 256
 ROUNDS = 3
 MIN_BITS, MAX_BITS = 256, 1 << 18
@@ -60,7 +63,7 @@ class Bands:
             lows.append(low)
             low = max(low, low * 3 // 2) + 1
         self.low = np.array(lows, np.int64)
-        high = np.r_[self.low[1:] - 1, low - 1]
+        high = self.high = np.r_[self.low[1:] - 1, low - 1]
         self.differ = 2 * high * (100 - percent) // (100 + percent)
         self.spare = 2 + self.differ // 12
         self.segments = self.differ + 1 + self.spare
@@ -228,22 +231,36 @@ def shared_keys(docs: DataFrame, size: int, percent: int) -> DataFrame:
     return ordered.mapInArrow(lead, "key long, leader long, v long")
 
 
+def _room(a: np.ndarray, b: np.ndarray, x: int, y: int, percent: int) -> bool:
+    """Whether the bitmaps of two sets of x and y shingles leave room for a link: the overlap's bound from above."""
+    if len(a) != len(b):
+        longer, words = (a, len(b)) if len(a) > len(b) else (b, len(a))
+        folded = np.bitwise_or.reduce(longer.reshape(-1, words), axis=0)
+        a, b = (folded, b) if longer is a else (a, folded)
+    differ = int(np.bitwise_count(a ^ b).sum())
+    return _links((x + y - differ) // 2, x, y, percent)
+
+
 def exact_links(rows: DataFrame, size: int, percent: int) -> DataFrame:
-    """(a, b) that link, from rows (star, part, follows, v, text): each follower is compared with its star."""
+    """(a, b) that link, from rows (star, part, follows, v, text): each follower is compared with its star.
+
+    Bitmaps bound the overlap first; sorted arrays are intersected only where these leave room.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        star, of_star = None, None
+        star, of_star, of_map = None, None, None
         for batch in batches:
             stars, follows, v = (batch.column(c).to_pylist() for c in ("star", "follows", "v"))
             out: list[tuple[int, int]] = []
             for first, stop, chunk in chunks(batch.column("text")):
                 parts, sizes = shingle_sets(chunk, size)
                 ends = np.cumsum(sizes)
+                maps = [np.frombuffer(m, np.uint64) for m in bitmaps(parts, sizes, LONG)]
                 for row in range(first, stop):
-                    own = parts[ends[row - first] - sizes[row - first] : ends[row - first]]
+                    own, own_map = parts[ends[row - first] - sizes[row - first] : ends[row - first]], maps[row - first]
                     if not follows[row]:
-                        star, of_star = stars[row], own
-                    elif star == stars[row]:
+                        star, of_star, of_map = stars[row], own, own_map
+                    elif star == stars[row] and _room(own_map, of_map, len(own), len(of_star), percent):
                         common = len(np.intersect1d(own, of_star, assume_unique=True))
                         if _links(common, len(own), len(of_star), percent):
                             out.append((star, v[row]))
@@ -295,12 +312,12 @@ def star_links(shared: DataFrame, texts: DataFrame, size: int, percent: int) ->
     return links, labels
 
 
-def open_tiles(shared: DataFrame, labels: DataFrame) -> DataFrame:
+def open_tiles(shared: DataFrame, labels: DataFrame, bands: Bands) -> DataFrame:
     """(low, band, i, j, side, v, label): members of tiles with several components.
 
     Two near misses share many keys, and keys of one neighbourhood mostly have the same smallest
     component; so the open tiles of a band with that component in common become one tile, and a set
-    travels once for all of them. A tile of more than ``BLOCK`` members is split: every block meets
+    travels once for all of them. A tile of more than ``BLOCK`` members (fewer of large sets) is split: every block meets
     every other in a tile of its own.
     """
     known = shared.select("key", "v").join(labels, "v", "left").select("key", "v", F.coalesce("label", "v").alias("label"))
@@ -308,7 +325,9 @@ def open_tiles(shared: DataFrame, labels: DataFrame) -> DataFrame:
     open_ = groups.where("low <> high").select("key", "low")
     rows = known.join(open_, "key").select("low", band_of_key(F.col("key")).alias("band"), "v", "label").distinct()
     rows = staged(rows, "open")
-    sizes = rows.groupBy("low", "band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    largest = F.array(*(F.lit(int(v)) for v in np.clip(BLOCK_SHINGLES // bands.high, 16, BLOCK)))
+    sizes = rows.groupBy("low", "band").agg(F.count("*").alias("rows"))
+    sizes = sizes.select("low", "band", F.ceil(F.col("rows") / F.get(largest, F.col("band"))).cast("int").alias("blocks"))
     rows = rows.join(sizes, ["low", "band"]).withColumn("own", F.pmod(F.xxhash64("v"), "blocks").cast("int"))
     rows = rows.select("low", "band", "v", "label", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     return rows.select(
@@ -392,14 +411,33 @@ def near_rows(rows: DataFrame, percent: int) -> DataFrame:
     return _by_tile(rows.select(*kept, "n", "bitmap"), solve, schema)
 
 
-def tile_candidates(rows: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of different components whose bitmaps leave room for a link, from the rows of tiles."""
+def tile_links(rows: DataFrame, size: int, percent: int) -> DataFrame:
+    """(a, b) that link different components, from the rows of tiles with their texts.
+
+    The task holds the tile's sorted shingle arrays. Pairs whose bitmaps leave room are intersected there, unless
+    links found before already join their components; so a tile gives at most one link less than it has rows.
+    """
 
     def solve(tile: pa.Table) -> Iterator[pa.RecordBatch]:
+        arrays, maps = [], []
+        for _, _, chunk in chunks(tile["text"]):
+            parts, sizes = shingle_sets(chunk, size)
+            arrays += np.split(parts, np.cumsum(sizes)[:-1])
+            maps += bitmaps(parts, sizes, LONG)
+        tile = tile.drop_columns(["text"]).append_column("n", pa.array([len(a) for a in arrays], pa.int64()))
+        tile = tile.append_column("bitmap", pa.array(maps, pa.binary()))
         v = tile["v"].to_numpy()
-        for x, y in _near_in_tile(tile, percent):
-            pair = np.minimum(v[x], v[y]), np.maximum(v[x], v[y])
-            yield pa.RecordBatch.from_arrays([pa.array(p) for p in pair], ["a", "b"])
+        component = np.unique(tile["label"].to_numpy(), return_inverse=True)[1]
+        found: list[tuple[int, int]] = []
+        for xs, ys in _near_in_tile(tile, percent):
+            for x, y in zip(xs.tolist(), ys.tolist()):
+                if component[x] == component[y]:
+                    continue
+                common = len(np.intersect1d(arrays[x], arrays[y], assume_unique=True))
+                if _links(common, len(arrays[x]), len(arrays[y]), percent):
+                    component[component == component[y]] = component[x]
+                    found.append((min(v[x], v[y]), max(v[x], v[y])))
+        yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     return _by_tile(rows, solve, "a long, b long")
 
@@ -418,12 +456,12 @@ def signatures(texts: DataFrame, size: int, per: int) -> DataFrame:
     return texts.mapInArrow(run, "v long, n long, bitmap binary")
 
 
-def candidates(shared: DataFrame, labels: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """(a, b) that may link two components, by short bitmaps and, where these leave room, by long ones."""
-    rows = open_tiles(shared, labels)
+def tiled(shared: DataFrame, labels: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """(a, b): links between components, found in tiles: short bitmaps tell which rows have a possible
+    partner at all, and these meet again with their texts."""
+    rows = open_tiles(shared, labels, Bands(percent))
     near = staged(near_rows(rows.join(signatures(texts, size, SHORT).hint("merge"), "v"), percent), "near")
-    wanted = texts.join(near.select("v").distinct().hint("merge"), "v", "left_semi")
-    return tile_candidates(near.join(signatures(wanted, size, LONG).hint("merge"), "v"), percent).distinct()
+    return tile_links(near.join(texts.hint("merge"), "v"), size, percent).distinct()
 
 
 def links(docs: DataFrame, size: int, percent: int, of: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -431,11 +469,9 @@ def links(docs: DataFrame, size: int, percent: int, of: DataFrame) -> tuple[Data
     shared = staged(shared_keys(docs, size, percent), "shared")
     texts = staged(set_texts(docs, shared, of), "texts")
     near, labels = star_links(shared, texts, size, percent)
-    pairs = staged(candidates(shared, labels, texts, size, percent), "pairs")
-    if pairs.isEmpty():
+    more = staged(tiled(shared, labels, texts, size, percent), "links")
+    if more.isEmpty():
         return near, labels
-    more = exact_links(_star_rows(pairs.select(F.col("a").alias("star"), F.col("b").alias("v")), texts), size, percent)
-    more = staged(more, "links")
     return near.unionByName(more), extend_components(labels, more)
 
 

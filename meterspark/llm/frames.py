@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _UNSET = "spark.checkpoint.dir is unset; name a folder that the driver and all executors share"
@@ -37,6 +37,16 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def apart(docs: DataFrame, *used: str) -> tuple[DataFrame, list[Column]]:
+    """``docs`` with all columns but the ``used`` ones under names no operator has, and how to get the old ones back.
+
+    So extra columns may be named like an operator's own or its results and still pass through.
+    """
+    names = {c: f"__kept_{i}" for i, c in enumerate(docs.columns) if c not in used}
+    inner = docs.select(*(F.col(f"`{c}`").alias(names.get(c, c)) for c in docs.columns))
+    return inner, [F.col(names.get(c, c)).alias(c) for c in docs.columns]
+
+
 def keep_columns(docs: DataFrame, text: str, results: list[str]) -> tuple[DataFrame, list[str]]:
     """``docs`` with its text also as ``__text``, and the columns that pass through beside results."""
     passed = [c for c in docs.columns if c not in results and c != "__text"]

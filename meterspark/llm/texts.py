@@ -59,17 +59,24 @@ def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.zeros(0, np.uint8) if data is None else np.frombuffer(data, dtype=np.uint8)), offsets
 
 
-def chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, Chunk]]:
-    """Yields (first row, row after the last, chunk) over all rows of a column."""
-    data, offsets = raw(column)
+def slices(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
+    """(first row, row after the last) of consecutive rows of about ``limit`` bytes, at least one row each."""
+    _, offsets = raw(column)
     row, rows = 0, len(offsets) - 1
     while row < rows:
         stop = int(np.searchsorted(offsets, offsets[row] + limit, side="right")) - 1
         stop = min(max(stop, row + 1), rows)
-        yield row, stop, Chunk(data[offsets[row] : offsets[stop]], offsets[row : stop + 1] - offsets[row])
+        yield row, stop
         row = stop
 
 
+def chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, Chunk]]:
+    """Yields (first row, row after the last, chunk) over all rows of a column."""
+    data, offsets = raw(column)
+    for row, stop in slices(column, limit):
+        yield row, stop, Chunk(data[offsets[row] : offsets[stop]], offsets[row : stop + 1] - offsets[row])
+
+
 class Chunk:
     """Consecutive texts: ``data`` holds their bytes, ``bounds`` where each begins and ends."""
 

@@ -26,7 +26,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from meterspark.llm.frames import keep_columns, staged
+from meterspark.llm.frames import apart, staged
+from meterspark.llm.texts import slices
 
 # Characters that look like a letter, and digits and signs used in its place.
 HOMOGLYPHS = {
@@ -57,6 +58,9 @@ def fold(text: str) -> str:
     return f" {text.lower().translate(FOLDING)} "
 
 
+_HELD_TERMS = 100_000
+
+
 @dataclass(frozen=True)
 class Settings:
     """What the lexicon may hold; every bound is a model parameter."""
@@ -118,19 +122,25 @@ def _word_terms(word: str, lengths: tuple[int, ...]) -> list[str]:
 def term_counts(labelled: DataFrame, settings: Settings) -> DataFrame:
     """(term, toxic, clean): number of labelled texts of either class with the term."""
 
+    def counted(toxic: Counter, clean: Counter) -> pa.RecordBatch:
+        terms = list(toxic | clean)
+        columns = [pa.array(terms, pa.string())]
+        columns += [pa.array([c[t] for t in terms], pa.int64()) for c in (toxic, clean)]
+        return pa.RecordBatch.from_arrays(columns, ["term", "toxic", "clean"])
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by_class = (Counter(), Counter())
         for batch in batches:
-            by_class = (Counter(), Counter())
-            for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist(), strict=True):
-                terms = {t for w in set(fold(text or "").split()) for t in _word_terms(w, settings.stem_lengths)}
-                by_class[label].update(terms)
-            terms = list(by_class[0] | by_class[1])
-            columns = [pa.array(terms, pa.string())]
-            columns += [pa.array([by_class[c][t] for t in terms], pa.int64()) for c in (1, 0)]
-            yield pa.RecordBatch.from_arrays(columns, ["term", "toxic", "clean"])
+            for text, label in zip(batch.column("text"), batch.column("label").to_pylist(), strict=True):
+                words = set(fold(text.as_py() or "").split())
+                by_class[label].update({t for w in words for t in _word_terms(w, settings.stem_lengths)})
+                if len(by_class[0]) + len(by_class[1]) > _HELD_TERMS:
+                    yield counted(by_class[1], by_class[0])
+                    by_class = (Counter(), Counter())
+        yield counted(by_class[1], by_class[0])
 
-    counted = labelled.mapInArrow(count, "term string, toxic long, clean long")
-    return counted.groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    parts = labelled.mapInArrow(count, "term string, toxic long, clean long")
+    return parts.groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
 def choose_terms(counts: DataFrame, toxic: int, clean: int, settings: Settings) -> dict[str, float]:
@@ -176,7 +186,9 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column, settings: Settings
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(settings.max_labelled).select("doc_id", "label")
     # At most max_labelled rows of 12 bytes: a proven bound.
     labelled = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", F.col("label").cast("int"))
-    labelled = staged(labelled.where("text IS NOT NULL").dropDuplicates(["text"]), "labelled")
+    # A text labelled both ways teaches nothing.
+    by_text = labelled.where("text IS NOT NULL").groupBy("text").agg(F.min("label").alias("label"), F.max("label").alias("other"))
+    labelled = staged(by_text.where("label = other").drop("other"), "labelled")
     sizes = {r.label: r.n for r in labelled.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if len(sizes) < 2:
         return Model({}, EXCEPTIONS, (-30.0, 0.0, 0.0))
@@ -203,22 +215,24 @@ def weigh(labelled: DataFrame, model: Model) -> DataFrame:
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
-    """All columns of ``docs`` with ``score`` (0 to 1) and ``predicted``."""
-    source, passed = keep_columns(docs, "text", ["score", "predicted"])
+    """All columns of ``docs`` with ``score`` (0 to 1) and ``predicted``; columns of these two names are replaced."""
+    docs = docs.drop("score", "predicted")
+    inner, named = apart(docs, "text")
     added = [StructField("score", DoubleType(), False), StructField("predicted", IntegerType(), False)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = model.automaton()
         bias, by_sum, by_density = model.coefficients
         for batch in batches:
-            found = np.array([measures(*hits(machine, fold(t.as_py() or ""))) for t in batch.column("__text")]).reshape(-1, 2)
-            z = np.clip(bias + found @ np.array([by_sum, by_density]), -500, 500)
-            value = 1 / (1 + np.exp(-z)) if model.terms else np.zeros(len(found))
-            columns = [batch.column(c) for c in passed]
-            columns += [pa.array(value), pa.array((value >= threshold).astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(columns, [*passed, "score", "predicted"])
-
-    return source.mapInArrow(run, StructType([*source.select(*passed).schema.fields, *added]))
+            for first, stop in slices(batch.column("text")):
+                rows = batch.slice(first, stop - first)
+                found = np.array([measures(*hits(machine, fold(t.as_py() or ""))) for t in rows.column("text")]).reshape(-1, 2)
+                z = np.clip(bias + found @ np.array([by_sum, by_density]), -500, 500)
+                value = 1 / (1 + np.exp(-z)) if model.terms else np.zeros(len(found))
+                columns = [*rows.columns, pa.array(value), pa.array((value >= threshold).astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, [*rows.schema.names, "score", "predicted"])
+
+    return inner.mapInArrow(run, StructType([*inner.schema.fields, *added])).select(*named, "score", "predicted")
 
 
 def held_out() -> Column:

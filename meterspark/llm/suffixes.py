@@ -25,7 +25,8 @@ contexts of one 32-byte string, so copies of one text, however many, add nothing
 
 Defined results: a null or empty text has no bytes; texts shorter than ``length`` lose nothing; rows
 with the same id are ordered by a hash of their text, and rows equal in id and text count as one
-document and get the same result; a null id sorts first. An empty table gives no rows.
+document and get the same result; a null id sorts first. Columns named ``kept`` or ``removed`` are replaced by
+the results, all others pass through whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
-from meterspark.llm.frames import staged
+from meterspark.llm.frames import apart, staged
 from meterspark.llm.texts import Chunk, chunks, later, mix
 
 LENGTH = 100
@@ -46,7 +47,7 @@ ANCHOR = 32
 SEGMENT = 4 << 20
 BATCH_SUFFIXES = 20_000
 GROUP_SUFFIXES = 50_000
-_TAG_BITS, _PLACE_BITS = 24, 33
+_TAG_BITS, _PLACE_BITS = 32, 31
 _NO_ID = -(1 << 63)
 
 
@@ -56,7 +57,7 @@ def places_code(tag: np.ndarray, place: np.ndarray) -> np.ndarray:
 
 
 def text_tags(chunk: Chunk, prefix: np.ndarray) -> np.ndarray:
-    """A few hash bits of every text; they tell texts of one id apart."""
+    """Hash bits of every text; they tell texts of one id apart."""
     whole = chunk.span_hash(prefix, chunk.bounds[:-1], chunk.bounds[1:])
     return (whole >> np.uint64(64 - _TAG_BITS)).astype(np.int64)
 
@@ -458,7 +459,10 @@ def remove_repeats(
     ``whole_characters`` keeps all bytes of a character of which some would stay; ``most`` contexts of one
     string are held at once.
     """
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("id")
+    docs, named = apart(docs.drop("kept", "removed"), "doc_id", "text")
+    # Rows without an id come last and are told apart by 62 bits of their text's hash beside its tag.
+    lacking = F.lit(_NO_ID) + F.shiftrightunsigned(F.xxhash64("text"), 2)
+    key = F.coalesce(F.col("doc_id").cast("long"), lacking).alias("id")
     body = F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text")
     texts = docs.select(key, body)
     marks = classify(anchors(texts, length)).groupBy("id").agg(
@@ -520,7 +524,7 @@ def remove_repeats(
                     [*passed, "kept", "removed"],
                 )
 
-    return joined.mapInArrow(cut, schema)
+    return joined.mapInArrow(cut, schema).select(*named, "kept", "removed")
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

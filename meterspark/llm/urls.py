@@ -1,12 +1,15 @@
 """URL filters: longest-rule verdicts, and link-graph propagation for hosts without a rule.
 
 Only DataFrame functions. Links of all pages become weighted host edges, pre-aggregated before they
-move. Trust is walked along links from the hosts whose pages rules allow, distrust against them from
-the hosts whose pages rules block, so a host that links to blocked ones is distrusted. A host takes the
-damped mean, by links, of its neighbours' masses: the share of its own links counts, not how many other
-hosts link to the same place, so a verdict does not change with the rest of the graph. Rounds go on
-until no mass changes by more than ``tolerance``; each shrinks the changes by ``damping`` at least.
-A host is blocked when its distrust reaches ``floor`` and exceeds its trust times ``margin``.
+move. Trust is the personalised PageRank along links from the hosts whose pages rules allow, distrust the same
+against links from the hosts whose pages rules block: a host hands on its mass by its links' shares, ``damping``
+of it; the rest, and all mass of hosts without links, goes back to the seeds, whose shares sum to one. As mass that
+goes back only scales all masses alike, the walk leaves it out and masses are scaled to sum to one in the end.
+Rounds go on until the mass still under way is at most ``tolerance``. For a verdict, masses are related to the seeds: trust to the mass of an average seed, so one link
+of a page with a thousand lends a thousandth; distrust for each link of the host to that for each link to a seed,
+so it is about the share of the host's links that lead to blocked hosts, near ones first. A host is blocked when
+its distrust ratio reaches ``floor`` and exceeds its trust ratio times ``margin``. Neither the size of the graph
+nor how many other hosts link to the same place changes a ratio.
 
 Defined results: a null url, or one without ``://``, has an empty host and path, fits no rule and is
 allowed unless its (empty) host is distrusted, which links never reach; null html has no links;
@@ -71,23 +74,22 @@ def host_edges(pages: DataFrame) -> DataFrame:
 
 
 def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, tolerance: float = 1e-6) -> DataFrame:
-    """(host, trust, distrust) from ``seeds`` (kind, host, mass).
+    """(host, trust, distrust, trust_ratio, distrust_ratio) from ``seeds`` (kind, host, mass).
 
-    One join of the last changes and one aggregation a round over rows of either kind; every few rounds
-    masses are written to the shared folder, so that a lost executor costs little, and the largest
-    change is looked at.
+    One join of the mass under way and one aggregation a round over rows of either kind; every few rounds
+    masses are written to the shared folder, so that a lost executor costs little.
     """
     walk = edges.select(F.lit("trust").alias("kind"), F.col("source").alias("host"), F.col("target").alias("to"), "links")
     back = edges.select(F.lit("distrust").alias("kind"), F.col("target").alias("host"), F.col("source").alias("to"), "links")
     both = walk.unionByName(back)
-    degree = both.groupBy("kind", "to").agg(F.sum("links").alias("degree"))
+    degree = staged(both.groupBy("kind", "host").agg(F.sum("links").alias("degree")), "degrees")
     share = staged(
-        both.join(degree, ["kind", "to"]).select("kind", "host", "to", (F.col("links") / F.col("degree")).alias("share")),
+        both.join(degree, ["kind", "host"]).select("kind", "host", "to", (F.col("links") / F.col("degree")).alias("share")),
         "edges",
     )
-    start = seeds.withColumn("mass", F.col("mass") * (1 - damping))
+    start = _scaled(seeds)
     if share.isEmpty():
-        return _as_columns(start)
+        return _as_columns(start, degree, seeds)
     ranks, step = start.withColumn("change", F.col("mass")), 0
     while True:
         moved = ranks.where("change > 0").join(share, ["kind", "host"]).select(
@@ -99,17 +101,33 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, toleran
         step += 1
         if step % 4 == 0:
             ranks = staged(ranks, "ranks")
-            if ranks.where(F.col("change") > tolerance).isEmpty():
-                return _as_columns(ranks)
-
-
-def _as_columns(ranks: DataFrame) -> DataFrame:
-    value = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("mass")).otherwise(0.0))
-    return ranks.groupBy("host").agg(value("trust").alias("trust"), value("distrust").alias("distrust"))
+            under_way = ranks.groupBy("kind").agg(F.sum("change").alias("change"))
+            if under_way.where(F.col("change") > tolerance).isEmpty():
+                return _as_columns(_scaled(ranks), degree, seeds)
+
+
+def _scaled(ranks: DataFrame) -> DataFrame:
+    """(kind, host, mass) whose masses sum to one for each kind."""
+    total = ranks.groupBy("kind").agg(F.sum("mass").alias("total"))  # two rows
+    return ranks.join(total, "kind").select("kind", "host", (F.col("mass") / F.col("total")).alias("mass"))
+
+
+def _as_columns(ranks: DataFrame, degree: DataFrame, seeds: DataFrame) -> DataFrame:
+    """Masses and their ratios by host: trust in average seeds, distrust by the host's links over those of the seeds."""
+    of_seeds = seeds.join(degree, ["kind", "host"], "left").groupBy("kind")
+    of_seeds = of_seeds.agg(F.count("*").alias("seeds"), F.sum("degree").alias("seed_links"))  # two rows
+    own = degree.where("kind = 'trust'").select("host", F.col("degree").alias("out"))
+    rows = ranks.join(own, "host", "left").join(of_seeds, "kind")
+    by_link = F.col("mass") * F.coalesce("seed_links", F.lit(0)) / F.coalesce("out", F.lit(1))
+    ratio = F.when(F.col("kind") == "trust", F.col("mass") * F.col("seeds")).otherwise(by_link)
+    value = lambda kind, of: F.sum(F.when(F.col("kind") == kind, of).otherwise(0.0))
+    return rows.groupBy("host").agg(
+        *(value(k, F.col("mass")).alias(k) for k in ("trust", "distrust")), *(value(k, ratio).alias(f"{k}_ratio") for k in ("trust", "distrust"))
+    )
 
 
 def url_filter(
-    pages: DataFrame, rules=DEFAULT_RULES, tolerance: float = 1e-6, damping: float = 0.85, floor: float = 1e-4, margin: float = 1.0
+    pages: DataFrame, rules=DEFAULT_RULES, tolerance: float = 1e-6, damping: float = 0.85, floor: float = 1e-3, margin: float = 1.0
 ) -> DataFrame:
     """All columns of ``pages`` with host, path, rule, verdict, trust and distrust.
 
@@ -133,7 +151,8 @@ def url_filter(
     scores = staged(propagate(host_edges(pages), seeds, damping, tolerance), "hosts")
     judged = pages.join(scores, "host", "left")
     trust, distrust = (F.coalesce(F.col(c), F.lit(0.0)) for c in ("trust", "distrust"))
-    method = F.when((distrust >= floor) & (distrust > trust * margin), "block").otherwise("allow")
+    for_it, against = (F.coalesce(F.col(f"{c}_ratio"), F.lit(0.0)) for c in ("trust", "distrust"))
+    method = F.when((against >= floor) & (against > for_it * margin), "block").otherwise("allow")
     return judged.select(
         *kept,
         "host",

@@ -7,6 +7,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -270,6 +271,43 @@ def test_fill_closest():
         assert sum(x * n for x, n in chosen.items()) == max(s for s in sums if s <= capacity)
 
 
+def test_repeats_of_texts_without_an_id_or_with_one_id(spark):
+    """Texts of one id are told apart by their own hashes, whatever short tags they share."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choices("abcdefghij", k=8))
+    passage = " ".join(word() for _ in range(30))
+    rows = [(None, f"{passage} {i} " + " ".join(word() for _ in range(40))) for i in range(30)]
+    rows += [(7, f"{i} " + " ".join(word() for _ in range(40))) for i in range(300)] + [(7, passage), (7, passage)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS parts", "2 AS wholes", "'k' AS kept")
+    got = suffixes.remove_repeats(frame).collect()
+    assert sum(len(r.text) - len(r.kept) for r in got if r.doc_id == 7) == 2 * len(passage)
+    lost = sorted(len(r.text) - len(r.kept) for r in got if r.doc_id is None)
+    assert lost[0] == 0 and all(n >= len(passage) for n in lost[1:]) and {r.parts for r in got} == {1}
+
+
+def test_a_tile_of_near_copies_emits_fewer_links_than_sets(spark):
+    rng = random.Random(2)
+    base = [f"w{i}" for i in range(200)]
+    texts = [" ".join(w if rng.random() > 0.012 else f"x{rng.random()}" for w in base) for _ in range(60)]
+    sets = [set(zip(*(t.split()[k:] for k in range(4)))) for t in texts]
+    linked = lambda a, b: 100 * len(a & b) >= 85 * len(a | b)
+    rows = [(1, 0, 0, 0, 0, v, v, t) for v, t in enumerate(texts)]
+    frame = spark.createDataFrame(rows, "low long, band int, i int, j int, side int, v long, label long, text string")
+    links = {tuple(r) for r in jaccard.tile_links(frame, 4, 85).collect()}
+    assert all(linked(sets[a], sets[b]) for a, b in links) and 0 < len(links) < len(texts)
+    parent = list(range(len(texts)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        assert find(a) != find(b)
+        parent[find(a)] = find(b)
+    assert all(find(a) == find(b) for a in range(60) for b in range(a) if linked(sets[a], sets[b]))
+
+
 def test_url_rules_and_propagation(spark):
     link = '<a href="http://bad.com/x">'
     rows = [(1, "http://A.Org/x?y", None), (2, "https://bad.com/de/1", ""), (3, "http://links.net/p#q", link), (4, None, None),
@@ -294,6 +332,41 @@ def test_distrust_reaches_far_and_in_any_graph(spark):
     assert got == {p: "block" for p in got if p != 9000} | {9000: "allow"}
 
 
+def test_one_stray_link_does_not_clear_a_host(spark):
+    links = "".join(f'<a href="http://h{i}.net/">' for i in range(1000)) + '<a href="http://spam.net/">'
+    rows = [(1, "http://good.org/", links), (2, "http://spam.net/", '<a href="http://bad.com/">'), (3, "http://bad.com/de/", "")]
+    judged = urls.url_filter(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.verdict for r in judged} == {1: "allow", 2: "block", 3: "block"}
+    assert next(r.trust for r in judged if r.page_id == 2) < 0.001
+
+
+def test_masses_equal_a_dense_pagerank(spark):
+    rng = np.random.default_rng(8)
+    n = 25
+    weights = rng.integers(1, 4, (n, n)) * (rng.random((n, n)) < 0.12)
+    weights[3] = weights[:, 5] = 0  # a host without links, and one nothing links to
+    np.fill_diagonal(weights, 0)
+    edges = [(f"h{a}", f"h{b}", int(weights[a, b])) for a, b in np.argwhere(weights)]
+    seeds = [("trust", "h3", 1.0), ("trust", "h1", 0.25), ("distrust", "h2", 0.5), ("distrust", "h5", 1.0)]
+    found = urls.propagate(
+        spark.createDataFrame(edges, "source string, target string, links long"),
+        spark.createDataFrame(seeds, "kind string, host string, mass double"),
+        tolerance=1e-8,
+    )
+    got = {r.host: (r.trust, r.distrust) for r in found.collect()}
+    for place, (kind, matrix) in enumerate((("trust", weights), ("distrust", weights.T))):
+        start = np.zeros(n)
+        for k, host, mass in seeds:
+            start[int(host[1:])] += mass * (k == kind)
+        start /= start.sum()
+        out = matrix.sum(axis=1)
+        rank = start.copy()
+        for _ in range(300):
+            sent = (rank / np.maximum(out, 1)) @ matrix
+            rank = 0.15 * start + 0.85 * (sent + rank[out == 0].sum() * start)
+        assert np.allclose([got.get(f"h{i}", (0, 0))[place] for i in range(n)], rank, atol=1e-6)
+
+
 def test_language_model(docs, texts):
     train = [words(t) + [None] for d, t in texts if zlib.crc32(str(d).encode()) % 7 != 2]
     count = collections.Counter(w for t in train for w in t)

@@ -36,8 +36,9 @@ from meterspark.llm.texts import Chunk, chunks, expand
 
 CAPACITY = 2048
 WINDOW_TOKENS = 1 << 20
-CACHE_PIECES = 1_500_000
-CHUNK = 2 << 20
+# Bounds of a worker's memory: remembered pieces, and bytes of text encoded at once.
+CACHE_PIECES = 500_000
+CHUNK = 1 << 20
 _PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 _SCHEMA = pa.schema(
     [

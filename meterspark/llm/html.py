@@ -7,7 +7,9 @@ elements whose tag, role or class says that they are no main text (menus, header
 notices, adverts, forms, scripts, styles, reader comments) are left out, and where a page marks its
 article, only the article counts. Paragraphs and headings inside a marked article are content: they
 stay, however often a site repeats them or what stands around them. Names of classes say nothing about
-an element around an article or main, unless it is inside one itself or the article has such a name too.
+an element around an article or main, unless it is inside one itself or the article has such a name too;
+nor inside an article of which they would leave nothing. Inline elements named as adverts or hidden go up
+to their end or to the next block.
 
 Per host at most ``1 / share`` times the mean number of elements of its pages can recur in that share
 of them, so the list of one host is bounded. The lists are written to the shared folder; Spark
@@ -64,6 +66,7 @@ _DROPPED_NAME = re.compile(
     r"(?:$|[\s_-])",
     re.I,
 )
+_ADVERT_NAME = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*)(?:$|[\s_-])", re.I)
 _TOKEN = re.compile(
     rf"<!--.*?(?:-->|$)|<({RAW})\b[^>]*>.*?(?:</\1\s*>|$)"
     r"|<[!?][^>]*>|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
@@ -75,10 +78,12 @@ _ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|hidden|aria-hidden)(?:\s*=\s*
 class Element:
     """An open or closed element: what it is, and its growing content for the subtree hash."""
 
-    __slots__ = ("article", "content", "dropped", "digest", "named", "parent", "tag")
+    __slots__ = ("article", "by_tag", "content", "dropped", "digest", "named", "own", "parent", "tag")
 
     def __init__(self, tag: str, parent: Element | None, dropped: bool, named: bool, article: bool) -> None:
         self.tag, self.parent, self.dropped, self.named, self.article = tag, parent, dropped, named, article
+        self.by_tag = dropped  # later: by tag or role of itself or of an element around it
+        self.own = False  # inside an article or main whose name is not a dropped one
         self.content: list[str] = []
         self.digest = 0
 
@@ -113,12 +118,26 @@ def has_dropped_name(tag: str, attributes: str) -> bool:
     )
 
 
+def is_advert(attributes: str) -> bool:
+    """Whether an inline element's class or id has a part that names an advert, or it is hidden."""
+    for found in _ATTRIBUTE.finditer(attributes):
+        name, value = found[1].lower(), found[2] or found[3] or found[4] or ""
+        if name == "hidden" or (name == "aria-hidden" and value == "true"):
+            return True
+        if name in ("class", "id") and _ADVERT_NAME.search(value):
+            return True
+    return False
+
+
 def parse(page: str) -> tuple[list[tuple[str, Element]], list[Element]]:
     """Text blocks in page order, each with its element, and all block elements."""
     root = Element("html", None, False, False, False)
     stack, elements, blocks = [root], [], []
     pieces: list[str] = []
     block: Element = root
+    # An open inline advert: its tag and the piece it begins with; and how deep the same tag is nested in it.
+    hidden: tuple[str, int] | None = None
+    depth_inside = 0
 
     def flush() -> None:
         if pieces:
@@ -143,9 +162,20 @@ def parse(page: str) -> tuple[list[tuple[str, Element]], list[Element]]:
         if not tag:
             continue
         if tag in INLINE:
-            if tag in ("br", "wbr"):
+            if hidden:
+                if tag == hidden[0]:
+                    depth_inside += -1 if token[2] else 0 if token[4].endswith("/") or tag in VOID else 1
+                    if not depth_inside:
+                        del pieces[hidden[1] :]
+                        hidden = None
+            elif tag in ("br", "wbr"):
                 pieces.append(" " if tag == "br" else "")
+            elif token[4] and not token[2] and not token[4].endswith("/") and tag not in VOID and is_advert(token[4]):
+                hidden, depth_inside = (tag, len(pieces)), 1
             continue
+        if hidden:  # a block ends what was left open
+            del pieces[hidden[1] :]
+            hidden = None
         flush()
         if token[2]:
             for depth in range(len(stack) - 1, 0, -1):
@@ -163,7 +193,9 @@ def parse(page: str) -> tuple[list[tuple[str, Element]], list[Element]]:
         marks = tag in ("article", "main")
         named = bool(token[4]) and has_dropped_name(tag, token[4])
         element = Element(tag, parent, is_dropped(tag, token[4]), named and not marks, parent.article or marks)
-        if marks and (tag == "main" or not named):
+        own = marks and (tag == "main" or not named)
+        element.own = parent.own or own
+        if own:
             for above in stack:
                 above.named &= above.article
         elements.append(element)
@@ -173,10 +205,13 @@ def parse(page: str) -> tuple[list[tuple[str, Element]], list[Element]]:
         if not pieces:
             block = stack[-1]
         pieces.append(page[at:])
+    if hidden:
+        del pieces[hidden[1] :]
     flush()
     close_to(0)
     for element in elements:  # parents come first
         element.dropped |= element.named or element.parent.dropped
+        element.by_tag |= element.parent.by_tag
     return blocks, elements
 
 
@@ -188,11 +223,15 @@ def removable(element: Element) -> bool:
 
 
 def main_text(page: str, template: frozenset[int]) -> str:
-    """Blocks outside dropped and template elements; of the article alone where one is marked."""
+    """Blocks outside dropped and template elements; of the article alone where one is marked.
+
+    Where names of classes would leave nothing of a marked article, they do not count in it.
+    """
     blocks, _ = parse(page)
     kept, marked = [], []
+    unnamed = not any(element.article and not element.dropped for _, element in blocks)
     for text, element in blocks:
-        if element.dropped:
+        if element.dropped and not (unnamed and element.own and not element.by_tag):
             continue
         above: Element | None = element
         prose = element.article and element.tag in PROSE

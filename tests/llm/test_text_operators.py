@@ -234,6 +234,17 @@ def test_article_text_stays(spark):
     assert html.main_text("<p>t</p><div class='comments'><article class='comment'><p>c</p></article></div>", frozenset()) == "t"
 
 
+def test_inline_adverts_go_and_unlucky_names_stay():
+    text = lambda page: html.main_text(page, frozenset())
+    assert text("<article><p>a <span class='ad'>BUY <b>N</b> <span>OW</span></span>b</p></article>") == "a b"
+    assert text("<article><p>a <a class='advert' href='x'>BUY</a></p><p>c<span class=ad>open</p><p>d</p></article>") == "a\n\nc\n\nd"
+    assert text("<p>a<span class='read'> b</span><img class='ad'> c <i hidden>x</i></p>") == "a b c"
+    assert text("<p>a <span class='ad'>rest") == "a"
+    assert text("<article><div class='related-work'><p>Prose</p><nav>n</nav></div></article>") == "Prose"
+    assert text("<article><section id='search'><p>Prose</p></section></article><p>x</p>") == "Prose"
+    assert text("<article><p>t</p><div class='related'><p>r</p></div></article>") == "t"
+
+
 def test_packing_round_trip(docs, texts):
     from tokenizers import Tokenizer
 

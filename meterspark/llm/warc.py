@@ -20,6 +20,7 @@ import hashlib
 import json
 import struct
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pyarrow as pa
 import zstandard
@@ -62,8 +63,15 @@ def mark_revisits(pages: DataFrame, min_revisit: int = 100) -> DataFrame:
     )
 
 
+# Fixed value: what a URI may hold beside letters, digits and ``_.-~``; all else is percent-escaped.
+_URI = ":/?#[]@!$&'()*+,;=%"
+
+
 def record_bytes(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
-    """One WARC/1.1 record; a revisit carries the digest and length of the full payload, not the payload."""
+    """One WARC/1.1 record; a revisit carries the digest and length of the full payload, not the payload.
+
+    The target URI is the url, percent-escaped where it holds what no URI may; a null url has no such field.
+    """
     kind = "response" if refers_to is None else "revisit"
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n"
     block = http.encode() + (payload if refers_to is None else b"")
@@ -72,7 +80,7 @@ def record_bytes(page_id: int | None, url: str | None, payload: bytes, digest: s
         f"WARC-Type: {kind}",
         f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>",
         "WARC-Date: 1970-01-01T00:00:00Z",
-        f"WARC-Target-URI: {json.dumps(url)}",
+        *([] if url is None else [f"WARC-Target-URI: {quote(url, safe=_URI)}"]),
         f"WARC-Payload-Digest: sha256:{digest}",
         "Content-Type: application/http;msgtype=response",
         f"Content-Length: {len(block)}",
@@ -165,7 +173,7 @@ def parse_record(record: bytes) -> dict:
     response = fields["WARC-Type"] == "response"
     return {
         "page_id": number(fields["WARC-Record-ID"]),
-        "url": json.loads(fields["WARC-Target-URI"]),
+        "url": fields.get("WARC-Target-URI"),
         "record_type": fields["WARC-Type"],
         "refers_to": None if response else number(fields["WARC-Refers-To"]),
         "payload_bytes": len(payload) if response else length,

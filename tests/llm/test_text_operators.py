@@ -421,9 +421,12 @@ def test_warc_round_trip(spark):
     got = {r.page_id: (r.url, r.record_type, r.refers_to, r.payload_bytes, r.payload_digest) for r in back}
     digest = lambda h: hashlib.sha256((h or "").encode()).hexdigest()
     assert got == {
-        p: (u, "revisit" if h == big and p != 1 else "response", 1 if h == big and p != 1 else None, len((h or "").encode()), digest(h))
+        p: (u and u.replace("\r\n", "%0D%0A"), "revisit" if h == big and p != 1 else "response", 1 if h == big and p != 1 else None, len((h or "").encode()), digest(h))
         for p, u, h in rows
     }
+    head = warc.record_bytes(1, "http://a/é b?x=%20", b"", digest(""), None).split(b"\r\n\r\n")[0]
+    assert b"\r\nWARC-Target-URI: http://a/%C3%A9%20b?x=%20\r\n" in head
+    assert b"Target-URI" not in warc.record_bytes(1, None, b"", digest(""), None)
     bundle = warc.Bundle(50)
     for i in range(9):
         bundle.add(i, warc.record_bytes(i, "u", b"x" * i, digest("x" * i), None))

@@ -20,7 +20,15 @@ from meterspark.operators.ridge import (
     predict_ridge,
     validation_rows,
 )
-from meterspark.operators.splits import SplitPlan, final_test, final_training, instant
+from meterspark.operators.splits import (
+    SplitPlan,
+    empty_folds,
+    final_test,
+    final_training,
+    fold_bounds,
+    fold_membership,
+    instant,
+)
 from meterspark.operators.trees import fit_trees, predict_trees
 from meterspark.schemas import SEASONAL_PERIODS
 
@@ -112,24 +120,39 @@ def run_experiment(
 
     ``frame`` holds eligible supervised rows with both naive arrays. It is read once per model
     family, so it is persisted (on disk where memory is short; a lost part is recomputed).
-    ``is_failed`` names algorithms to record as failed without running them.
+    ``is_failed`` names algorithms to record as failed without running them. An algorithm that raises
+    is recorded as failed with the reason and the others go on; a series with an empty fold fails with
+    all of them. Only where every algorithm raised, the experiment raises.
     """
+    unknown = [a for a in algorithms if a not in NAIVE and a not in TREES and a != "ridge"]
+    if unknown:
+        raise ValueError(f"unknown algorithm: {unknown[0]}")
     frame = frame.persist(StorageLevel.MEMORY_AND_DISK)
     by = [*keys, "algorithm"]
+    unfit = unfit_series(frame, plan, keys).persist(StorageLevel.MEMORY_AND_DISK)  # one row a series
     fold_parts, horizon_parts, summaries, tests = [], [], [], []
+    failures = dict.fromkeys(is_failed, "not run")
+    held = [frame, unfit]
     for algorithm in algorithms:
-        if algorithm in is_failed:
+        if algorithm in failures:
+            continue
+        try:
+            scored = _validation_scores(frame, plan, algorithm, keys, alphas, tree_candidates or {})
+            per_fold = M.error_metrics(
+                scored, [*by, "params", "fold_no"], by, predict_ms=F.max("predict_ms")
+            )
+            complete = per_fold.groupBy(*by, "params").agg(F.count(F.lit(1)).alias("folds")).where(
+                F.col("folds") == len(plan.validation)
+            )
+            per_fold = per_fold.join(complete.drop("folds"), [*by, "params"], "left_semi")
+            per_fold = per_fold.join(unfit, list(keys), "left_anti")
+            # One row per series, parameters and fold is left; later steps read it many times.
+            per_fold = per_fold.persist(StorageLevel.MEMORY_AND_DISK)
+            held.append(per_fold)
+            per_fold.count()  # what this algorithm raises is raised here
+        except Exception as error:
+            failures[algorithm] = _reason(error)
             continue
-        scored = _validation_scores(frame, plan, algorithm, keys, alphas, tree_candidates or {})
-        per_fold = M.error_metrics(
-            scored, [*by, "params", "fold_no"], by, predict_ms=F.max("predict_ms")
-        )
-        complete = per_fold.groupBy(*by, "params").agg(F.count(F.lit(1)).alias("folds")).where(
-            F.col("folds") == len(plan.validation)
-        )
-        per_fold = per_fold.join(complete.drop("folds"), [*by, "params"], "left_semi")
-        # One row per series, parameters and fold is left; later steps read it many times.
-        per_fold = per_fold.persist(StorageLevel.MEMORY_AND_DISK)
         best = M.best_candidate(M.cv_summary(per_fold, [*by, "params"]), by)
         chosen = best.select(*by, "params")
         summaries.append(best)
@@ -140,13 +163,15 @@ def run_experiment(
             )
         )
     if not summaries:
-        raise RuntimeError("all configured model runs failed")
+        for part in held:
+            part.unpersist()
+        raise RuntimeError(f"all configured model runs failed: {failures}")
     runs = M.select_recommended(reduce(DataFrame.unionByName, summaries), keys)
     runs = runs.persist(StorageLevel.MEMORY_AND_DISK)
     runs.count()  # selection is settled before any test row is touched
     chosen = runs.where("is_recommended").select(*by, "params")
     for algorithm in algorithms:
-        if algorithm not in is_failed:
+        if algorithm not in failures:
             tests.append(_test_scores(frame, plan, algorithm, chosen, keys, alphas))
     scored = reduce(DataFrame.unionByName, tests)
     final = M.error_metrics(scored, by).select(
@@ -161,23 +186,41 @@ def run_experiment(
     planned = frame.select(*keys).distinct().select(
         *keys, F.explode(F.array(*(F.lit(a) for a in algorithms))).alias("algorithm")
     )
+    reasons = F.create_map(*(F.lit(x) for pair in failures.items() for x in pair)).cast("map<string,string>")
+    detail = F.coalesce(reasons[F.col("algorithm")], F.col("unfit"), F.lit("a fold has no prediction"))
     model_runs = (
         planned.join(runs, by, "left")
         .join(final, by, "left")
+        .join(unfit, list(keys), "left")
         .withColumn("is_recommended", F.coalesce("is_recommended", F.lit(False)))
         .withColumn("status", F.when(F.col("params").isNull(), "failed").otherwise("completed"))
         .withColumn(
             "failure_code", F.when(F.col("params").isNull(), "model_evaluation_failed")
         )
+        .withColumn("failure_detail", F.when(F.col("params").isNull(), detail))
+        .drop("unfit")
     )
     return Experiment(
         model_runs,
         reduce(DataFrame.unionByName, fold_parts),
         reduce(DataFrame.unionByName, horizon_parts).unionByName(test_horizons),
-        [frame, runs],
+        [*held, runs],
     )
 
 
+def unfit_series(frame: DataFrame, plan: SplitPlan, keys: Sequence[str] = SERIES) -> DataFrame:
+    """``keys, unfit``: series with a fold that has no training or no validation origins, and the first such fold."""
+    empty = empty_folds(fold_bounds(fold_membership(frame.select(*keys, "origin"), plan, keys), plan, keys))
+    first = empty.groupBy(*keys).agg(F.min("fold_no").alias("fold_no"))
+    return first.select(*keys, F.format_string("fold %d has no training or validation origins", "fold_no").alias("unfit"))
+
+
+def _reason(error: Exception) -> str:
+    """First line of an error's message, or its kind."""
+    lines = str(error).strip().splitlines()
+    return lines[0] if lines else type(error).__name__
+
+
 def _validation_scores(
     frame: DataFrame,
     plan: SplitPlan,

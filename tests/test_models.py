@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from meterspark.operators import bundles as B
 from meterspark.operators import experiment as X
 from meterspark.operators import features as FE
 from meterspark.operators import forecast as FC
@@ -146,6 +147,63 @@ def test_experiment_selects_then_tests(spark, plan):
     other.release()
 
 
+def test_a_failing_algorithm_does_not_end_the_experiment(frame, plan, monkeypatch):
+    def broken(*_, **__):
+        raise ValueError("no solution\nsecond line")
+
+    monkeypatch.setattr(X, "fit_ridge", broken)
+    result = X.run_experiment(frame, plan, ("seasonal_naive_24", "ridge"))
+    runs = {(r.series_id, r.algorithm): r for r in result.model_runs.collect()}
+    for series in ("a", "b"):
+        failed = runs[series, "ridge"]
+        assert (failed.status, failed.failure_detail, failed.is_recommended) == ("failed", "no solution", False)
+        good = runs[series, "seasonal_naive_24"]
+        assert good.is_recommended and good.failure_detail is None and good.final_mae is not None
+    result.release()
+    with pytest.raises(RuntimeError, match="no solution"):
+        X.run_experiment(frame, plan, ("ridge",))
+    with pytest.raises(ValueError, match="unknown"):
+        X.run_experiment(frame, plan, ("ridge", "oracle"))
+
+
+def test_a_series_with_an_empty_fold_fails_alone(frame, plan):
+    start, end = (S.instant(d) for d in plan.validation[1])
+    holed = frame.where((F.col("series_id") != "a") | (F.col("origin") < start) | (F.col("origin") >= end))
+    result = X.run_experiment(holed, plan, tuple(X.NAIVE))
+    runs = {(r.series_id, r.algorithm): r for r in result.model_runs.collect()}
+    for algorithm in X.NAIVE:
+        assert runs["a", algorithm].failure_detail == "fold 2 has no training or validation origins"
+        assert runs["b", algorithm].status == "completed"
+    assert {r.series_id for r in result.fold_metrics.collect()} == {"b"}
+    result.release()
+
+
+@pytest.mark.parametrize(
+    ("algorithm", "params"), [("ridge", {"alpha": 10.0}), ("random_forest", {"n_estimators": 2, "max_depth": 2})]
+)
+def test_bundles_come_back_and_foreign_ones_are_refused(spark, plan, tmp_path, algorithm, params):
+    rows = []
+    for d in range(470):
+        status = "invalid" if d == 280 else "complete"
+        rows.append(("a", BEGIN + dt.timedelta(days=d), 1e6 if d == 280 else 50 + 10 * math.sin(d / 5), 1.0, status))
+    hourly = spark.createDataFrame(
+        rows, "series_id string, hour_start timestamp_ntz, energy_kwh double, coverage_ratio double, quality_status string"
+    )
+    path = f"{tmp_path}/bundle"
+    B.train_bundle(hourly, plan, algorithm, path, dataset_version_id="v1", params=params, step=DAY)
+    bundle = B.load_bundle(spark, path, algorithm=algorithm, dataset_version_id="v1")
+    assert bundle.manifest["params"] == params and bundle.manifest["mode"] == "complete_only"
+    points = B.forecast_from_bundle(hourly, bundle).orderBy("horizon").collect()
+    assert [p.horizon for p in points] == list(range(1, 25))
+    # The view kept the outlier of an ineligible hour out of training.
+    assert all(30 < p.predicted_energy_kwh < 70 for p in points)
+    for wrong in ({"dataset_version_id": "v2"}, {"quality": True}):
+        with pytest.raises(ValueError, match="does not match"):
+            B.load_bundle(spark, path, **({"algorithm": algorithm, "dataset_version_id": "v1"} | wrong))
+    with pytest.raises(Exception, match="(?i)exists"):
+        B.train_bundle(hourly, plan, algorithm, path, dataset_version_id="v1", params=params, step=DAY)
+
+
 def test_missing_history_fails_the_run(frame, plan):
     holed = frame.withColumn(
         "naive_24",

@@ -43,7 +43,7 @@ def train_bundle(
     path: str,
     *,
     dataset_version_id: str,
-    mode: str = "complete_only",
+    mode: str | None = "complete_only",
     params: Mapping[str, Any] | None = None,
     timezone: str = "UTC",
     quality: bool = False,
@@ -51,10 +51,10 @@ def train_bundle(
 ) -> None:
     """Fit one algorithm on everything before the test period and store it under ``path``.
 
-    An existing bundle is never overwritten.
+    With ``mode`` None all hours with energy count. An existing bundle is never overwritten.
     """
     params = dict(params or {})
-    view = quality_view(hourly, mode)
+    view = _view(hourly, mode)
     frame = eligible_supervised(
         build_features(view, timezone=timezone, step=step, quality=quality, targets=True), quality=quality
     )
@@ -87,6 +87,10 @@ def train_bundle(
     row.write.text(f"{path}/manifest")
 
 
+def _view(hourly: DataFrame, mode: str | None) -> DataFrame:
+    return hourly if mode is None else quality_view(hourly, mode)
+
+
 def load_bundle(spark: SparkSession, path: str, *, algorithm: str, dataset_version_id: str, quality: bool = False) -> Bundle:
     """Read a bundle; one of another algorithm, dataset version or feature schema is refused."""
     manifest = json.loads(spark.read.text(f"{path}/manifest").first().value)
@@ -102,7 +106,7 @@ def load_bundle(spark: SparkSession, path: str, *, algorithm: str, dataset_versi
 def forecast_from_bundle(hourly: DataFrame, bundle: Bundle, *, origins: DataFrame | None = None) -> DataFrame:
     """Forecast points of every series from its latest valid hour under the bundle's own view."""
     kept = bundle.manifest
-    view = quality_view(hourly, kept["mode"])
+    view = _view(hourly, kept["mode"])
     origins = latest_origins(view) if origins is None else origins
     rows = origin_rows(view, origins, timezone=kept["timezone"], quality=kept["quality"], step=kept["step"])
     rows = eligible_features(rows, quality=kept["quality"])

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meterspark.functions.clock import DAY
+from meterspark.operators import bundles as B
 from meterspark.operators import experiment as X
 from meterspark.operators import features as FE
 from meterspark.operators import forecast as FC
@@ -31,6 +32,7 @@ from meterspark.schemas import (
     ROLLING_MEANS,
     target_names,
 )
+from meterspark.session import scratch_folder
 
 ZONE = "Europe/Kyiv"
 PLAN = S.SplitPlan.quarters(2000, DAY)
@@ -93,6 +95,13 @@ def fold_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(S.fold_bounds(membership, PLAN))
 
 
+def empty_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Folds of the last year that some series cannot be evaluated on, as they end before it does."""
+    plan = S.SplitPlan.quarters(2001, DAY)
+    bounds = S.fold_bounds(S.fold_membership(eligible_origins(spark, sf_dir), plan), plan)
+    return rounded(S.empty_folds(bounds).select("series_id", "fold_no", "train_rows", "evaluation_rows"))
+
+
 def final_test_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     origins = eligible_origins(spark, sf_dir)
     test = S.final_test(origins, PLAN).withColumn("part", F.lit("test"))
@@ -229,6 +238,26 @@ def experiment_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.run_experiment(_supervised(spark, sf_dir, naive=True), PLAN).model_runs
 
 
+def experiment_naive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The baselines through the whole experiment: runs, reasons of failures, selection and final test."""
+    runs = X.run_experiment(_supervised(spark, sf_dir, naive=True), PLAN, tuple(X.NAIVE)).model_runs
+    return rounded(
+        runs.select(
+            "series_id", "algorithm", "status", "failure_detail", "mean_cv_mae", "std_cv_mae", "is_recommended",
+            "final_mae", "final_rmse", "final_smape",
+        )
+    )
+
+
+def ridge_bundle_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ridge trained over all series, stored as a bundle, checked and loaded, and used for forecasts."""
+    hourly = daily_quantity(spark, sf_dir)
+    path = scratch_folder(spark, "bundle")
+    kept = {"algorithm": "ridge", "dataset_version_id": "lineitem"}
+    B.train_bundle(hourly, PLAN, path=path, mode=None, timezone=ZONE, step=DAY, **kept)
+    return B.forecast_from_bundle(hourly, B.load_bundle(spark, path, **kept))
+
+
 def forecast_origin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return FC.latest_origins(FE.quality_view(daily_quantity(spark, sf_dir), "complete_only"))
 
@@ -265,6 +294,7 @@ QUERIES = {
     "origins_fingerprint": origins_fingerprint,
     "fold_membership": fold_membership,
     "fold_bounds": fold_bounds,
+    "empty_folds": empty_folds,
     "final_test_rows": final_test_rows,
     "naive24_predictions": _naive_predictions(24),
     "naive168_predictions": _naive_predictions(168),
@@ -281,7 +311,9 @@ QUERIES = {
     "ridge_forecast": ridge_forecast,
     "forest_forecast": _tree_forecast("random_forest", FOREST),
     "boosting_forecast": _tree_forecast("hist_gradient_boosting", BOOSTING),
+    "ridge_bundle_forecast": ridge_bundle_forecast,
     "experiment_runs": experiment_runs,
+    "experiment_naive": experiment_naive,
     "forecast_origin": forecast_origin,
     "forecast_naive24": forecast_naive24,
     "forecast_totals": forecast_totals,
@@ -346,6 +378,9 @@ _FOLDS = """fo AS (
   FROM el JOIN fo ON origin < val_start - INTERVAL '24 days' OR (origin >= val_start AND origin < val_end)
 )"""
 
+# The same quarters one year later.
+_LATE_FOLDS = _FOLDS.replace("'2001-", "'2002-").replace("'2000-", "'2001-")
+
 
 def _scored(where: str) -> str:
     return f"""sc AS (
@@ -434,6 +469,42 @@ SELECT series_id, fold_no, count(*) FILTER (WHERE part = 'train') AS train_rows,
        min(origin) FILTER (WHERE part = 'train') AS train_start,
        max(origin) FILTER (WHERE part = 'train') AS train_end
 FROM mem GROUP BY 1, 2""",
+    "empty_folds": f"""WITH {_SUPERVISED}, {_LATE_FOLDS}
+SELECT s.series_id, CAST(f.fold_no AS BIGINT) AS fold_no, count(*) FILTER (WHERE part = 'train') AS train_rows,
+       count(*) FILTER (WHERE part = 'validation') AS evaluation_rows
+FROM (SELECT DISTINCT series_id FROM mem) s CROSS JOIN fo f
+LEFT JOIN mem m ON m.series_id = s.series_id AND m.fold_no = f.fold_no
+GROUP BY 1, 2 HAVING train_rows = 0 OR evaluation_rows = 0""",
+    "experiment_naive": f"""{_CV}, {_FM}, br AS (
+  SELECT series_id, min(fold_no) AS fold_no FROM (
+    SELECT s.series_id, f.fold_no FROM (SELECT DISTINCT series_id FROM el) s CROSS JOIN fo f
+    LEFT JOIN mem m ON m.series_id = s.series_id AND m.fold_no = f.fold_no
+    GROUP BY 1, 2 HAVING count(*) FILTER (WHERE part = 'train') = 0 OR count(*) FILTER (WHERE part = 'validation') = 0)
+  GROUP BY 1
+), cs AS (
+  SELECT series_id, algorithm, avg(mae) AS m, stddev_pop(mae) AS sd FROM fm
+  WHERE series_id NOT IN (SELECT series_id FROM br) GROUP BY 1, 2 HAVING count(*) = 4
+), n AS (
+  SELECT *, m <= min(m) OVER (PARTITION BY series_id) * 1.01::DOUBLE AS near FROM cs
+), l AS (
+  SELECT *, min(CASE WHEN near THEN sd END) OVER (PARTITION BY series_id) * 1.05::DOUBLE AS lim FROM n
+), ch AS (
+  SELECT series_id, algorithm, m, sd, row_number() OVER (PARTITION BY series_id
+    ORDER BY CASE WHEN near AND sd <= lim THEN 0 ELSE 1 END,
+             CASE algorithm WHEN 'seasonal_naive_24' THEN 0 ELSE 1 END) = 1 AS best FROM l
+), te AS ({_TEST}), {_scored('SELECT * FROM te').replace('sc AS', 'ts AS', 1)}, fi AS (
+  SELECT series_id, algorithm, {_ERRORS} FROM ts JOIN ch USING (series_id, algorithm) WHERE best GROUP BY 1, 2
+)
+SELECT p.series_id, p.algorithm, CASE WHEN ch.m IS NULL THEN 'failed' ELSE 'completed' END AS status,
+       CASE WHEN ch.m IS NULL THEN coalesce('fold ' || br.fold_no || ' has no training or validation origins',
+         'a fold has no prediction') END AS failure_detail,
+       round(ch.m, 6) AS mean_cv_mae, round(ch.sd, 6) AS std_cv_mae, coalesce(ch.best, false) AS is_recommended,
+       fi.mae AS final_mae, fi.rmse AS final_rmse, fi.smape AS final_smape
+FROM (SELECT DISTINCT series_id, a.algorithm FROM el
+      CROSS JOIN (VALUES ('seasonal_naive_24'), ('seasonal_naive_168')) a(algorithm)) p
+LEFT JOIN ch ON ch.series_id = p.series_id AND ch.algorithm = p.algorithm
+LEFT JOIN fi ON fi.series_id = p.series_id AND fi.algorithm = p.algorithm
+LEFT JOIN br ON br.series_id = p.series_id""",
     "final_test_rows": f"""WITH {_SUPERVISED}
 SELECT series_id, origin, CASE WHEN origin >= TIMESTAMP '2001-01-01' THEN 'test' ELSE 'train' END AS part
 FROM el WHERE origin >= TIMESTAMP '2001-01-01' OR origin < TIMESTAMP '2001-01-01' - INTERVAL '24 days'""",

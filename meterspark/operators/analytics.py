@@ -6,12 +6,12 @@ calendar is the bound that allows an exact percentile per series here.
 
 from __future__ import annotations
 
-import itertools
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import UTC, datetime, timedelta
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -123,12 +123,14 @@ def bucket_seconds(span: TimeRange, resolution: str, max_points: int) -> int:
     begin, last = (round((t.timestamp() - BUCKET_ANCHOR) * second) for t in (span.start, span.end))
     last -= 1  # the end is not part of the range
 
-    def fits(multiple: int) -> bool:
-        return last // (multiple * unit) - begin // (multiple * unit) < max_points
-
-    # Alignment costs one bucket at most, so one of these few multiples fits.
-    least = max(1, (last - begin + 1) // (max_points * unit))
-    return next(m for m in itertools.count(least) if fits(m)) * unit // second
+    reach = last - begin
+    # Widths of at most reach / max_points always need one bucket more than allowed, and those of at least
+    # reach / (max_points - 1) never do, wherever the range begins. Only the few between depend on its place.
+    least = reach // (max_points * unit) + 1
+    enough = max(least, -(-reach // ((max_points - 1) * unit)))
+    widths = np.arange(least, enough + 1, dtype=np.int64) * unit
+    buckets = last // widths - begin // widths + 1
+    return int(widths[np.argmax(buckets <= max_points)]) // second
 
 
 def energy_series(

@@ -14,6 +14,7 @@ from meterspark.operators import forecast as FC
 from meterspark.operators import metrics as M
 from meterspark.operators import ridge as R
 from meterspark.operators.features import build_features, eligible_supervised
+from meterspark.operators.pages import index_pages, read_page
 from meterspark.functions.clock import DAY
 from meterspark.plans.inputs import (
     CATALOG_SQL,
@@ -205,7 +206,8 @@ def catalog_version_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def catalog_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = catalog_version_counts(spark, sf_dir)
-    return C.page(listed, [F.col("version_count").desc(), F.col("dataset_id")], 2, 25)
+    order = [F.col("version_count").desc(), F.col("dataset_id")]
+    return read_page(spark, index_pages(listed, order, scratch_folder(spark, "pages")), 2, 25)
 
 
 def next_version_no(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meterspark.operators import quality as Q
-from meterspark.operators.catalog import page
+from meterspark.operators.pages import index_pages, read_page
 from meterspark.plans.inputs import METERS_SQL, READINGS_SQL, meter_readings, readings, rounded
 from meterspark.schemas import MEASURES
-from meterspark.session import staged
+from meterspark.session import scratch_folder, staged
 
 
 def quality_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,7 +60,8 @@ def quality_evidence_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def page_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     issues = Q.value_issues(readings(spark, sf_dir))
-    return rounded(page(issues, Q.issue_order(), 2, 3))
+    index = index_pages(issues, Q.issue_order(), scratch_folder(spark, "pages"))
+    return rounded(read_page(spark, index, 2, 3))
 
 
 QUERIES = {

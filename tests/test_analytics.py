@@ -86,6 +86,24 @@ def test_bucket_choice():
         A.bucket_seconds(span(24), "hour", 99)
 
 
+@pytest.mark.parametrize("resolution", ["hour", "day", "week"])
+@pytest.mark.parametrize("most", [100, 137, 9999])
+def test_bucket_choice_is_the_least(resolution, most):
+    unit = A.BASE_BUCKETS[resolution]
+    for hours in (1, 99, 100, 101, 4_321, 137_001, 2_000_003):
+        for shift in (0, 1, 5, 166):
+            begin = START + timedelta(hours=shift)
+            width = A.bucket_seconds(A.TimeRange(begin, begin + timedelta(hours=hours)), resolution, most)
+            first = int(begin.timestamp()) - A.BUCKET_ANCHOR
+            last = first + hours * 3600 - 1
+
+            def buckets(seconds, first=first, last=last):
+                return last // seconds - first // seconds + 1
+
+            assert buckets(width) <= most
+            assert all(buckets(w) > most for w in range(max(unit, width - 400 * unit), width, unit))
+
+
 def test_range_checks():
     with pytest.raises(ValueError):
         A.TimeRange(datetime(2026, 1, 1), datetime(2026, 1, 2))

@@ -102,8 +102,6 @@ def test_catalogue(spark):
     C.refuse_duplicates(incoming, versions)
     with pytest.raises(ValueError, match="already imported"):
         C.refuse_duplicates(incoming.withColumn("dataset_id", F.lit(1).cast("long")), versions)
-    with pytest.raises(ValueError):
-        C.page(datasets, [F.col("dataset_id")], 0, 10)
 
 
 def test_version_scan_is_pruned(spark, hourly, tmp_path):

@@ -7,7 +7,7 @@ from meterspark.sources.ingest import ImportTarget
 from meterspark.streaming.landing import import_landing
 
 HEADER = ";".join(UCI_COLUMNS)
-LINE = "16/12/2006;17:{:02d}:00;4.216;0.418;234.840;18.400;0.000;1.000;17.000"
+LINE = "3/7/2011;08:{:02d}:00;1.732;0.064;229.410;7.600;2.000;0.000;11.000"
 
 
 def write(folder, name, minutes, header=HEADER):

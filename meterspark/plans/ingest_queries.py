@@ -18,6 +18,7 @@ from meterspark.plans.inputs import (
 from meterspark.schemas import UCI_COLUMNS
 from meterspark.session import scratch_folder
 from meterspark.sources.files import read_uci
+from meterspark.sources.ingest import ImportTarget
 from meterspark.sources.rows import (
     CsvMapping,
     import_report,
@@ -27,6 +28,7 @@ from meterspark.sources.rows import (
     parse_uci_lines,
     separator_profile,
 )
+from meterspark.streaming.landing import import_landing
 
 HEADER = ("timestamp", "watts", "volts")
 MAPPING = CsvMapping(
@@ -40,6 +42,8 @@ MAPPING = CsvMapping(
     decimal_separator=",",
     optional_columns={"voltage_v": "volts"},
 )
+#: Events a line file is written for.
+FILE_EVENTS = 20_000
 ROW_COLUMNS = (
     "source_row_number",
     "observed_at",
@@ -149,28 +153,41 @@ def parse_timestamps_dst(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def source_row_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines written as text files and read back with record numbers; one file per event type."""
-    folder = scratch_folder(spark, "lines")
+def _line_files(spark: SparkSession, sf_dir: str, folder: str) -> None:
+    """Writes the lines as text files, one for each event type and run of events.
+
+    Runs have a fixed number of events, so files and the tasks that sort them stay of one size.
+    """
     lines = uci_lines(spark, sf_dir).select("source_row_number", "value")
-    header = F.lit(";".join(UCI_COLUMNS))
     kinds = table(spark, sf_dir, "events").select(
-        (F.col("event_id") + 2).alias("source_row_number"), "event_type"
+        (F.col("event_id") + 2).alias("source_row_number"),
+        "event_type",
+        F.floor(F.col("event_id") / FILE_EVENTS).alias("run"),
     )
-    first = kinds.select("event_type").distinct().select(
-        F.lit(1).cast("long").alias("source_row_number"), header.alias("value"), "event_type"
+    first = kinds.select("event_type", "run").distinct().select(
+        F.lit(1).cast("long").alias("source_row_number"),
+        F.lit(";".join(UCI_COLUMNS)).alias("value"),
+        "event_type",
+        "run",
     )
     (
         lines.join(kinds, "source_row_number")
         .unionByName(first)
-        .repartition("event_type")
-        .sortWithinPartitions("event_type", "source_row_number")
-        .select("event_type", "value")
-        .write.mode("overwrite")
-        .partitionBy("event_type")
+        .repartition("event_type", "run")
+        .sortWithinPartitions("event_type", "run", "source_row_number")
+        .select("event_type", "run", "value")
+        .write.partitionBy("event_type", "run")
         .text(folder)
     )
-    kind = F.regexp_extract("source_file", "event_type=([^/]*)/", 1)
+
+
+def source_row_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines written as text files and read back with record numbers."""
+    folder = scratch_folder(spark, "lines")
+    _line_files(spark, sf_dir, folder)
+    kind = F.array_join(
+        F.regexp_extract_all("source_file", F.lit("(?:event_type|run)=([^/]*)/"), F.lit(1)), "-"
+    )
     parsed = read_uci(spark, folder, series=kind)
     return rounded(
         parsed.where(F.col("observed_at").isNotNull()).select(
@@ -179,6 +196,35 @@ def source_row_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def landing_import(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line files land in one folder and are imported twice, the second time with nothing new.
+
+    Counts of the stored rows, issues and reports by the record number of their line in its file.
+    """
+    folder, tables = scratch_folder(spark, "landing"), scratch_folder(spark, "landed")
+    _line_files(spark, sf_dir, folder)
+    target = ImportTarget(*(f"{tables}/{name}" for name in ("measurements", "issues", "reports")))
+    for _ in range(2):
+        import_landing(spark, folder, target, name=f"landing-{tables.rpartition('-')[2]}").awaitTermination()
+    stored = spark.read.parquet(target.measurements).select(
+        "source_row_number",
+        F.lit("row").alias("part"),
+        F.col("parse_status").alias("code"),
+        F.col("active_power_kw").alias("amount"),
+    )
+    problems = spark.read.parquet(target.issues).select(
+        "source_row_number", F.lit("issue").alias("part"), "code", F.lit(None).cast("double").alias("amount")
+    )
+    reports = spark.read.parquet(target.reports).select(
+        F.lit(0).cast("long").alias("source_row_number"),
+        F.lit("report").alias("part"),
+        F.lit("source_rows").alias("code"),
+        F.col("source_rows").cast("double").alias("amount"),
+    )
+    counted = stored.unionByName(problems).unionByName(reports).groupBy("part", "code", "source_row_number")
+    return rounded(counted.agg(F.count(F.lit(1)).alias("n"), F.sum("amount").alias("amount")))
+
+
 QUERIES = {
     "parse_uci_rows": parse_uci_rows,
     "parse_uci_issues": parse_uci_issues,
@@ -190,6 +236,7 @@ QUERIES = {
     "import_report": import_report_query,
     "separator_profile": separator_profile_query,
     "source_row_numbers": source_row_numbers,
+    "landing_import": landing_import,
 }
 
 # Number text in SQL: the same pattern on both sides, since engines accept different spellings.
@@ -263,6 +310,13 @@ p AS (
   FROM p
 )"""
 
+# Every line's place in its file, after the header.
+_PLACES = f"""e AS (
+  SELECT event_id + 2 AS row_number, event_type || '-' || event_id // {FILE_EVENTS} AS series_id,
+         row_number() OVER (PARTITION BY event_type, event_id // {FILE_EVENTS} ORDER BY event_id) + 1 AS place
+  FROM events
+)"""
+
 ORACLE = {
     "parse_uci_rows": f"""{_UCI_PARSED}
 SELECT source_row_number, observed_at, parse_status, flags,
@@ -358,12 +412,19 @@ SELECT 'all' AS series_id, count(*) AS line_count, CAST(sum(dots) AS BIGINT) AS
        CAST(sum(commas) AS BIGINT) AS comma_count, min(n) AS min_columns, max(n) AS max_columns,
        CASE WHEN sum(commas) > sum(dots) THEN ',' ELSE '.' END AS decimal_separator
 FROM c""",
-    "source_row_numbers": f"""{_UCI_PARSED}
+    "source_row_numbers": f"""{_UCI_PARSED}, {_PLACES}
 SELECT series_id, place AS source_row_number, observed_at, round(v0, 6) AS active_power_kw
-FROM (
-  SELECT m.*, e.event_type AS series_id, e.place FROM m JOIN (
-    SELECT event_id + 2 AS row_number, event_type,
-           row_number() OVER (PARTITION BY event_type ORDER BY event_id) + 1 AS place FROM events
-  ) e ON e.row_number = m.source_row_number
-)""",
+FROM m JOIN e ON e.row_number = m.source_row_number""",
+    "landing_import": f"""{_UCI_PARSED}, {_PLACES}, u AS (
+  SELECT 'row' AS part, parse_status AS code, source_row_number, v0 AS amount FROM m
+  UNION ALL SELECT 'issue', 'column_count', source_row_number, NULL FROM p WHERE n <> 9
+  UNION ALL SELECT 'issue', 'timestamp_invalid', source_row_number, NULL FROM q WHERE n = 9 AND observed_at IS NULL
+  {' '.join(f"UNION ALL SELECT 'issue', 'number_invalid', source_row_number, NULL FROM m WHERE x{i} IN ('invalid', 'non_finite')"
+            for i in range(7))}
+)
+SELECT part, code, place AS source_row_number, count(*) AS n, round(sum(amount), 6) AS amount
+FROM u JOIN e ON e.row_number = u.source_row_number GROUP BY ALL
+UNION ALL
+SELECT 'report', 'source_rows', 0, count(*), CAST(sum(lines) AS DOUBLE)
+FROM (SELECT count(*) AS lines FROM e GROUP BY series_id)""",
 }

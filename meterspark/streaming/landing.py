@@ -24,7 +24,7 @@ def import_landing(
 ) -> StreamingQuery:
     """Import every household-power file of ``folder`` not imported before, then stop.
 
-    Each file is one dataset version named after it. A batch replaces the versions it holds, so a
+    Each file is one dataset version named by its path below ``folder``. A batch replaces the versions it holds, so a
     batch that is run again after a failure leaves the tables as one run would. Progress is kept
     under the shared checkpoint folder. A file without the expected header fails its batch before
     anything of it is written.
@@ -34,9 +34,16 @@ def import_landing(
         spark.readStream.option("maxFilesPerTrigger", files_per_batch).format("text").load(folder)
     )
     header = ";".join(UCI_COLUMNS)
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    below = files.makeQualified(root).toUri().getRawPath().rstrip("/") + "/"
+    path = F.regexp_replace("source_file", "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")
+    # A folder given by a pattern has no path of its own; its files go by their names.
+    version = F.when(path.startswith(below), F.substring(path, len(below) + 1, 1 << 30)).otherwise(
+        F.element_at(F.split(path, "/"), -1)
+    )
 
     def store(batch: DataFrame, _: int) -> None:
-        version = F.element_at(F.split("source_file", "/"), -1)
         lines = data_lines(number_lines(batch), header, version)
         parsed = parse_uci_lines(lines, timezone=timezone)
         store_import(parsed, target, profile="uci")

@@ -32,3 +32,14 @@ def test_new_files_are_imported_once(spark, tmp_path):
     with pytest.raises(Exception, match="unexpected header"):
         import_landing(spark, str(folder), target, name=name).awaitTermination(120)
     assert spark.read.parquet(target.measurements).count() == 15
+
+
+def test_files_of_one_name_are_versions_of_their_own(spark, tmp_path):
+    folder = tmp_path / "nested"
+    target = ImportTarget(*(str(tmp_path / n) for n in ("m", "i", "r")))
+    for place in ("left", "right side"):
+        (folder / f"place={place}").mkdir(parents=True)
+        write(folder / f"place={place}", "d.txt", range(3))
+    import_landing(spark, str(folder), target, name=f"landing-{uuid.uuid4()}").awaitTermination(120)
+    reports = {r.dataset_version_id: r.source_rows for r in spark.read.parquet(target.reports).collect()}
+    assert len(reports) == 2 and reports["place=left/d.txt"] == 3 and sum(reports.values()) == 6

@@ -89,9 +89,9 @@ class PieceEncoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.where: dict[int, int] = {}
-        self.start = np.zeros(1 << 16, np.int64)
-        self.count = np.zeros(1 << 16, np.int64)
+        self.keys = np.zeros(0, np.uint64)  # sorted; start and count of a piece's ids stand beside
+        self.start = np.zeros(0, np.int64)
+        self.count = np.zeros(0, np.int64)
         self.flat = np.zeros(1 << 18, np.uint32)
         self.used = 0
 
@@ -99,35 +99,41 @@ class PieceEncoder:
     def _room(array: np.ndarray, size: int) -> np.ndarray:
         return array if len(array) >= size else np.r_[array, np.zeros(max(size, 2 * len(array)) - len(array), array.dtype)]
 
-    def _learn(self, keys: list[int], pieces: list[str]) -> None:
+    def _learn(self, keys: np.ndarray, pieces: list[str]) -> None:
         ids = list(map(self.encoding.encode_ordinary, pieces))
-        known, new = len(self.where), len(ids)
-        count = np.fromiter(map(len, ids), np.int64, new)
+        count = np.fromiter(map(len, ids), np.int64, len(ids))
         total = int(count.sum())
-        self.start, self.count = self._room(self.start, known + new), self._room(self.count, known + new)
         self.flat = self._room(self.flat, self.used + total)
-        self.count[known : known + new] = count
-        self.start[known : known + new] = np.cumsum(count) - count + self.used
         self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(ids), np.uint32, total)
+        start = np.cumsum(count) - count + self.used
         self.used += total
-        self.where.update(zip(keys, range(known, known + new), strict=True))
+        at = np.searchsorted(self.keys, keys)
+        self.keys = np.insert(self.keys, at, keys)
+        self.start, self.count = np.insert(self.start, at, start), np.insert(self.count, at, count)
 
     def encode(self, chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts of a chunk one after the other, and the number of ids of each."""
         start = piece_starts(chunk)
         stop = np.r_[start[1:], len(chunk.data)].astype(np.int64)
         which, distinct = pd.factorize(chunk.span_hash(chunk.prefix(), start, stop))
-        keys = distinct.tolist()
-        if len(self.where) + len(keys) > CACHE_PIECES:
+        first = np.zeros(len(distinct), np.int64)
+        first[which[::-1]] = np.arange(len(which))[::-1]
+        order = np.argsort(distinct)
+        keys = distinct[order]
+        if len(self.keys) + len(keys) > CACHE_PIECES:
             self._clear()
-        new = [i for i, key in enumerate(keys) if key not in self.where]
-        if new:
-            first = np.zeros(len(keys), np.int64)
-            first[which[::-1]] = np.arange(len(which))[::-1]
-            data, at = chunk.data.tobytes(), first[new]
-            pieces = [data[a:b].decode() for a, b in zip(start[at].tolist(), stop[at].tolist(), strict=True)]
-            self._learn([keys[i] for i in new], pieces)
-        at = np.fromiter(map(self.where.__getitem__, keys), np.int64, len(keys))[which]
+        at = np.searchsorted(self.keys, keys)
+        new = np.ones(len(keys), bool)
+        inside = np.flatnonzero(at < len(self.keys))
+        new[inside] = self.keys[at[inside]] != keys[inside]
+        if new.any():
+            data, own = chunk.data.tobytes(), first[order[new]]
+            pieces = [data[a:b].decode() for a, b in zip(start[own].tolist(), stop[own].tolist(), strict=True)]
+            self._learn(keys[new], pieces)
+            at = np.searchsorted(self.keys, keys)
+        place = np.empty(len(keys), np.int64)
+        place[order] = at
+        at = place[which]
         count = self.count[at]
         total = np.r_[0, np.cumsum(count)]
         edges = np.searchsorted(start, chunk.bounds)

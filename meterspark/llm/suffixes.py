@@ -45,7 +45,9 @@ from meterspark.llm.texts import Chunk, chunks, later, mix
 LENGTH = 100
 ANCHOR = 32
 SEGMENT = 4 << 20
-BATCH_SUFFIXES = 20_000
+# Bounds of a worker's memory, where arrays take 8 bytes a byte of text: bytes of text at once, and contexts of small groups.
+CHUNK = 1 << 18
+BATCH_SUFFIXES = 5_000
 GROUP_SUFFIXES = 50_000
 _TAG_BITS, _PLACE_BITS = 32, 31
 _NO_ID = -(1 << 63)
@@ -77,8 +79,7 @@ def anchor_places(chunk: Chunk, prefix: np.ndarray, length: int) -> tuple[np.nda
     width = length - ANCHOR + 1
     if len(chunk.data) < length:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    start = np.arange(len(chunk.data) - ANCHOR + 1)
-    grams = chunk.span_hash(prefix, start, start + ANCHOR)
+    grams = chunk.window_hash(prefix, ANCHOR)
     places = []
     for low in range(0, len(grams) - width + 1, SEGMENT):  # positions fit the low bits of a key
         part = grams[low : low + SEGMENT + width - 1]
@@ -105,7 +106,7 @@ def anchors(docs: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("id").to_numpy(zero_copy_only=False)
-            for first, stop, chunk in chunks(batch.column("text")):
+            for first, stop, chunk in chunks(batch.column("text"), CHUNK):
                 prefix = chunk.prefix()
                 places, grams = anchor_places(chunk, prefix, length)
                 doc = chunk.doc_of(places)
@@ -186,7 +187,7 @@ def contexts(marked: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, firsts = batch.column("id").to_pylist(), batch.column("firsts")
-            for first, stop, chunk in chunks(batch.column("text")):
+            for first, stop, chunk in chunks(batch.column("text"), CHUNK):
                 prefix = chunk.prefix()
                 tags, data = text_tags(chunk, prefix), chunk.data.tobytes()
                 rows: list[tuple] = []
@@ -303,8 +304,8 @@ def repeats(
         _, first, which = np.unique(keys, return_index=True, return_inverse=True)
         again, source = valid[at], valid[first[which[at]]]
         equal = np.ones(len(at), bool)
-        for low in range(0, len(at), 1 << 16):
-            part = slice(low, low + (1 << 16))
+        for low in range(0, len(at), 1 << 13):
+            part = slice(low, low + (1 << 13))
             a = chunk.data[(start[again[part]] - o)[:, None] + steps]
             equal[part] = (a == chunk.data[(start[source[part]] - o)[:, None] + steps]).all(axis=1)
         again = again[equal]
@@ -475,8 +476,8 @@ def remove_repeats(
     partly = staged(
         partly.groupBy("id").agg(F.collect_list(F.struct("code", "left", "right")).alias("parts")), "parts"
     )
-    passed = [c for c in docs.columns if c not in ("kept", "removed", "__id", "__body")]
-    source = docs.select(*passed, key.alias("__id"), body.alias("__body"))
+    passed = [c for c in docs.columns if c not in ("kept", "removed", "__id")]
+    source = docs.select(*passed, key.alias("__id"))
     both = marks.select(F.col("id").alias("__id"), "wholes").join(partly.withColumnRenamed("id", "__id"), "__id", "full")
     joined = source.join(both, "__id", "left")
     span = StructType([StructField("start", LongType(), False), StructField("stop", LongType(), False)])
@@ -492,7 +493,7 @@ def remove_repeats(
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             wholes, parts = batch.column("wholes"), batch.column("parts")
-            for first, stop, chunk in chunks(batch.column("__body")):
+            for first, stop, chunk in chunks(batch.column("text"), CHUNK):
                 tags, bodies, spans = text_tags(chunk, chunk.prefix()), [], []
                 for row in range(first, stop):
                     tag, body = tags[row - first], chunk.data[chunk.bounds[row - first] : chunk.bounds[row - first + 1]]

@@ -6,7 +6,8 @@ Texts with one shingle set are one vertex from the start. The rest:
    neighbouring ones. For a band with sets of up to ``hi`` shingles, linked sets differ in at most d
    shingles; hashing shingles into more than d segments leaves some segment untouched. The contents of
    a set's segments are its keys, so linked sets share a key: no link is lost (see ``segment_keys``
-   for empty segments). A key is a tile of sets of similar size that agree in one segment.
+   for empty segments). A key is a tile of sets of similar size that agree in one segment. There are spare
+   segments, so each set leaves out its commonest keys: passages that many sets hold make no tiles of all of them.
 2. Stars. Every set is compared with the leader of the tiles it shares most, by bitmaps and then exactly,
    by intersecting sorted arrays; in further rounds with leaders outside its component. That joins nearly all of a
    large group of near copies with a few comparisons a member.
@@ -35,7 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from meterspark.llm.components import connected_components, extend_components
@@ -47,6 +48,8 @@ BLOCK = 2048
 BLOCK_SHINGLES = 1 << 22
 PART = 256
 ROUNDS = 3
+#: So many sets or more count as one number of sets that have a key.
+MANY = 1 << 20
 MIN_BITS, MAX_BITS = 256, 1 << 18
 SHORT, LONG = 2, 32
 BAND_BITS = 7
@@ -77,6 +80,11 @@ class Bands:
         able = self.differ[band] > 0  # else only equal sets link, and those are one vertex
         return sets[able], band[able]
 
+    def unlike(self, sizes: np.ndarray, band: np.ndarray) -> np.ndarray:
+        """The shingles in which sets of these sizes may differ at most from one they link with in the band."""
+        largest = np.minimum(100 * sizes // self.percent, self.high[band])
+        return np.minimum(self.differ[band], (sizes + largest) * (100 - self.percent) // (100 + self.percent))
+
 
 def shingle_sets(chunk: Chunk, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of all texts one after the other, and how many each text has."""
@@ -109,12 +117,15 @@ def vertices(parts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return mix(_sums(mix(parts ^ _SALT), sizes) + sizes.astype(np.uint64)).view(np.int64)
 
 
-def segment_keys(parts: np.ndarray, sizes: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
-    """(set, key) of all sets: hashes of what each of their segments holds.
+def segment_keys(parts: np.ndarray, sizes: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(set, key, spared) of all sets: hashes of what each of their segments holds, and how many of the
+    set's keys of that band may be left out.
 
-    There are more segments than a linked set may touch by a spare number. A set with at most that
-    many empty segments shares a filled one with every set it links with; sets with more than that
-    also give keys to their empty segments, which two such sets then share.
+    A set that differs from each it links with in at most D shingles shares with them all of its segments but
+    D. So of all segments in one order, the same for all sets, the first D + 1 of either set hold one that
+    both share. The order is: filled segments, by how many sets have the key, then empty ones. A set with
+    more than D + 1 filled segments may leave out the commonest; one with fewer also gives keys to its first
+    empty segments.
     """
     sets, band = bands.views(sizes)
     begin = np.cumsum(sizes) - sizes
@@ -128,17 +139,19 @@ def segment_keys(parts: np.ndarray, sizes: np.ndarray, bands: Bands) -> tuple[np
     filled, sizes_in = np.unique(place[order], return_counts=True)
     content = _sums(mix(values[order]), sizes_in)
     owner = np.searchsorted(base, filled, side="right") - 1
-    empty = count - np.bincount(owner, minlength=len(sets))
-    sparse = empty > bands.spare[band]
+    over = np.bincount(owner, minlength=len(sets)) - bands.unlike(length, band) - 1
+    sparse = over < 0
     if sparse.any():
         every = expand(base[sparse], count[sparse])
         lacking = every[~np.isin(every, filled)]
+        lacks = np.searchsorted(base, lacking, side="right") - 1
+        lacking = lacking[np.arange(len(lacks)) - np.searchsorted(lacks, lacks) < -over[lacks]]
         filled, content = np.r_[filled, lacking], np.r_[content, np.zeros(len(lacking), np.uint64)]
         owner = np.searchsorted(base, filled, side="right") - 1
     of_key = band[owner].astype(np.uint64)
     name = (of_key << np.uint64(48)) + (filled - base[owner]).astype(np.uint64)
     keys = (mix(content + mix(name + np.uint64(1))) >> np.uint64(BAND_BITS)) | (of_key << np.uint64(64 - BAND_BITS))
-    return sets[owner], keys.view(np.int64)
+    return sets[owner], keys.view(np.int64), np.maximum(over, 0)[owner]
 
 
 def band_of_key(key: Column) -> Column:
@@ -182,8 +195,50 @@ def members(docs: DataFrame, size: int) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, v long, n long, h long")
 
 
+def _whole_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """(key, v, spared) of sorted batches without repeats, the rows of one key together unless there are ``MANY`` or more."""
+    held, last = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = np.stack([batch.column(c).to_numpy() for c in ("key", "v", "spared")])
+        new = np.r_[last != tuple(rows[:2, 0]), (rows[:2, 1:] != rows[:2, :-1]).any(axis=0)]
+        last, rows = tuple(rows[:2, -1]), rows[:, new]
+        if not rows.size:
+            continue
+        cut = int(np.searchsorted(rows[0], rows[0, -1]))
+        if cut:
+            yield np.hstack([*held, rows[:, :cut]])
+            held = []
+        elif held and (held[0][0, 0] != rows[0, 0] or sum(h.shape[1] for h in held) >= MANY):
+            yield np.hstack(held)
+            held = []
+        held.append(rows[:, cut:])
+    if held:
+        yield np.hstack(held)
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, v, spared, sets) of keys that two or more sets have; sets is how many, ``MANY`` at most."""
+    common = None
+    for keys, v, spared in _whole_keys(batches):
+        begin = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+        sets = np.diff(np.r_[begin, len(keys)])
+        sets = np.minimum(np.repeat(sets, sets), MANY)
+        if keys[0] == common:
+            sets[keys == common] = MANY
+        common = keys[-1] if sets[-1] == MANY else None
+        columns = [pa.array(c[sets > 1]) for c in (keys, v, spared, sets)]
+        rows = pa.RecordBatch.from_arrays(columns, ["key", "v", "spared", "sets"])
+        yield from (rows.slice(k, 1 << 16) for k in range(0, rows.num_rows, 1 << 16))
+
+
 def shared_keys(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """(key, leader, v) for all keys that two or more sets have; the leader is the first of them."""
+    """(key, leader, v) for all keys that two or more sets have; the leader is the first of them.
+
+    Keys are counted first, as a set leaves out its commonest ones (see ``segment_keys``): a passage that very
+    many sets hold makes no tile of all of them unless it is most of what they hold.
+    """
     bands = Bands(percent)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,8 +251,9 @@ def shared_keys(docs: DataFrame, size: int, percent: int) -> DataFrame:
                 once &= sizes > 0
                 begin = np.cumsum(sizes) - sizes
                 kept = parts[expand(begin[once], sizes[once])]
-                sets, keys = segment_keys(kept, sizes[once], bands)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(v[once][sets])], ["key", "v"])
+                sets, keys, spared = segment_keys(kept, sizes[once], bands)
+                columns = [pa.array(keys), pa.array(v[once][sets]), pa.array(spared)]
+                yield pa.RecordBatch.from_arrays(columns, ["key", "v", "spared"])
 
     def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, leader, last, alone = None, None, None, True
@@ -226,8 +282,12 @@ def shared_keys(docs: DataFrame, size: int, percent: int) -> DataFrame:
                 ["key", "leader", "v"],
             )
 
-    emitted = docs.select("text").mapInArrow(emit, "key long, v long")
+    emitted = docs.select("text").mapInArrow(emit, "key long, v long, spared long")
     ordered = emitted.repartition("key").sortWithinPartitions("key", "v")
+    counted = ordered.mapInArrow(_counted, "key long, v long, spared long, sets long")
+    commonest = Window.partitionBy("v", band_of_key(F.col("key"))).orderBy(F.desc("sets"), F.desc("key"))
+    rare = counted.withColumn("place", F.row_number().over(commonest)).where("place > spared").select("key", "v")
+    ordered = rare.repartition("key").sortWithinPartitions("key", "v")
     return ordered.mapInArrow(lead, "key long, leader long, v long")
 
 
